@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from llm import decontaminate
+from llm import decontaminate, jaccard, suffix_dedup
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.SQL,
