@@ -1,13 +1,14 @@
 """N-gram Jaccard join: documents whose 5-word shingle sets have a Jaccard likeness of at least 0.8.
 
 1. Documents with equal sets form a class; only one set of each class goes on.
-2. Every shingle's document frequency is counted over all sets: shingle hashes travel packed, by
-   bucket, and a bucket returns to each set those of its shingles that other sets have too.
+2. Of each set only the shingles smallest by hash take part in the search, as many (about two fifths)
+   as hold a fixed number of the common ones of any two linked sets.  Their document frequency is counted: hashes
+   travel packed, by bucket, and a bucket returns to each set those that other sets have too.
    Shingles in a thousandth of all documents or more (at most 1000 times the mean set size of
-   them, so few enough to send to all tasks) skip the buckets and count as the most frequent.
-3. Global order: rare shingles first.  Two linked sets share a shingle among the first
-   ``n - ceil(0.8 n) + 1`` of each.  Sets whose share of unique shingles fills that prefix have no
-   partner; the others meet in coarse groups, the components of "shares a prefix shingle".
+   them, so few enough to send to all tasks) skip the count and rank as the most frequent.
+3. Global order: rare shingles first.  Two linked sets share a shingle in their prefixes in that order.  Sets whose
+   own shingles fill the prefix have no partner; the others meet in coarse groups, the
+   components of "shares a prefix shingle", and their whole sets are read again.
 4. In each coarse group the sets, now ordered from the group's most frequent shingle to the rarest, are
    stored in a prefix tree.  A probe walks the tree once, sharing the overlap of common prefixes, and
    leaves a subtree when neither its own nor the subtree's remaining length can reach the
@@ -16,7 +17,7 @@
 5. The links found span the same components as all links; they give the classes.
 
 Nulls and texts without words have the empty set and no links.  Repeated rows: each keeps a row.
-Other columns are ignored.  A 64-bit hash names a set and 40 bits plus the bucket name a shingle.
+Other columns are ignored.  A 64-bit hash names a set or a shingle; 40 bits of it and the bucket do in the search.
 """
 
 from __future__ import annotations
@@ -57,8 +58,8 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 def _document_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row of each document, and (hot, df) rows of the shingles frequent in a batch."""
-    names = ["doc", "sid", "n", "hot", "df"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["doc", "tid", "sid", "n", "hot", "df"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     for batch in it:
         parts = list(_sets(batch))
         if not parts:
@@ -66,7 +67,7 @@ def _document_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.concatenate([np.diff(x[3]) for x in parts]).astype(np.int32)
         sid = np.concatenate([x[4] for x in parts])
         rows = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sid), pa.array(n), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sid), pa.array(n), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=names)
         _, first = np.unique(sid, return_index=True)  # a set counts once
         once = np.zeros(rows, bool)
         once[first] = True
@@ -76,120 +77,137 @@ def _document_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = df >= max(4, len(first) // (2 * HOT_SHARE))
         if hot.any():
             k = int(hot.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, types[0]), pa.nulls(k, types[1]), pa.nulls(k, types[2]), pa.array(grams[edge[hot]].view(np.int64)), pa.array(df[hot])], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(k, x) for x in types[:4]], pa.array(grams[edge[hot]].view(np.int64)), pa.array(df[hot])], names=names)
+
+
+def _kept(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of a set of n that take part in the search, tokens that two linked sets share among those at least).
+
+    In hash order, the i-th common token of two linked sets has at most n - ceil(0.8 n) + i - 1 tokens
+    before it, so the first n - ceil(0.8 n) + m of both hold the first m common ones.
+    """
+    m = np.maximum(n // 5, 1)
+    least = -(-4 * n // 5)  # the smallest partner, and the least overlap with any
+    return np.minimum(n - least + m, n), np.maximum(least // 5, 1)
 
 
 def _packed(buckets: int, hot: np.ndarray):
-    """To (bucket, sid, n, count, blob) rows; in bucket -1 a set's hot shingles, else the shingles of many sets."""
+    """To (bucket, cold, hot, blob) rows: pairs of the searched tokens and their sets, in as many bytes at any size."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             kept: dict[int, list] = {}
             seen: set[int] = set()
             for _, _, grams, bounds, sid in _sets(batch):
                 n = np.diff(bounds)
-                fresh = np.zeros(len(sid), bool)
-                fresh[[i for i, s in enumerate(sid.tolist()) if n[i] and not (s in seen or seen.add(s))]] = True
+                fresh = np.array([not (s in seen or seen.add(s)) for s in sid.tolist()], bool) & (n > 0)
                 own = np.repeat(np.arange(len(sid)), n)
-                use = fresh[own]
-                grams, own = grams[use], own[use]
+                use = fresh[own] & (np.arange(len(grams)) - bounds[:-1][own] < _kept(n)[0][own])
+                grams, own = grams[use], sid[own[use]]
+                is_hot = np.zeros(len(grams), bool)
                 if len(hot) and len(grams):
-                    at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-                    is_hot = hot[at] == grams
-                    h, o = grams[is_hot], own[is_hot]
-                    grams, own = grams[~is_hot], own[~is_hot]
-                    value = (np.uint64(63) << np.uint64(58)) | (h & _LOW40)
-                    edges = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, int)
-                    ends = np.append(edges[1:], len(o))
-                    if len(edges):
-                        who = o[edges]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(who), -1, np.int32)), pa.array(sid[who]), pa.array(n[who].astype(np.int32)), pa.array((ends - edges).astype(np.int32)),
-                            pa.array([value[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())], names=["bucket", "sid", "n", "count", "blob"])
-                bucket = ((grams >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                bucket, grams, own = bucket[order], (grams & _LOW40)[order], own[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                for k in np.unique(bucket).tolist():
-                    a, b = cuts[k], cuts[k + 1]
-                    o = own[a:b]
-                    first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-                    who = o[first]
-                    kept.setdefault(k, []).append((sid[who], n[who].astype(np.int32), np.diff(np.append(first, b - a)).astype(np.int32), grams[a:b].astype(np.uint32), (grams[a:b] >> np.uint64(32)).astype(np.uint8)))
+                    is_hot = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+                # hot tokens need no count: they go where their set's hash says
+                bucket = np.where(is_hot, mix(own.view(np.uint64)), grams >> np.uint64(40)) % np.uint64(buckets)
+                order = np.lexsort((is_hot, bucket.astype(np.int32)))
+                bucket, grams, own, is_hot = bucket[order].astype(np.int32), (grams & _LOW40)[order], own[order], is_hot[order]
+                edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True) if len(edge) else ():
+                    c = b - int(is_hot[a:b].sum())
+                    kept.setdefault(int(bucket[a]), []).append((grams[a:c].astype(np.uint32), (grams[a:c] >> np.uint64(32)).astype(np.uint8), own[a:c], grams[c:b], own[c:b]))
             rows = []
             for k, parts in kept.items():
                 cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 rows.append((k, len(cols[0]), len(cols[3]), b"".join(c.tobytes() for c in cols)))
-            if rows:
+            for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int32()),
-                    pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], names=["bucket", "sid", "n", "count", "blob"])
+                    pa.array([r[0] for r in rows[i : i + 64]], pa.int32()), pa.array([r[1] for r in rows[i : i + 64]], pa.int32()),
+                    pa.array([r[2] for r in rows[i : i + 64]], pa.int32()), pa.array([r[3] for r in rows[i : i + 64]], pa.binary())], names=["bucket", "cold", "hot", "blob"])
 
     return run
 
 
-def _shared(key: tuple, t: pa.Table) -> pa.Table:
-    """Of one bucket: to each set its shingles that at least two sets have, as (class of df, bucket, low bits)."""
-    bucket = key[0].as_py()
-    sids, ns, counts, toks = [], [], [], []
-    for sets, tokens, blob in zip(t.column("sid").to_pylist(), t.column("count").to_pylist(), t.column("blob"), strict=True):
-        raw = np.frombuffer(blob.as_buffer(), np.uint8)
-        cuts = np.cumsum([0, 8 * sets, 4 * sets, 4 * sets, 4 * tokens, tokens])
-        part = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        sids.append(part[0].view(np.int64))
-        ns.append(part[1].view(np.int32))
-        counts.append(part[2].view(np.int32))
-        toks.append(part[3].view(np.uint32).astype(np.uint64) | (part[4].astype(np.uint64) << np.uint64(32)))
-    if not sids:
-        return _empty_shared()
-    sid, n, count, tok = (np.concatenate(x) for x in (sids, ns, counts, toks))
-    ids, first, inverse = np.unique(sid, return_index=True, return_inverse=True)
-    n = n[first]
-    own = np.repeat(inverse, count)
-    order = np.lexsort((own, tok))
-    tok, own = tok[order], own[order]
-    keep = np.ones(len(tok), bool)
-    keep[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])  # a set can come from several tasks
-    tok, own = tok[keep], own[keep]
-    edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-    df = np.diff(np.append(edge, len(tok)))
-    df = np.repeat(df, df)
-    tok, own, df = tok[df > 1], own[df > 1], df[df > 1]
-    if not len(tok):
-        return _empty_shared()
-    level = np.minimum(np.floor(2 * np.log2(df)).astype(np.uint64), np.uint64(62))
-    value = (level << np.uint64(58)) | (np.uint64(bucket) << np.uint64(40)) | tok
-    order = np.argsort(own, kind="stable")
-    value, own = value[order], own[order]
-    edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    ends = np.append(edge[1:], len(own))
-    who = own[edge]
-    return pa.table([pa.array(ids[who]), pa.array(n[who]), pa.array((ends - edge).astype(np.int32)), pa.array([value[a:b].tobytes() for a, b in zip(edge, ends, strict=True)], pa.binary())], names=["sid", "n", "count", "blob"])
+def _shared(parts: int):
+    """Of one bucket: to each set its tokens that at least two sets have, as (class of df, bucket, low bits), packed by the set's part."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        low, high, cold, value, warm = [], [], [], [], []
+        for a, b, blob in zip(t.column("cold").to_pylist(), t.column("hot").to_pylist(), t.column("blob"), strict=True):
+            raw = np.frombuffer(blob.as_buffer(), np.uint8)
+            cuts = np.cumsum([0, 4 * a, a, 8 * a, 8 * b, 8 * b])
+            for to, x, y, kind in zip((low, high, cold, value, warm), cuts[:-1], cuts[1:], (np.uint32, np.uint8, np.int64, np.uint64, np.int64), strict=True):
+                to.append(np.frombuffer(raw[x:y].tobytes(), kind))
+        tok = np.concatenate(low).astype(np.uint64) | (np.concatenate(high).astype(np.uint64) << np.uint64(32))
+        own = np.concatenate(cold)
+        del low, high, cold
+        order = np.argsort(tok, kind="stable")
+        tok, own = tok[order], own[order]
+        edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, int)
+        df = np.repeat(np.diff(np.append(edge, len(tok))), np.diff(np.append(edge, len(tok))))
+        tok, own = tok[df > 1], own[df > 1]
+        order = np.lexsort((own, tok))
+        tok, own = tok[order], own[order]
+        keep = np.ones(len(tok), bool)
+        keep[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])  # a set can come from several tasks
+        tok, own = tok[keep], own[keep]
+        edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, int)
+        df = np.repeat(np.diff(np.append(edge, len(tok))), np.diff(np.append(edge, len(tok))))
+        tok, own, df = tok[df > 1], own[df > 1], df[df > 1]
+        level = np.minimum(np.floor(2 * np.log2(np.maximum(df, 1))).astype(np.uint64), np.uint64(62))
+        tok = (level << np.uint64(58)) | (np.uint64(bucket) << np.uint64(40)) | tok
+        tok = np.concatenate([tok, (np.uint64(63) << np.uint64(58)) | np.concatenate(value)])
+        own = np.concatenate([own, *warm])
+        part = (mix(own.view(np.uint64)) >> np.uint64(20)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        tok, own, part = tok[order], own[order], part[order].astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+        ends = np.append(edge[1:], len(part))
+        return pa.table([pa.array(part[edge]), pa.array([own[a:b].tobytes() + tok[a:b].tobytes() for a, b in zip(edge, ends, strict=True)] if len(edge) else [], pa.binary())], names=["part", "blob"])
 
-
-def _empty_shared() -> pa.Table:
-    return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["sid", "n", "count", "blob"])
+    return run
 
 
-def _ordered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join a set's parts into its shared shingles in global order."""
-    for batch in it:
-        toks = [np.sort(np.frombuffer(b"".join(x), np.uint64)).tobytes() for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(toks, pa.binary())], names=["sid", "n", "toks"])
+def _gather(t: pa.Table) -> pa.Table:
+    """Of one part: each set's shared tokens in global order."""
+    own, tok = [], []
+    for blob in t.column("blob"):
+        raw = np.frombuffer(blob.as_buffer(), np.int64)
+        own.append(raw[: len(raw) // 2])
+        tok.append(raw[len(raw) // 2 :].view(np.uint64))
+    own, tok = np.concatenate(own), np.concatenate(tok)
+    order = np.lexsort((tok, own))
+    own, tok = own[order], tok[order]
+    keep = np.ones(len(tok), bool)
+    keep[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])
+    own, tok = own[keep], tok[keep]
+    edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    ends = np.append(edge[1:], len(own))
+    return pa.table([pa.array(own[edge]), pa.array([tok[a:b].tobytes() for a, b in zip(edge, ends, strict=True)], pa.binary())], names=["sid", "toks"])
 
 
 def _prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tok, sid) for the shared shingles in each set's prefix."""
+    """(tok, sid) for the shared tokens in each set's prefix, unless tokens of its own fill that."""
     for batch in it:
         sid, toks = [], []
-        for s, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        kept, shared = _kept(batch.column(1).to_numpy().astype(np.int64))
+        for s, k, m, raw in zip(batch.column(0).to_pylist(), kept.tolist(), shared.tolist(), batch.column(2).to_pylist(), strict=True):
             t = np.frombuffer(raw, np.int64)
-            t = t[: max(0, n - (4 * n + 4) // 5 + 1 - (n - len(t)))]
+            t = t[: max(0, k - m + 1 - (k - len(t)))]
             toks.append(t)
             sid.append(np.full(len(t), s, np.int64))
         if toks:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(sid))], names=["tok", "sid"])
 
 
+def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, coarse, toks) of the texts of sets that meet others."""
+    for batch in it:
+        want, coarse = batch.column(1).to_numpy(), batch.column(2)
+        for a, b, grams, bounds, sid in _sets(batch):
+            ok = np.flatnonzero(sid == want[a:b])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(sid[ok]), coarse.slice(a, b - a).take(pa.array(ok)), pa.array([grams[bounds[i] : bounds[i + 1]].tobytes() for i in ok.tolist()], pa.binary())], names=["sid", "coarse", "toks"])
+
+
 class Node:
     """A stretch of a path: its ranks, what follows, the sets that end here, and sizes and component of the subtree."""
 
@@ -282,17 +300,17 @@ def _insert(root: Node, me: int, mine: np.ndarray, size: int, find) -> None:
 
 def _join_groups(t: pa.Table) -> pa.Table:
     """Links within each coarse group of one task's sets."""
-    groups: dict[int, list[int]] = {}
-    for i, g in enumerate(t.column("coarse").to_pylist()):
-        groups.setdefault(g, []).append(i)
-    sid, n, toks = t.column("sid").to_pylist(), t.column("n").to_pylist(), t.column("toks").to_pylist()
+    groups: dict[int, dict[int, int]] = {}
+    for i, (g, s) in enumerate(zip(t.column("coarse").to_pylist(), t.column("sid").to_pylist(), strict=True)):
+        groups.setdefault(g, {})[s] = i
+    toks = t.column("toks")
     a, b = [], []
     for rows in groups.values():
-        # the class of a shingle's frequency isn't part of its name
-        sets = [np.frombuffer(toks[i], np.uint64) for i in rows]
-        for x, y in trie_links([n[i] for i in rows], sets):
-            a.append(sid[rows[x]])
-            b.append(sid[rows[y]])
+        sids = sorted(rows)
+        sets = [np.frombuffer(toks[rows[s]].as_py(), np.uint64) for s in sids]
+        for x, y in trie_links(list(map(len, sets)), sets):
+            a.append(sids[x])
+            b.append(sids[y])
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
@@ -300,48 +318,44 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc, n, component) of each row of docs."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    first = cut(map_arrow(docs, _document_rows, "doc long, sid long, n int, hot long, df long"), "sets")
-    rows = first.where(F.col("hot").isNull()).select("doc", "sid", "n")
-    tokens, n_docs = rows.agg(F.sum(F.col("n").cast("long")), F.count("*")).first()
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tid"), F.col(text).alias("text"))
+    first = cut(map_arrow(docs, _document_rows, "doc long, tid long, sid long, n int, hot long, df long"), "sets")
+    rows = first.where(F.col("hot").isNull()).select("doc", "tid", "sid", "n")
+    n_docs, tokens = rows.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
     hot = first.where(F.col("hot").isNotNull()).groupBy("hot").agg(F.sum("df").alias("df")).where(F.col("df") >= max(64, n_docs // HOT_SHARE))
     hot = np.sort(np.array([r.hot for r in hot.select("hot").collect()], np.int64).view(np.uint64))  # at most HOT_SHARE * mean set size
     buckets = min(max(default_parallelism(spark), -(-(tokens or 0) // BUCKET)), 1 << 18)
 
-    parts = map_arrow(docs.select("doc", "text"), _packed(buckets, hot), "bucket int, sid long, n int, count int, blob binary")
-    # the hot shingles of a set take the same way as the others but need no bucket
-    shared = parts.where(F.col("bucket") >= 0).groupBy("bucket").applyInArrow(_shared, "sid long, n int, count int, blob binary")
-    if len(hot):
-        own = parts.where(F.col("bucket") < 0).select("sid", "n", "count", "blob")
-        shared = shared.unionByName(own.dropDuplicates(["sid"]))
-    alike = shared.groupBy("sid").agg(F.first("n").alias("n"), F.sum("count").alias("s"), F.collect_list("blob").alias("blobs"))
-    n = F.col("n")
-    alike = alike.where(n - F.col("s") < n - F.ceil(n * 4 / F.lit(5.0)) + 1).select("sid", "n", "blobs")
-    alike = cut(map_arrow(alike, _ordered, "sid long, n int, toks binary"), "shared")
-
+    packed = map_arrow(docs.select("text"), _packed(buckets, hot), "bucket int, cold int, hot int, blob binary")
+    shared = packed.groupBy("bucket").applyInArrow(_shared(buckets), "part long, blob binary").groupBy("part").applyInArrow(_gather, "sid long, toks binary")
+    classes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.first("n").alias("n"), F.min("tid").alias("tid"), F.min("doc").alias("rep")), "classes")
+    alike = shared.join(classes.select(F.col("sid").alias("id"), "n"), F.col("sid") == F.col("id")).select("sid", "n", "toks")
     prefix = cut(map_arrow(alike, _prefixes, "tok long, sid long"), "prefix")
     pivot = prefix.groupBy("tok").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).where(F.col("pivot") < F.col("last")).select("tok", "pivot")
     edges = prefix.join(pivot, "tok").where(F.col("sid") > F.col("pivot")).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
-    coarse = cut(components(edges).select(F.col("id").alias("sid"), F.col("component").alias("coarse")), "coarse")
-
-    many = coarse.groupBy("coarse").count().where(F.col("count") > block).select("coarse", F.ceil(F.col("count") / block).cast("int").alias("nb"))
-    tasks = max(default_parallelism(spark), coarse.count() // 1000 + 1)
-    sets = alike.join(coarse, "sid").join(many, "coarse", "left")
+    coarse = components(edges).select(F.col("id").alias("met"), F.col("component").alias("coarse"))
+    coarse = cut(coarse.join(classes, F.col("met") == F.col("sid")).select("sid", F.col("tid").alias("rep_tid"), "n", "coarse"), "coarse")
+    n_met = coarse.count()
+
+    met = maybe_broadcast(coarse.select("rep_tid", F.col("sid").alias("want"), "coarse"), n_met, 48)
+    sets = map_arrow(docs.join(met, F.col("tid") == F.col("rep_tid")).select("text", "want", "coarse"), _whole, "sid long, coarse long, toks binary")
+    # a text's copies bring its set again; _join_groups takes each once
+    many = coarse.groupBy(F.col("coarse").alias("c")).count().where(F.col("count") > block).select("c", F.ceil(F.col("count") / block).cast("int").alias("nb"))
+    tasks = max(default_parallelism(spark), n_met // 1000 + 1)
+    sets = sets.join(many, F.col("coarse") == F.col("c"), "left")
     part = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
     pairs = F.when(F.col("nb").isNull(), F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(x, part).alias("i"), F.greatest(x, part).alias("j"))))
     sets = sets.withColumn("ij", F.explode(pairs)).select(
-        "sid", "n", "toks", "coarse", F.when(F.col("nb").isNull(), F.pmod(F.xxhash64("coarse"), F.lit(tasks))).otherwise(F.col("coarse")).alias("g"), "ij.i", "ij.j")
+        "sid", "toks", "coarse", F.when(F.col("nb").isNull(), F.pmod(F.xxhash64("coarse"), F.lit(tasks))).otherwise(F.col("coarse")).alias("g"), "ij.i", "ij.j")
     links = sets.groupBy("g", "i", "j").applyInArrow(_join_groups, "a long, b long")
-    linked = components(links).select("id", F.col("component").alias("root"))
+    linked = cut(components(links).select("id", F.col("component").alias("root")), "linked")
 
-    least = rows.where(n > 0).groupBy(F.col("sid").alias("id")).agg(F.min("doc").alias("rep"))
-    linked = cut(linked, "linked")
-    best = linked.join(least, "id").groupBy("root").agg(F.min("rep").alias("best"))
+    best = linked.join(classes, F.col("id") == F.col("sid")).groupBy("root").agg(F.min("rep").alias("best"))
     best = linked.join(best, "root").select(F.col("id").alias("best_id"), "best")
-    classes = least.join(best, F.col("id") == F.col("best_id"), "left").select("id", F.coalesce("best", "rep").alias("component"))
-    out = rows.join(classes, (F.col("sid") == F.col("id")) & (n > 0), "left")
-    discard(prefix)
+    final = cut(classes.join(best, F.col("sid") == F.col("best_id"), "left").select(F.col("sid").alias("id"), F.coalesce("best", "rep").alias("component")), "final")
+    out = rows.join(final, F.col("sid") == F.col("id"), "left")
+    discard(prefix, coarse, linked)
     return out.select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 
