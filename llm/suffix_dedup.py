@@ -246,7 +246,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     marked = cut(anchors.join(twice, F.col("h") == F.col("dup")).select("tid", "h", "at", "c"), "marked")
     n = marked.count()
     marks = marked.groupBy(F.col("tid").alias("t")).agg(F.collect_list(F.struct("h", "at")).alias("marks"))
-    near = docs.join(maybe_broadcast(marks, n, 40), F.col("tid") == F.col("t")).select("tid", "text", "marks")
+    # as marks grow with the texts, this join is shuffled at every size
+    near = docs.join(marks, F.col("tid") == F.col("t")).select("tid", "text", "marks")
     ctx = map_arrow(near, _contexts(span, gram), "h long, tid long, at long, before int, ctx binary")
     much = marked.where(F.col("c") > hot).select(F.col("h").alias("hot_h")).distinct()
     n_hot = much.count()
@@ -256,7 +257,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
         windows = map_arrow(ctx.where(F.col("hot_h").isNotNull()).drop("hot_h"), _window_hashes(span, gram), "w1 long, w2 long, tid long, start long")
         spot = F.xxhash64("tid", "start")
         again = windows.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where(F.col("a") < F.col("b")).select("x1", "x2")
-        more = windows.join(again, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).select("tid", "start", (F.col("start") + span).alias("end")).distinct()
+        again = cut(again, "again")
+        more = windows.join(maybe_broadcast(again, again.count(), 40), (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).select("tid", "start", (F.col("start") + span).alias("end")).distinct()
         ctx = ctx.where(F.col("hot_h").isNull()).drop("hot_h")
     found = ctx.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(_group_repeats(span, gram), "tid long, start long, end long")
     copies = docs.select("tid", F.octet_length("text").cast("long").alias("n")).groupBy("tid").agg(F.count("*").alias("c"), F.first("n").alias("n"))
@@ -270,8 +272,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.xxhash64(text_).alias("tid"), text_.alias("text"), F.col(doc_id).alias("doc"))
     found = repeated_spans(docs.select("tid", "text"), span, gram, hot)
     found = cut(found.groupBy(F.col("tid").alias("t")).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    size = found.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    found = maybe_broadcast(found, (size[0] or 0) + (size[1] or 0), 40)
     rows = docs.join(found, F.col("tid") == F.col("t"), "left").select("doc", "text", "spans")
     kind = docs.schema["doc"].dataType.simpleString()
     return map_arrow(rows, _remove, f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
