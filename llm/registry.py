@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from llm import decontaminate, fingerprint, html_text, jaccard, langid, pieces, pii, suffix_dedup, toxicity, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_text": html_text.op9_html_text,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.SQL,
