@@ -9,8 +9,9 @@ that after a shift and scale fitted to the labels.
 Training is multiple-instance: of a bounded sample (PER_CLASS labelled rows a class, those with the smallest hash
 of doc_id) each text is known by the window that the network finds most toxic at the time.
 The first coordinate of the embeddings starts with the log odds of word and trigram in the sample, shrunk
-where they are uncertain.  Labels can be wrong: from the third round on, texts of class 1 that the network still
-finds harmless are left out, or it would learn them by heart.
+where they are uncertain, and in the first round the window with the highest of them stands for a text.  Labels can be
+wrong: after the first round, texts of class 1 that the network finds harmless are left out, or it would learn
+them by heart.
 
 Null and empty texts have one empty window.  Labels that are null or belong to no document teach nothing; without
 labels of both classes every score is 0.  Repeated rows: each keeps a row.  Other columns are ignored.
@@ -220,10 +221,13 @@ def train(texts: list[str], goal: np.ndarray, share: float, epochs: int = EPOCHS
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs):
-        every = net.inputs(words.bucket, words.grams, words.bounds)
-        logit = np.concatenate([net.forward(every, idx[a : a + 8192]) for a in range(0, len(idx), 8192)])
+        if epoch:
+            every = net.inputs(words.bucket, words.grams, words.bounds)
+            logit = np.concatenate([net.forward(every, idx[a : a + 8192]) for a in range(0, len(idx), 8192)])
+        else:  # the network knows nothing yet: the window with the most telling word
+            logit = np.append(net.p["ew"][words.bucket, 0], -9)[idx].max(1)
         best = np.lexsort((-logit, text))[np.searchsorted(text, np.arange(len(texts)))]
-        if epoch > 1:  # a text of class 1 that nothing found so far explains is taken for a wrong label
+        if epoch:  # a text of class 1 that nothing found so far explains is taken for a wrong label
             best = best[(goal == 0) | (logit[best] > 0)]
         spare = r.integers(0, len(idx), len(texts))
         chosen = r.permutation(np.concatenate([best, spare[goal[text[spare]] == 0]]))
