@@ -25,6 +25,7 @@ import hashlib
 import math
 import re
 import struct
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from llm.common import map_arrow, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of the lookup table of one worker.
-HELD = 400_000
+HELD = 500_000
 #: Longest stretch, in characters, that is looked up; longer ones are searched each time.
 LOOKED_UP = 64
 _NONE = float("-inf")
@@ -91,6 +92,17 @@ def load(model: str = MODEL) -> list[tuple[str, float, int]]:
     return out
 
 
+class Held(dict):
+    """Ids of stretches; one that is missing is searched."""
+
+    def __init__(self, coder: Coder):
+        super().__init__()
+        self.coder = weakref.proxy(coder)  # no cycle: the table goes with its task's coder
+
+    def __missing__(self, stretch: str) -> bytes:
+        return self.coder._search(stretch)
+
+
 class Coder:
     """Encoder and decoder of one vocabulary; picklable."""
 
@@ -104,13 +116,21 @@ class Coder:
         self.split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         ends: dict[str, set[int]] = {}
         for p in self.score:
-            ends.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {c: sorted(x) for c, x in ends.items()}
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {c: sorted(x, reverse=True) for c, x in ends.items()}  # of pieces that end in two characters
         self.raw = [bytes([int(p[1:-1], 16)]) if k == 6 else b"" if k in (2, 3) else p.replace(SPACE, " ").encode() for p, _, k in pieces]
-        self.held: dict[str, bytes] = {}
+        self.sizes = np.array([len(x) for x in self.raw])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.held = Held(self)
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "held"}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.held = Held(self)
 
     def stream(self, chars: str | list[str]) -> Iterator[int]:
         """Ids of a text whose spaces are marks, committed as soon as they are certain.
@@ -119,20 +139,9 @@ class Coder:
         """
         best, back, ids = [0.0], [0], [()]
         done, start = 0, 0  # done: the last boundary committed; lists begin there
-        text, longest, score, lengths = chars, self.longest, self.score, self.lengths
+        text, longest = chars, self.longest
         for end in range(1, len(text) + 1):
-            last = text[end - 1]
-            top, at, got = _NONE, end - 1, ()
-            for n in reversed(lengths.get(last, ())):
-                b = end - n
-                if b < done:
-                    continue
-                hit = score.get(text[b:end] if isinstance(text, str) else "".join(text[b:end]) if all(text[b:end]) else "")
-                if hit is not None and best[b - start] + hit[0] > top:
-                    top, at, got = best[b - start] + hit[0], b, (hit[1],)
-            if best[end - 1 - start] + self.unknown > top and 1 not in (lengths.get(last, ()) if last in score else ()):
-                top, at = best[end - 1 - start] + self.unknown, end - 1
-                got = tuple(self.byte[x] for x in (last or SPACE).encode())
+            top, at, got = self._best(text, end, start, best)
             best.append(top)
             back.append(at)
             ids.append(got)
@@ -158,12 +167,54 @@ class Coder:
         for p in reversed(parts):
             yield from p
 
+    def _best(self, text: str | list[str], end: int, start: int, best: list[float]) -> tuple[float, int, tuple[int, ...]]:
+        """(score, begin, ids) of the best last step of a path to end."""
+        score, last = self.score, text[end - 1]
+        top, at, got = _NONE, end - 1, ()
+        one = score.get(last) if last else None
+        pair = text[end - 2 : end] if end > 1 else ""
+        for n in self.lengths.get(pair if isinstance(pair, str) else "".join(pair) if all(pair) else "", ()):
+            b = end - n
+            if b < start:
+                continue
+            hit = score.get(text[b:end] if isinstance(text, str) else "".join(text[b:end]) if all(text[b:end]) else "")
+            if hit is not None and best[b - start] + hit[0] > top:
+                top, at, got = best[b - start] + hit[0], b, (hit[1],)
+        alone = best[end - 1 - start] + (one[0] if one else self.unknown)
+        if alone > top:
+            return alone, end - 1, (one[1],) if one else tuple(self.byte[x] for x in (last or SPACE).encode())
+        return top, at, got
+
+    def _within(self, s: str) -> bytes:
+        """The ids of a stretch that is a window by itself; the same steps as stream() takes, without looking for a meeting point."""
+        score, lengths, best, back, ids = self.score, self.lengths, [0.0], [0], [()]
+        for end in range(1, len(s) + 1):
+            one = score.get(s[end - 1])
+            if one is None:
+                top, at, got = self._best(s, end, 0, best)
+            else:
+                top, at, got = _NONE, 0, None
+                if end > 1:
+                    for n in lengths.get(s[end - 2 : end], ()):
+                        if n <= end:
+                            hit = score.get(s[end - n : end])
+                            if hit is not None and best[end - n] + hit[0] > top:
+                                top, at, got = best[end - n] + hit[0], end - n, hit[1]
+                if best[-1] + one[0] > top:
+                    top, at, got = best[-1] + one[0], end - 1, one[1]
+                got = (got,)
+            best.append(top)
+            back.append(at)
+            ids.append(got)
+        return struct.pack(f"<{len(x)}i", *x) if (x := list(self._path(back, ids, 0, 0, len(s)))) else b""
+
     def _search(self, marked: str) -> bytes:
-        out = np.fromiter(self.stream(marked), np.int32).tobytes()
-        if len(marked) <= LOOKED_UP:
-            if len(self.held) >= HELD:
-                self.held.clear()
-            self.held[marked] = out
+        if len(marked) > LOOKED_UP:
+            return np.fromiter(self.stream(marked), np.int32).tobytes()
+        out = self._within(marked)
+        if len(self.held) >= HELD:
+            self.held.clear()
+        self.held[marked] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -173,11 +224,16 @@ class Coder:
         if SPACE in text or not self.split:  # a mark of the text's own goes as bytes
             chars = [SPACE, *("" if c == SPACE else SPACE if c == " " else c for c in text)]
             return np.fromiter(self.stream(chars), np.int32).tobytes()
-        held, out = self.held, []
-        for s in _STRETCH.findall(SPACE + text.replace(" ", SPACE)):
-            got = held.get(s)
-            out.append(self._search(s) if got is None else got)
-        return b"".join(out)
+        return b"".join(map(self.held.__getitem__, _STRETCH.findall(SPACE + text.replace(" ", SPACE))))
+
+    def equal(self, ids: np.ndarray, texts: list[str], bounds: np.ndarray) -> list[bool]:
+        """Whether the ids between bounds decode to each text; the same bytes as decode() gives, for many texts at once."""
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        out = self.bytes[np.repeat(self.begins[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.concatenate([[0], ends])[bounds]
+        raw = out.tobytes()
+        return [raw[a + (b > a) : b] == t.encode() for a, b, t in zip(at[:-1].tolist(), at[1:].tolist(), texts, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -190,16 +246,17 @@ _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 def _encode(coder: Coder):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for a in range(0, batch.num_rows, 1000):
-                texts = batch.column(1).slice(a, 1000).to_pylist()
+            for a in range(0, batch.num_rows, 250):
+                texts = batch.column(1).slice(a, 250).to_pylist()
                 packed = [coder.encode(t or "") for t in texts]
-                exact = [coder.decode(np.frombuffer(p, np.int32).tolist()) == (t or "") for p, t in zip(packed, texts, strict=True)]
-                flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                every = np.frombuffer(b"".join(packed), np.int32)
                 offsets = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
+                exact = coder.equal(every, [t or "" for t in texts], offsets)
+                flat = pa.array(every)
                 null = np.array([t is None for t in texts] + [False])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, mask=null) if null.any() else pa.array(offsets), flat)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, 1000), pa.array(np.diff(offsets).astype(np.int64)), ids,
+                    batch.column(0).slice(a, 250), pa.array(np.diff(offsets).astype(np.int64)), ids,
                     pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array(exact)], names=["doc_id", "n_ids", "ids", "ids_sha256", "round_trip"])
 
     return run
