@@ -9,9 +9,9 @@ that after a shift and scale fitted to the labels.
 Training is multiple-instance: of a bounded sample (PER_CLASS labelled rows a class, those with the smallest hash
 of doc_id) each text is known by the window that the network finds most toxic at the time.
 The first coordinate of the embeddings starts with the log odds of word and trigram in the sample, shrunk
-where they are uncertain, and in the first round the window with the highest of them stands for a text.  Labels can be
-wrong: after the first round, texts of class 1 that the network finds harmless are left out, or it would learn
-them by heart.
+where they are uncertain, and at first the window with the highest of them stands for a text.  Labels can be
+wrong: later, texts of class 1 that the network finds harmless, half of the class at most, are left out, or it would
+learn them by heart.
 
 Null and empty texts have one empty window.  Labels that are null or belong to no document teach nothing; without
 labels of both classes every score is 0.  Repeated rows: each keeps a row.  Other columns are ignored.
@@ -36,6 +36,10 @@ WINDOW, STEP = 32, 16
 WORDS, GRAMS = 1 << 13, 1 << 12
 EMBED, HIDDEN, ATTEND = 8, 8, 8
 EPOCHS, BATCH, RATE = 6, 128, 0.01
+#: Batches that a small sample is trained on at least, about.
+STEPS = 110
+#: Empty texts of class 0 that are added to the sample.
+EMPTY = 40
 #: Misses that a false alarm is worth.
 ALARM = 2.0
 
@@ -205,6 +209,7 @@ def _odds(kind: np.ndarray, text: np.ndarray, goal: np.ndarray, size: int) -> np
 def train(texts: list[str], goal: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 7) -> Network:
     """A network for texts of classes 0 and 1; share: of class 1 among all labelled rows."""
     net, r = Network(seed), np.random.default_rng(seed)
+    texts, goal = [*texts, *[""] * EMPTY], np.append(goal, np.zeros(EMPTY, int))
     raw = [t.encode() for t in texts]
     words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     idx, text = words.windows()
@@ -220,15 +225,16 @@ def train(texts: list[str], goal: np.ndarray, share: float, epochs: int = EPOCHS
         net.p[f"x{d}"][0, 2 * HIDDEN :] = 0.5
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    for epoch in range(epochs):
-        if epoch:
+    for _ in range(max(epochs, -(-STEPS * BATCH // len(texts)))):
+        early = step < STEPS // 8
+        if not early:
             every = net.inputs(words.bucket, words.grams, words.bounds)
             logit = np.concatenate([net.forward(every, idx[a : a + 8192]) for a in range(0, len(idx), 8192)])
-        else:  # the network knows nothing yet: the window with the most telling word
+        else:  # the network knows little yet: the window with the most telling word
             logit = np.append(net.p["ew"][words.bucket, 0], -9)[idx].max(1)
         best = np.lexsort((-logit, text))[np.searchsorted(text, np.arange(len(texts)))]
-        if epoch:  # a text of class 1 that nothing found so far explains is taken for a wrong label
-            best = best[(goal == 0) | (logit[best] > 0)]
+        if not early:  # a text of class 1 that looks harmless is taken for a wrong label, but not most of them
+            best = best[(goal == 0) | (logit[best] >= min(0, np.median(logit[best][goal == 1])))]
         spare = r.integers(0, len(idx), len(texts))
         chosen = r.permutation(np.concatenate([best, spare[goal[text[spare]] == 0]]))
         chosen = chosen[~aside[text[chosen]]]
