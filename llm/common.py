@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows times bytes a row up to which a side, once counted, is broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
+#: What goes to a Python worker at once: few rows, as one text can be large.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -50,6 +53,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, unless they find it on their own path."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
     if _ROOT in path or os.path.abspath(os.getcwd()) == _ROOT or getattr(sc, "_llm_shipped", False):
@@ -64,10 +69,36 @@ def ship(spark: SparkSession) -> None:
     sc._llm_shipped = True
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def lean(fn):
+    """fn for a worker that lives on after its task: memory that the task no longer needs goes back to the system."""
+    import inspect
+
+    def free() -> None:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # no such function here
+
+    def over_batches(it):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from fn(it)
+        finally:
+            free()
+
+    return over_batches if len(inspect.signature(fn).parameters) == 1 else fn
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """mapInArrow for a function of this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lean(fn), schema)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from llm.common import cut, default_parallelism, discard, map_arrow, maybe_broadcast, ship, table
 from llm.components import components
-from llm.kernels import mix, pieces, shingles
+from llm.kernels import mix, pieces, regroup, shingles
 
 K = 5
 #: Linked: NUM * intersection >= DEN * (size a + size b), that is intersection >= 0.8 * union.
@@ -60,7 +60,7 @@ def _document_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row of each document, and (hot, df) rows of the shingles frequent in a batch."""
     names = ["doc", "tid", "sid", "n", "hot", "df"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    for batch in it:
+    for batch in regroup(it):
         parts = list(_sets(batch))
         if not parts:
             continue
@@ -94,7 +94,7 @@ def _kept(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _packed(buckets: int, hot: np.ndarray):
     """To (bucket, cold, hot, blob) rows: pairs of the searched tokens and their sets, in as many bytes at any size."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in regroup(it):
             kept: dict[int, list] = {}
             seen: set[int] = set()
             for _, _, grams, bounds, sid in _sets(batch):
@@ -328,6 +328,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     packed = map_arrow(docs.select("text"), _packed(buckets, hot), "bucket int, cold int, hot int, blob binary")
     shared = packed.groupBy("bucket").applyInArrow(_shared(buckets), "part long, blob binary").groupBy("part").applyInArrow(_gather, "sid long, toks binary")
+    shared = cut(shared, "shared")  # so that no task runs two Python operators
     classes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.first("n").alias("n"), F.min("tid").alias("tid"), F.min("doc").alias("rep")), "classes")
     alike = shared.join(classes.select(F.col("sid").alias("id"), "n"), F.col("sid") == F.col("id")).select("sid", "n", "toks")
     prefix = cut(map_arrow(alike, _prefixes, "tok long, sid long"), "prefix")
@@ -355,7 +356,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     best = linked.join(best, "root").select(F.col("id").alias("best_id"), "best")
     final = cut(classes.join(best, F.col("sid") == F.col("best_id"), "left").select(F.col("sid").alias("id"), F.coalesce("best", "rep").alias("component")), "final")
     out = rows.join(final, F.col("sid") == F.col("id"), "left")
-    discard(prefix, coarse, linked)
+    discard(shared, prefix, coarse, linked)
     return out.select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BINV = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
@@ -75,6 +75,19 @@ def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = end
 
 
+def regroup(it: Iterator[pa.RecordBatch], limit: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``limit`` bytes, but for the last."""
+    held, size = [], 0
+    for batch in it:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, is_sep: np.ndarray = ASCII_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each row and the total) of the maximal runs of bytes that aren't separators."""
     if not len(data):

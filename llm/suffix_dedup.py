@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import cut, default_parallelism, map_arrow, maybe_broadcast, ship, table
-from llm.kernels import _pow, buffers, mix, pieces
+from llm.kernels import _pow, buffers, mix, pieces, regroup
 
 SPAN, GRAM = 400, 64
 HOT = 50_000
@@ -69,7 +69,7 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram:
 
 def _anchor_rows(span: int, gram: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in regroup(it):
             tid = batch.column(0).to_numpy()
             seen: set[int] = set()
             for a, b, data, offsets in pieces(batch.column(1)):
