@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import geometry, grid
 from parchment.functions import text as tx
-from parchment.operators import catalog, wiki
+from parchment.operators import catalog, model, wiki
 from parchment.plans import prompts, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -512,3 +512,137 @@ def z_order(spark, d):
 
     o = W.partitionBy("l_orderkey").orderBy("z", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return read(spark, d, "lineitem").withColumn("z", rank).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "z", F.row_number().over(o).cast("long").alias("pos"))
+
+
+# ---- parts of files, settings and model calls
+
+
+@query("SELECT o_orderkey, coalesce(nullif(trim(k), ''), 'default-model') AS model FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '  ' WHEN 1 THEN ' m' || o_orderkey || ' ' END AS k FROM orders)")
+def settings_defaults(spark, d):
+    k = F.col("o_orderkey")
+    value = F.when(k % 3 == 0, "  ").when(k % 3 == 1, F.concat(F.lit(" m"), k.cast("string"), F.lit(" ")))
+    return read(spark, d, "orders").select("o_orderkey", model.setting(value, F.lit("default-model")).alias("model"))
+
+
+@query(f"""WITH {_TRANSCRIPT} SELECT conv_id, CAST(to_json({{'model': 'm', 'temperature': 0.2::DOUBLE, 'messages': [{{'role': 'system', 'content': {lit(prompts.MINUTES_SYSTEM)}}}, {{'role': 'user', 'content': {lit(prompts.MINUTES_USER)} || text}}]}}) AS VARCHAR) AS request FROM tr""")
+def model_request(spark, d):
+    p = prompts.minutes(_transcripts(spark, d), "conv_id", "text")
+    return p.select("conv_id", model.request("m", F.col("system"), F.col("user")).alias("request"))
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 7 <> 0 THEN trim(left(text, 50)) END AS answer, CASE WHEN conv_id % 7 = 0 THEN '오류: LLM 요청 실패 (500): ' || left(repeat('no ', 200), 300) END AS error
+FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id)""")
+def model_answer(spark, d):
+    """Answers of a model that repeats the start of the prompt and is down for every seventh conversation."""
+    first = read(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    p = first.select("conv_id", F.when(F.col("conv_id") % 7 == 0, "down").otherwise("up").alias("system"), F.left("text", F.lit(50)).alias("user"))
+    return model.complete(p, "conv_id", "m", _echo)
+
+
+def _echo(request: str) -> tuple[int, str]:
+    import json
+
+    system, user = (m["content"] for m in json.loads(request)["messages"])
+    return (500, "no " * 200) if system == "down" else (200, json.dumps({"choices": [{"message": {"content": f" {user} "}}]}))
+
+
+@query("""SELECT o_orderkey, coalesce(a.p_name, b.p_name, c.p_name) AS image FROM orders
+LEFT JOIN part a ON a.p_partkey = o_orderkey % 5000 - 1 AND a.p_partkey % 4 = 0 LEFT JOIN part b ON b.p_partkey = o_orderkey % 5000 AND b.p_partkey % 4 = 0
+LEFT JOIN part c ON c.p_partkey = o_orderkey % 5000 + 1 AND c.p_partkey % 4 = 0""")
+def image_lookup(spark, d):
+    images = read(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), "p_name")
+    o = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 5000).alias("item"))
+    for i, step in enumerate((-1, 0, 1)):
+        o = o.join(images.select(F.col("id").alias(f"id{i}"), F.col("p_name").alias(f"n{i}")), F.col("item") + step == F.col(f"id{i}"), "left")
+    return o.select("o_orderkey", F.coalesce("n0", "n1", "n2").alias("image"))
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 'slide' END, CASE WHEN c_custkey % 3 = 0 THEN c_name END, n_name, 'theme') AS background
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0""")
+def slide_chain(spark, d):
+    layout = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name")
+    master = read(spark, d, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", "n_name")
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey").join(layout, F.col("o_custkey") == F.col("c_custkey"), "left").join(master, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return o.select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 5 == 0, "slide"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")), "n_name", F.lit("theme")).alias("background"))
+
+
+@query("SELECT doc_id, CASE WHEN trim(text_) <> '' THEN '[발표자 노트] ' || text_ END AS note FROM (SELECT doc_id, CASE WHEN item_id % 3 = 0 THEN '  ' ELSE benchmark.text END AS text_ FROM documents LEFT JOIN benchmark ON doc_id = item_id)")
+def slide_notes(spark, d):
+    notes = read(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, "  ").otherwise(F.col("text")).alias("note"))
+    j = read(spark, d, "documents").select("doc_id").join(notes, F.col("doc_id") == F.col("item_id"), "left")
+    return j.select("doc_id", F.when(~tx.blank(F.col("note")), F.concat(F.lit("[발표자 노트] "), "note")).alias("note"))
+
+
+@query("SELECT event_id, event_type || ' · ' || month(ts) || '월 ' || day(ts) || '일' AS caption FROM events")
+def list_caption(spark, d):
+    return read(spark, d, "events").select("event_id", tx.caption(F.col("event_type"), F.col("ts")).alias("caption"))
+
+
+@query(rf"WITH {_LISTING} SELECT count(DISTINCT {_BASE}) AS n FROM li")
+def synced_count(spark, d):
+    return catalog.latest_by_name(_listing(spark, d)).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id % 18 IN (9, 10, 11, 12, 13) AND doc_id % 2 = 1")
+def edit_gate(spark, d):
+    """Only text and Markdown may be written back."""
+    n = _named(spark, d).where(tx.editable(tx.format_of_name(F.col("name"))))
+    return n.where("doc_id % 2 = 1").select("doc_id", "text")
+
+
+@query("SELECT doc_id, coalesce(text, '문서를 찾을 수 없습니다.') AS text FROM (SELECT 17 AS doc_id UNION ALL SELECT -1) x LEFT JOIN documents USING (doc_id)")
+def point_lookup(spark, d):
+    wanted = spark.createDataFrame([(17,), (-1,)], "doc_id long")
+    found = read(spark, d, "documents").where(F.col("doc_id").isin(17, -1)).select("doc_id", "text")
+    return wanted.join(found, "doc_id", "left").select(F.col("doc_id").cast("int").alias("doc_id"), F.coalesce("text", F.lit("문서를 찾을 수 없습니다.")).alias("text"))
+
+
+@query("""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 120, o_orderkey) AS BIGINT) AS pos FROM orders""")
+def part_order(spark, d):
+    """Parts of a file by the number in their name, not by the name."""
+    from pyspark.sql import Window as W
+
+    name = F.concat(F.lit("ppt/slides/slide"), (F.col("o_orderkey") % 120).cast("string"), F.lit(".xml"))
+    o = read(spark, d, "orders").withColumn("n", F.regexp_extract(name, r"(\d+)\.xml$", 1).cast("int"))
+    return o.select("o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("n", "o_orderkey")).cast("long").alias("pos"))
+
+
+@query("SELECT item_id, (length(text) - length(replace(text, ' ', ''))) * 8 + length(replace(text, ' ', '')) AS units FROM benchmark")
+def raw_positions(spark, d):
+    """Places a stored text takes if each space were a control of eight characters."""
+    return read(spark, d, "benchmark").select("item_id", F.aggregate(F.split("text", ""), F.lit(0).cast("long"), lambda a, c: a + F.when(c == " ", 8).otherwise(1)).alias("units"))
+
+
+@query("SELECT p_partkey, CASE WHEN w BETWEEN 1000 AND 200000 THEN least(greatest(w / 42000.0::DOUBLE, 0.25), 1.0) ELSE 0.9 END::DOUBLE AS fraction FROM (SELECT p_partkey, p_partkey * 13 % 300000 AS w FROM part)")
+def width_fraction(spark, d):
+    w = F.col("p_partkey") * 13 % 300000
+    return read(spark, d, "part").select("p_partkey", F.when(w.between(1000, 200000), F.least(F.greatest(w / F.lit(42000.0), F.lit(0.25)), F.lit(1.0))).otherwise(0.9).alias("fraction"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'DOCX' WHEN 1 THEN 'ODF' WHEN 2 THEN 'HWPX' ELSE 'TXT' END AS format,
+CASE doc_id % 4 WHEN 3 THEN array_to_string(l, chr(10)) WHEN 0 THEN regexp_replace(array_to_string(list_filter(l, lambda x: trim(x) <> ''), chr(10)), '^\\s+|\\s+$', '', 'g')
+ELSE regexp_replace(regexp_replace(array_to_string(list_transform(l, lambda x: regexp_replace(x, '[\\t ]+$', '')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') END AS plain_text, CAST(NULL AS VARCHAR) AS warning FROM l""".replace("\\\\", "\\"))
+def parse_containers(spark, d):
+    """documents written as files of four formats and parsed back."""
+    from parchment.sources import registry, writers
+
+    raw = writers.as_files(read(spark, d, "documents"), "doc_id", "text")
+    c = registry.parse(raw)
+    return c.select(F.regexp_extract("uri", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "format", "plain_text", "warning")
+
+
+@query("SELECT doc_id, 'word/document.xml' AS name FROM documents WHERE doc_id % 4 = 0")
+def zip_entries(spark, d):
+    from parchment.sources import registry, writers
+
+    raw = writers.as_files(read(spark, d, "documents"), "doc_id", "text")
+    return registry.entries(raw, r"word/.*\.xml").select(F.regexp_extract("uri", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "name")
+
+
+@query()
+def markdown_spans(spark, d):
+    """Bold, italic and code stretches of Markdown lines; a left-to-right scan that no SQL expression makes."""
+    mark = F.element_at(F.array(*map(F.lit, ("**", "*", "`"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    line = F.concat(mark, F.left("text", F.lit(20)), mark, F.substr("text", F.lit(21), F.lit(20)), F.lit("*"))
+    return tx.markdown_spans(read(spark, d, "documents").select("doc_id", line.alias("line")), "doc_id", "line")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no topic, Korean and English.
@@ -183,3 +186,49 @@ def alignment(code: Column) -> Column:
 def toggle(present: Column, value: Column) -> Column:
     """A flag element is on unless its value says no."""
     return F.coalesce(present, F.lit(False)) & (value.isNull() | ~value.isin("false", "0", "none"))
+
+
+def caption(label: Column, at: Column) -> Column:
+    """Label and day, as lists show them."""
+    return F.concat(label, F.lit(" · "), F.date_format(at, "M월 d일"))
+
+
+def editable(fmt: Column) -> Column:
+    return fmt.isin("TXT", "MARKDOWN")
+
+
+_SPANS = ("bold", "**"), ("italic", "*"), ("code", "`")
+
+
+def spans_of(line: str) -> list[tuple[str, str]]:
+    """(text, style) from left to right; a marker without its partner is text."""
+    out: list[tuple[str, str]] = []
+    plain, at = "", 0
+    while at < len(line):
+        for style, mark in _SPANS:
+            end = line.find(mark, at + len(mark)) if line.startswith(mark, at) else -1
+            if end > 0 or line.startswith(mark, at):
+                break
+        else:
+            style, mark, end = "", "", -1
+        if end > 0:
+            if plain:
+                out.append((plain, "plain"))
+            out.append((line[at + len(mark) : end], style))
+            plain, at = "", end + len(mark)
+        else:
+            plain += line[at]
+            at += 1
+    return [*out, (plain, "plain")] if plain else out
+
+
+def markdown_spans(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """(key, pos, text, style) of each line."""
+    kind = lines.schema[key].dataType.simpleString()
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            rows = [(k, i, t, s) for k, x in zip(p[key], p[line], strict=True) for i, (t, s) in enumerate(spans_of(x or ""))]
+            yield pd.DataFrame(rows, columns=[key, "pos", "text", "style"])
+
+    return lines.select(key, line).mapInPandas(run, f"{key} {kind}, pos int, text string, style string")

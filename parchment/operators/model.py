@@ -16,6 +16,16 @@ CONNECT_SECONDS, READ_SECONDS = 20, 60
 ERROR = "오류: "
 
 
+# Address and default model of each provider; all speak the same protocol.
+PRESETS = {
+    "OPENAI": ("https://api.openai.com/v1", "gpt-4o-mini"),
+    "CLAUDE": ("https://api.anthropic.com/v1", "claude-sonnet-4-20250514"),
+    "GEMINI": ("https://generativelanguage.googleapis.com/v1beta/openai", "gemini-2.0-flash"),
+    "GROK": ("https://api.x.ai/v1", "grok-3"),
+    "CUSTOM": ("", ""),
+}
+
+
 @dataclass(frozen=True)
 class Settings:
     """A provider; the key comes from the environment and never stands in a plan."""
@@ -34,6 +44,14 @@ class Settings:
         return self.base_url.strip().rstrip("/") + "/chat/completions"
 
 
+def settings_of(provider: str | None = None, base_url: str = "", model: str = "", enabled: bool = True) -> Settings:
+    """Settings of a provider, the first one where the name is unknown; blank values are its presets, and each provider has a key of its own."""
+    name = provider if provider in PRESETS else next(iter(PRESETS))
+    url, default = PRESETS[name]
+    own = f"PARCHMENT_MODEL_KEY_{name}"
+    return Settings(base_url.strip() or url, model.strip() or default, own if os.environ.get(own, "").strip() else "PARCHMENT_MODEL_KEY", enabled)
+
+
 def setting(value: Column, default: Column) -> Column:
     """Trimmed; blank is the default."""
     return F.coalesce(F.nullif(F.trim(value), F.lit("")), default)

@@ -74,3 +74,17 @@ def test_geometry(spark):
     assert one(spark, geometry.swap_red_blue(F.lit(0x010203))) == 0x030201
     assert one(spark, geometry.map_to_group(F.lit(-7), F.lit(100), F.lit(0), F.lit(1), F.lit(2))) == 97
     assert one(spark, geometry.resolve_path(F.lit("ppt/slides/"), F.lit("../a/../b.xml"))) == "ppt/b.xml"
+
+
+def test_markdown_spans():
+    assert tx.spans_of("a **b** *c* `d` e*f") == [("a ", "plain"), ("b", "bold"), (" ", "plain"), ("c", "italic"), (" ", "plain"), ("d", "code"), (" e*f", "plain")]
+    assert tx.spans_of("**x") == [("**x", "plain")] and tx.spans_of("") == []
+
+
+def test_settings(monkeypatch):
+    from parchment.operators.model import settings_of
+
+    monkeypatch.setenv("PARCHMENT_MODEL_KEY_GROK", " k ")
+    s = settings_of("GROK", model=" m ")
+    assert s.ready and s.model == "m" and s.url == "https://api.x.ai/v1/chat/completions"
+    assert settings_of("nonsense").base_url.startswith("https://api.openai.com") and not settings_of("GEMINI").ready
