@@ -300,8 +300,8 @@ def markdown_lines(spark, d):
 @query(f"""WITH {_LINES} SELECT doc_id, CAST(least(greatest(max(length(line) + length(regexp_replace(line, '[\\x{{0000}}-\\x{{2E80}}]', '', 'g'))) * 8 + 20, CASE WHEN doc_id % 2 = 0 THEN 88 ELSE 72 END), 280) AS INT) AS width
 FROM ln WHERE doc_id % 5 = 4 OR length(line) < 40 GROUP BY doc_id""")
 def column_width(spark, d):
-    rows = _lines(spark, d).where((F.col("doc_id") % 5 == 4) | (F.length("line") < 40)).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    return rows.select("doc_id", grid.column_width(F.col("lines"), F.col("doc_id") % 2 == 0).cast("int").alias("width"))
+    rows = _lines(spark, d).where((F.col("doc_id") % 5 == 4) | (F.length("line") < 40))
+    return grid.column_widths(rows, ["doc_id"], "line", F.col("doc_id") % 2 == 0)
 
 
 _CELLS = "ce AS (SELECT l_orderkey, l_linenumber AS c, max(l_quantity) AS q FROM lineitem GROUP BY ALL)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions.text import blank, strip
@@ -40,6 +40,12 @@ def column_width(lines: Column, first: Column) -> Column:
     return F.least(F.greatest(widest * 8 + 20, F.when(first, 88).otherwise(72)), F.lit(280))
 
 
+def column_widths(lines: DataFrame, keys: list[str], line: str, first: Column) -> DataFrame:
+    """(keys, width) of columns from rows of lines; first: as for column_width.  A grouped maximum, so nothing is gathered."""
+    w = lines.withColumn("__f", first).groupBy(*keys).agg(F.max(display_units(F.col(line))).alias("__w"), F.max("__f").alias("__f"))
+    return w.select(*keys, F.least(F.greatest(F.col("__w") * 8 + 20, F.when(F.col("__f"), 88).otherwise(72)), F.lit(280)).cast("int").alias("width"))
+
+
 def grid_width(grid: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions.text import blank
@@ -69,6 +70,11 @@ def compare(df: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def transcript(turns: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
-    """(key, text): the turns in order, a line each, as far as they fit in a context."""
+    """(key, text): the turns in order, a line each, as far as they fit in a context.
+
+    As each turn takes a character at least, only the first CONTEXT turns are gathered; Spark picks them before the shuffle.
+    """
+    first = F.row_number().over(W.partitionBy(key).orderBy(order))
+    turns = turns.select(key, order, role, text).withColumn("__r", first).where(F.col("__r") <= CONTEXT)
     t = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat_ws(": ", role, text).alias("t")))).alias("__t"))
     return t.select(key, F.left(F.array_join(F.transform("__t", lambda x: x["t"]), "\n"), F.lit(CONTEXT)).alias("text"))
