@@ -14,8 +14,9 @@ local minima that the text itself picks, so every copy of a window has its ancho
    measured.  All other suffixes are induced: those one byte further left are the same
    suffixes after a stable scan into the buckets of the new first byte, their common prefixes the minimum
    over the skipped neighbours plus one.  A suffix that shares SPAN bytes with a neighbour is a repeat.
-3. An anchor with more than HOT occurrences is not gathered: each of its windows is hashed to 128 bits
-   and counted, combined before the shuffle.
+3. An anchor with more than HOT occurrences is not gathered.  Its windows fall into PARTS parts; what all windows of a part
+   have in common is hashed and counted, and of parts that occur twice each window is, by 128 bits.  The counts are
+   combined before the shuffle.
 4. The covered stretches of each text are merged and cut out.
 
 Nulls are empty texts.  Repeated rows are other places: their texts are repeats.  A null doc_id stays null.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import cut, default_parallelism, map_arrow, maybe_broadcast, ship, table
@@ -37,6 +38,7 @@ from llm.kernels import _pow, buffers, mix, pieces, regroup
 
 SPAN, GRAM = 400, 64
 HOT = 50_000
+PARTS = 8
 #: Contexts that one task gathers, about.
 GATHER = 16_000
 
@@ -183,8 +185,15 @@ def _group_repeats(span: int, gram: int):
     return run
 
 
-def _window_hashes(span: int, gram: int):
-    """(w1, w2, tid, start) of every window around a hot anchor."""
+def _hashes(m: np.ndarray, length: int, add: int = 1) -> np.ndarray:
+    """A hash of the length bytes from each column on, of each row."""
+    p = np.zeros((len(m), m.shape[1] + 1), np.uint64)
+    np.cumsum((m.astype(np.uint64) + np.uint64(add)) * _pow("up", m.shape[1])[: m.shape[1]], axis=1, out=p[:, 1:])
+    return mix((p[:, length:] - p[:, :-length]) * _pow("down", m.shape[1])[: m.shape[1] - length + 1])
+
+
+def _part_hashes(span: int, gram: int):
+    """(part, c, tid, at) of each hot anchor's PARTS parts: all windows of a part hold the bytes that c hashes."""
     left = span - gram
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,21 +202,51 @@ def _window_hashes(span: int, gram: int):
                 part = batch.slice(a, 256)
                 before = part.column(3).to_numpy().astype(np.int64)
                 m, after = _matrix(part.column(4), before, span, gram)
-                both = []
-                for add in (1, 977):
-                    p = np.zeros((len(m), m.shape[1] + 1), np.uint64)
-                    np.cumsum((m.astype(np.uint64) + np.uint64(add)) * _pow("up", m.shape[1])[: m.shape[1]], axis=1, out=p[:, 1:])
-                    both.append(mix((p[:, span:] - p[:, :-span]) * _pow("down", m.shape[1])[: left + 1]))
+                for k, (low, high) in enumerate(_parts(left)):
+                    c = _hashes(m[:, left - low : left + span - high], span - high + low)[:, 0]
+                    ok = (low <= before) & (span - high <= after)
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(int(ok.sum()), k, np.int32)), pa.array(c[ok].view(np.int64)), pa.array(part.column(1).to_numpy()[ok]), pa.array(part.column(2).to_numpy()[ok])], names=["part", "c", "tid", "at"])
+
+    return run
+
+
+def _parts(left: int) -> list[tuple[int, int]]:
+    """(least, most) bytes before the anchor of the windows of each part."""
+    edges = np.linspace(0, left + 1, PARTS + 1).astype(int).tolist()
+    return [(a, b - 1) for a, b in zip(edges, edges[1:]) if a < b]
+
+
+def _window_hashes(span: int, gram: int):
+    """(w1, w2, tid, start) of every window of one part around a hot anchor."""
+    left = span - gram
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for a in range(0, batch.num_rows, 256):
+                rows = batch.slice(a, 256)
+                before = rows.column(3).to_numpy().astype(np.int64)
+                m, after = _matrix(rows.column(4), before, span, gram)
+                both = [_hashes(m, span, add) for add in (1, 977)]
+                low, high = np.array(_parts(left))[rows.column(5).to_numpy()].T
                 x = left - np.arange(left + 1)
-                ok = (x <= before[:, None]) & (span - x <= after[:, None])
+                ok = (x <= before[:, None]) & (span - x <= after[:, None]) & (x >= low[:, None]) & (x <= high[:, None])
                 row, col = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(both[0][ok].view(np.int64)), pa.array(both[1][ok].view(np.int64)), pa.array(part.column(1).to_numpy()[row]),
-                    pa.array(part.column(2).to_numpy()[row] - x[col])], names=["w1", "w2", "tid", "start"])
+                    pa.array(both[0][ok].view(np.int64)), pa.array(both[1][ok].view(np.int64)), pa.array(rows.column(1).to_numpy()[row]),
+                    pa.array(rows.column(2).to_numpy()[row] - x[col])], names=["w1", "w2", "tid", "start"])
 
     return run
 
 
+def _twice(df: DataFrame, keys: list[str], place: Column, name: str) -> DataFrame:
+    """The rows of df whose keys stand at two places at least."""
+    again = df.groupBy(*keys).agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") < F.col("b")).select(*keys)
+    again = cut(again, name)
+    return df.join(maybe_broadcast(again, again.count(), 40), keys)
+
+
 def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         data, offsets = buffers(batch.column(1))
@@ -254,11 +293,13 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     buckets = max(default_parallelism(spark), n // GATHER + 1)
     if n_hot:
         ctx = cut(ctx.join(maybe_broadcast(much, n_hot, 16), F.col("h") == F.col("hot_h"), "left"), "contexts")
-        windows = map_arrow(ctx.where(F.col("hot_h").isNotNull()).drop("hot_h"), _window_hashes(span, gram), "w1 long, w2 long, tid long, start long")
-        spot = F.xxhash64("tid", "start")
-        again = windows.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where(F.col("a") < F.col("b")).select("x1", "x2")
-        again = cut(again, "again")
-        more = windows.join(maybe_broadcast(again, again.count(), 40), (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).select("tid", "start", (F.col("start") + span).alias("end")).distinct()
+        many = ctx.where(F.col("hot_h").isNotNull()).drop("hot_h")
+        spot = F.xxhash64("tid", "at")
+        live = _twice(map_arrow(many, _part_hashes(span, gram), "part int, c long, tid long, at long"), ["part", "c"], spot, "parts")
+        live = cut(live.select(F.col("tid").alias("live_tid"), F.col("at").alias("live_at"), "part").distinct(), "live")
+        many = many.join(live, (F.col("tid") == F.col("live_tid")) & (F.col("at") == F.col("live_at"))).select("h", "tid", "at", "before", "ctx", "part")
+        windows = map_arrow(many, _window_hashes(span, gram), "w1 long, w2 long, tid long, start long")
+        more = _twice(windows, ["w1", "w2"], F.xxhash64("tid", "start"), "again").select("tid", "start", (F.col("start") + span).alias("end")).distinct()
         ctx = ctx.where(F.col("hot_h").isNull()).drop("hot_h")
     found = ctx.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(_group_repeats(span, gram), "tid long, start long, end long")
     copies = docs.select("tid", F.octet_length("text").cast("long").alias("n")).groupBy("tid").agg(F.count("*").alias("c"), F.first("n").alias("n"))
