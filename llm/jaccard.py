@@ -36,7 +36,7 @@ from llm.kernels import mix, pieces, regroup, shingles
 K = 5
 #: Linked: NUM * intersection >= DEN * (size a + size b), that is intersection >= 0.8 * union.
 NUM, DEN = 9, 4
-BLOCK = 2000
+BLOCK = 500
 #: Shingles of a bucket, about.
 BUCKET = 2_500_000
 HOT_SHARE = 1000
