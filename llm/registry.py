@@ -21,4 +21,5 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontaminate.SQL,
     "op7_warc_revisits": warc.SQL,
+    "op10_ngram_jaccard": jaccard.SQL,
 }

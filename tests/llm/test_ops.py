@@ -404,6 +404,10 @@ def test_jaccard(spark, texts, block):
         assert jaccard.jaccard_components(frame(spark, [])).collect() == []
 
 
+def test_jaccard_sql(spark, sf_dir):
+    same(jaccard.op10_ngram_jaccard(spark, sf_dir), jaccard.SQL, sf_dir)
+
+
 def test_jaccard_threshold_is_exact():
     r = random.Random(11)
     for _ in range(300):
