@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import geometry, grid
 from parchment.functions import text as tx
-from parchment.operators import catalog, model, wiki
+from parchment.operators import catalog, model, store, wiki
 from parchment.plans import prompts, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -646,3 +646,19 @@ def markdown_spans(spark, d):
     mark = F.element_at(F.array(*map(F.lit, ("**", "*", "`"))), (F.col("doc_id") % 3 + 1).cast("int"))
     line = F.concat(mark, F.left("text", F.lit(20)), mark, F.substr("text", F.lit(21), F.lit(20)), F.lit("*"))
     return tx.markdown_spans(read(spark, d, "documents").select("doc_id", line.alias("line")), "doc_id", "line")
+
+
+@query(f"WITH {_NAMED}, x AS (SELECT doc_id, {_DETECT} AS f FROM nm) SELECT doc_id, CASE f " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in tx.BADGES.items())
+       + " END AS badge, CASE f " + " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in tx.COLOURS.items()) + " END AS rgb FROM x")
+def format_badge(spark, d):
+    return _named(spark, d).select("doc_id", tx.badge(tx.detect_format(F.col("name"), F.col("mime"))).alias("b")).select("doc_id", "b.*")
+
+
+@query(f"""WITH {_NAMED} SELECT sha256('drive:/' || name) AS id, 'drive:/' || name AS uri, name, CASE WHEN doc_id % 10 = 9 THEN 'UNKNOWN' ELSE {_DETECT} END AS format, doc_id * 1000 AS imported_at FROM nm""")
+def catalog_json(spark, d):
+    """Imported files, written as JSON with some formats no longer known, and read back."""
+    n = _named(spark, d).select(F.concat(F.lit("drive:/"), "name").alias("uri"), "name", "mime", "doc_id")
+    c = store.imported(n.drop("doc_id"), F.lit(None).cast("timestamp")).drop("imported_at").join(n.select("uri", "doc_id"), "uri")
+    c = c.select("id", "uri", "name", F.when(F.col("doc_id") % 10 == 9, "WORDSTAR").otherwise(F.col("format")).alias("format"), F.timestamp_seconds("doc_id").alias("imported_at"))
+    back = store.from_json(store.to_json(c))
+    return back.withColumn("imported_at", F.unix_millis("imported_at"))

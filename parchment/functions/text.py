@@ -33,6 +33,13 @@ FORMATS = (
     ("UNKNOWN", "Unknown", ()),
 )
 
+# Badge and colour of each format.
+BADGES = {"HWP": "한", "HWPX": "한", "DOC": "W", "DOCX": "W", "PPTX": "P", "XLSX": "X", "ODF": "OD", "PDF": "PDF", "TXT": "TXT", "MARKDOWN": "MD", "IMAGE": "IMG", "GOOGLE": "G", "UNKNOWN": "?"}
+COLOURS = {
+    "HWP": 0x00A2E8, "HWPX": 0x00A2E8, "DOC": 0x2B579A, "DOCX": 0x2B579A, "PPTX": 0xD24726, "XLSX": 0x217346, "ODF": 0x0E85CD,
+    "PDF": 0xD93025, "TXT": 0x607D8B, "MARKDOWN": 0x37474F, "IMAGE": 0x7B1FA2, "GOOGLE": 0x4285F4, "UNKNOWN": 0x9E9E9E,
+}
+
 # Exact media types; the families are in detect_mime.
 MEDIA_TYPES = {
     "application/pdf": "PDF",
@@ -127,6 +134,12 @@ def format_label(fmt: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kind, label, _ in FORMATS for x in (kind, label)]), fmt)
 
 
+def badge(fmt: Column) -> Column:
+    """struct(badge, rgb)."""
+    pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), fmt)
+    return F.struct(pick(BADGES).alias("badge"), pick(COLOURS).alias("rgb"))
+
+
 def stem(name: Column) -> Column:
     """Before the last point."""
     return F.regexp_replace(name, r"\.[^.]*$", "")

@@ -56,7 +56,7 @@ def raw_of(files: DataFrame) -> DataFrame:
 def display_name(name, uri):
     """A name for every file: its own, else the last part of its address."""
     last = F.element_at(F.split(uri, "/"), -1)
-    return F.coalesce(F.nullif(name, F.lit("")), F.nullif(last, F.lit("")), F.lit("document"))
+    return F.coalesce(F.nullif(name, F.lit("")), F.nullif(last, F.lit("")), F.lit("문서"))
 
 
 def _pdf(content: bytes, pdf, warning: str) -> dict:

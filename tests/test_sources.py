@@ -264,3 +264,30 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second time there is nothing to do
         stream_wiki(spark, str(src), out, ck).awaitTermination()
     assert {r.file_name for r in spark.read.parquet(out).collect()} == {"a.txt.md", "b.md.md", "d.docx.md"}
+
+
+def test_store(spark, tmp_path):
+    from parchment import schemas
+    from parchment.operators import store
+
+    rows = [("1", "u1", "a", "PDF", None), ("2", "u2", "b", "NONSENSE", None)]
+    c = spark.createDataFrame(rows, schemas.CATALOG).withColumn("imported_at", F.timestamp_seconds(F.col("id").cast("long")))
+    assert store.load_catalog(spark, str(tmp_path / "none")).count() == 0
+    store.save_catalog(c, str(tmp_path / "c"))
+    assert [(r.id, r.format) for r in store.load_catalog(spark, str(tmp_path / "c")).collect()] == [("2", "UNKNOWN"), ("1", "PDF")]
+    assert store.from_json(spark.createDataFrame([("{broken",), ("[]",), ("{}",)], "json string")).count() == 0
+    m = spark.createDataFrame([("u", "word/media/i.png", bytearray(b"1")), ("u", "word/media/i.png", bytearray(b"1")), ("v", "i.png", bytearray(b"2"))], schemas.MEDIA)
+    for _ in range(2):
+        store.write_media(m, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    out = str(tmp_path)
+
+    def write(uri, data):
+        if uri == "bad":
+            raise OSError("read-only")
+        with open(f"{out}/{uri}", "wb") as f:
+            f.write(data)
+
+    e = spark.createDataFrame([("t", "TXT", "한"), ("p", "PDF", "x"), ("bad", "MARKDOWN", "x")], "uri string, format string, text string")
+    got = {r.uri: r for r in store.write_texts(e, write).collect()}
+    assert got["t"].saved and (tmp_path / "t").read_bytes() == "한".encode() and not got["p"].saved and "read-only" in got["bad"].message
