@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from llm import decontaminate, jaccard, langid, pieces, pii
 from llm.common import cut, maybe_broadcast, table
 
-#: Least share of the best language among all languages' shares of n-grams; an even split of four has 0.25.
+#: Least share of a text's n-grams that the best language has.
 LANGUAGE_SCORE = 0.35
 
 

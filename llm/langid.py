@@ -5,8 +5,7 @@ byte n-grams of each language are counted.  An n-gram goes into the filter of a
 enough there and at least SHARE times as often as in the language that has it most.  The
 Bloom filters are bit-sliced: slot i holds one bit for each language, so an n-gram's slots, and-ed, are
 the mask of all languages that have it.  Of a text, the hits of each language are counted and corrected for
-the filter's false positives, ``(hits / n - p) / (1 - p)``; the highest share decides and its part of the
-sum is the score.
+the filter's false positives, ``(hits / n - p) / (1 - p)``; the highest share decides and is the score.
 
 Null texts and texts without a letter are "und" with score 0.  Rows with a null language or
 text teach nothing.  Repeated rows: each keeps a row.  With no row to learn from, every row is "und".
@@ -15,7 +14,8 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +115,19 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, doc_id: str = "doc_id", text:
     slim = d.select("id", "lang", F.xxhash64("id").alias("h"))
     pick = slim.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= per_lang).select("id", "lang").distinct()
     rows = d.join(F.broadcast(pick), ["id", "lang"]).select("lang", "text").toArrow()  # per_lang rows a language
-    langs = sorted(set(rows.column("lang").to_pylist()))
+    return learn(zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True))
+
+
+def learn(rows: Iterable[tuple[str, str]]) -> Filters | None:
+    """Filters of (language, text); a line counts once, and one of several languages, a passage passed on, not at all."""
+    lines: dict[str, set[str]] = {}
+    for x, text in rows:
+        lines.setdefault(x, set()).update(text.split("\n"))
+    seen = Counter(line for own in lines.values() for line in own)
+    langs = sorted(lines)
     counts, totals = [], []
     for x in langs:
-        own = rows.filter(pa.compute.equal(rows.column("lang"), x)).column("text").combine_chunks()
-        data = np.frombuffer("\n".join(own.to_pylist()).encode(), np.uint8)
+        data = np.frombuffer("\n".join(sorted(line for line in lines[x] if seen[line] == 1)).encode(), np.uint8)
         counts.append({size: np.unique(_codes(LOWER[data], size), return_counts=True) for size in SIZES})
         totals.append(len(data))
     return Filters(langs, counts, totals) if langs else None
@@ -147,8 +155,7 @@ def predictor(filters: Filters | None, at: int):
                 else:
                     share = filters.shares(data, offsets)
                 top = share.argmax(1)
-                total = share.sum(1)
-                s = np.where(some, share[np.arange(len(top)), top] / np.maximum(total, 1e-12), 0.0)
+                s = np.where(some, share[np.arange(len(top)), top], 0.0)
                 best += [filters.langs[k] if ok else "und" for k, ok in zip(top.tolist(), some.tolist(), strict=True)]
                 score += s.tolist()
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], pa.array(best, pa.string()), pa.array(score, pa.float64())],
