@@ -37,8 +37,8 @@ from llm.common import map_arrow, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Entries of the lookup table of one worker.
-HELD = 500_000
+#: Entries of each of the two lookup tables of one worker.
+HELD = 400_000
 #: Longest stretch, in characters, that is looked up; longer ones are searched each time.
 LOOKED_UP = 64
 _NONE = float("-inf")
@@ -93,14 +93,22 @@ def load(model: str = MODEL) -> list[tuple[str, float, int]]:
 
 
 class Held(dict):
-    """Ids of stretches; one that is missing is searched."""
+    """Ids of stretches, by the stretch without the mark before it; one that is missing is searched."""
 
-    def __init__(self, coder: Coder):
+    def __init__(self, coder: Coder, mark: str):
         super().__init__()
         self.coder = weakref.proxy(coder)  # no cycle: the table goes with its task's coder
+        self.mark = mark
 
     def __missing__(self, stretch: str) -> bytes:
-        return self.coder._search(stretch)
+        marked = self.mark + stretch
+        if len(marked) > LOOKED_UP:
+            return np.fromiter(self.coder.stream(marked), np.int32).tobytes()
+        out = self.coder._within(marked)
+        if len(self) >= HELD:
+            self.clear()
+        self[stretch] = out
+        return out
 
 
 class Coder:
@@ -119,18 +127,26 @@ class Coder:
             if len(p) > 1:
                 ends.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {c: sorted(x, reverse=True) for c, x in ends.items()}  # of pieces that end in two characters
+        thirds: dict[str, set[int]] = {}
+        for p in self.score:
+            if len(p) > 2:
+                thirds.setdefault(p[-3:], set()).add(len(p))
+        self.pairs = {p: x for p, x in self.score.items() if len(p) == 2}
+        self.triples = {c: tuple(sorted(x, reverse=True)) for c, x in thirds.items()}
         self.raw = [bytes([int(p[1:-1], 16)]) if k == 6 else b"" if k in (2, 3) else p.replace(SPACE, " ").encode() for p, _, k in pieces]
         self.sizes = np.array([len(x) for x in self.raw])
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
-        self.held = Held(self)
+        self.lines = self.split and not any("\n" in p for p in self.score)
+        self.line_end = struct.pack("<i", self.byte[10])
+        self.held, self.bare = Held(self, SPACE), Held(self, "")
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "held"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("held", "bare")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.held = Held(self)
+        self.held, self.bare = Held(self, SPACE), Held(self, "")
 
     def stream(self, chars: str | list[str]) -> Iterator[int]:
         """Ids of a text whose spaces are marks, committed as soon as they are certain.
@@ -187,35 +203,36 @@ class Coder:
 
     def _within(self, s: str) -> bytes:
         """The ids of a stretch that is a window by itself; the same steps as stream() takes, without looking for a meeting point."""
-        score, lengths, best, back, ids = self.score, self.lengths, [0.0], [0], [()]
-        for end in range(1, len(s) + 1):
+        score, pairs, triples, n = self.score, self.pairs, self.triples, len(s)
+        best, back, ids = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        before = 0.0
+        for end in range(1, n + 1):
             one = score.get(s[end - 1])
             if one is None:
-                top, at, got = self._best(s, end, 0, best)
-            else:
-                top, at, got = _NONE, 0, None
-                if end > 1:
-                    for n in lengths.get(s[end - 2 : end], ()):
-                        if n <= end:
-                            hit = score.get(s[end - n : end])
-                            if hit is not None and best[end - n] + hit[0] > top:
-                                top, at, got = best[end - n] + hit[0], end - n, hit[1]
-                if best[-1] + one[0] > top:
-                    top, at, got = best[-1] + one[0], end - 1, one[1]
-                got = (got,)
-            best.append(top)
-            back.append(at)
-            ids.append(got)
-        return struct.pack(f"<{len(x)}i", *x) if (x := list(self._path(back, ids, 0, 0, len(s)))) else b""
-
-    def _search(self, marked: str) -> bytes:
-        if len(marked) > LOOKED_UP:
-            return np.fromiter(self.stream(marked), np.int32).tobytes()
-        out = self._within(marked)
-        if len(self.held) >= HELD:
-            self.held.clear()
-        self.held[marked] = out
-        return out
+                return np.fromiter(self.stream(s), np.int32).tobytes()
+            top, at, got = _NONE, 0, 0
+            if end > 2:
+                for k in triples.get(s[end - 3 : end], ()):
+                    if k <= end:
+                        hit = score.get(s[end - k : end])
+                        if hit is not None:
+                            x = best[end - k] + hit[0]
+                            if x > top:
+                                top, at, got = x, end - k, hit[1]
+            if end > 1:
+                hit = pairs.get(s[end - 2 : end])
+                if hit is not None and best[end - 2] + hit[0] > top:
+                    top, at, got = best[end - 2] + hit[0], end - 2, hit[1]
+            if before + one[0] > top:
+                top, at, got = before + one[0], end - 1, one[1]
+            best[end] = before = top
+            back[end], ids[end] = at, got
+        out, end = [], n
+        while end:
+            out.append(ids[end])
+            end = back[end]
+        out.reverse()
+        return struct.pack(f"<{len(out)}i", *out)
 
     def encode(self, text: str) -> bytes:
         """The ids, as packed 32-bit integers."""
@@ -224,7 +241,18 @@ class Coder:
         if SPACE in text or not self.split:  # a mark of the text's own goes as bytes
             chars = [SPACE, *("" if c == SPACE else SPACE if c == " " else c for c in text)]
             return np.fromiter(self.stream(chars), np.int32).tobytes()
-        return b"".join(map(self.held.__getitem__, _STRETCH.findall(SPACE + text.replace(" ", SPACE))))
+        if not self.lines or _ODD.search(text):
+            return b"".join(map(self.bare.__getitem__, _STRETCH.findall(SPACE + text.replace(" ", SPACE))))
+        # one space between words: each goes with its mark, but the first of a line, as paths meet at a line end too
+        first, *rest = text.split("\n")
+        out = list(map(self.held.__getitem__, first.split(" ")))
+        for line in rest:
+            head, *words = line.split(" ")
+            out.append(self.line_end)
+            if head:
+                out.append(self.bare[head])
+            out += map(self.held.__getitem__, words)
+        return b"".join(out)
 
     def equal(self, ids: np.ndarray, texts: list[str], bounds: np.ndarray) -> list[bool]:
         """Whether the ids between bounds decode to each text; the same bytes as decode() gives, for many texts at once."""
@@ -240,6 +268,8 @@ class Coder:
         return raw[1:].decode("utf-8", "replace")
 
 
+#: Texts with marks or spaces side by side or at line ends take the general way.
+_ODD = re.compile(f"{SPACE}|^ | $|  | \n|\n ")
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 

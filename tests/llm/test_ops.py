@@ -181,7 +181,7 @@ def coder():
 
 def test_pieces(coder):
     r = random.Random(2)
-    samples = ["a", " ", "  a  b ", "hello world", "line\nbreak\ttab", "▁mark ▁▁ x", "日本語 한국어 😀", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 4, "\0\x7f", "x" + "=" * 300 + "y", " " * 100, "nohaltinginthisverylongword" * 20]
+    samples = ["a", " ", "  a  b ", "hello world", "line\nbreak\ttab", "▁mark ▁▁ x", "日本語 한국어 😀", "a\nb c\n\nd", "\n", "\n\n", "x \ny", "x\n y", "one two\nthree four five\n", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 4, "\0\x7f", "x" + "=" * 300 + "y", " " * 100, "nohaltinginthisverylongword" * 20]
     samples += ["".join(r.choice("etaoin shrdluéß\n▁") for _ in range(150)) for _ in range(30)]
     for t in samples:
         ids = np.frombuffer(coder.encode(t), np.int32).tolist()
@@ -195,7 +195,7 @@ def test_pieces_window_is_bounded(coder):
     long = "".join(r.choice("abcdefghijklmnop") for _ in range(20000))
     n = iter(coder.stream(long))
     first = [next(n) for _ in range(50)]
-    assert first == np.frombuffer(coder._search(long), np.int32)[:50].tolist()
+    assert first == np.frombuffer(coder._within(long), np.int32)[:50].tolist()
 
 
 def test_encode(spark, texts):
