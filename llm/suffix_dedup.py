@@ -43,13 +43,14 @@ PARTS = 8
 GATHER = 16_000
 
 
-def find_anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all windows that lie within one row."""
+def find_anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(rows, positions, hashes, contexts' starts, ends and hashes) of the anchors of all windows that lie within one row."""
     n, w = len(data), span - gram + 1
     inside = np.zeros(max(n - span, 0) + 2, np.int64)
     long = np.diff(offsets) >= span
     if not long.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        zero = np.zeros(0, np.int64)
+        return zero, zero, zero.view(np.uint64), zero, zero, zero.view(np.uint64)
     np.add.at(inside, offsets[:-1][long], 1)
     np.add.at(inside, offsets[1:][long] - span + 1, -1)
     inside = np.cumsum(inside[:-1]) > 0
@@ -66,21 +67,46 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram:
         best = np.minimum(best[: len(best) - (w - size)], best[w - size :])
     best = best[inside[: len(best)]]
     at = np.unique(best[np.concatenate([[True], best[1:] != best[:-1]])] & low).astype(np.int64)
-    return at, g[at]
+    row = np.searchsorted(offsets, at, "right") - 1
+    start, end = np.maximum(at - (span - gram), offsets[row]), np.minimum(at + span, offsets[row + 1])
+    context = mix(mix((prefix[end] - prefix[start]) * _pow("down", n)[start]) + (end - start).astype(np.uint64) + ((at - start).astype(np.uint64) << np.uint64(32)))
+    return row, at, g[at], start, end, context
 
 
 def _anchor_rows(span: int, gram: int):
+    """(h, tid, at, end): an anchor, where end is null, or a stretch from at to end that is repeated.
+
+    Of anchors with equal contexts in one batch one stays, as repeats in rows of the same words have one for each of
+    them: all windows of such contexts are repeats.
+    """
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in regroup(it):
-            tid = batch.column(0).to_numpy()
+            tids = batch.column(0).to_numpy()
             seen: set[int] = set()
+            parts = []
             for a, b, data, offsets in pieces(batch.column(1)):
-                at, h = find_anchors(data, offsets, span, gram)
-                row = np.searchsorted(offsets, at, "right") - 1
-                fresh = np.array([not (t in seen or seen.add(t)) for t in tid[a:b].tolist()], bool)[row] if len(at) else np.zeros(0, bool)
-                at, h, row = at[fresh], h[fresh], row[fresh]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tid[a:b][row]), pa.array((at - offsets[row]).astype(np.int64))], names=["h", "tid", "at"])
+                row, at, h, start, end, context = find_anchors(data, offsets, span, gram)
+                if not len(at):
+                    continue
+                fresh = np.array([not (t in seen or seen.add(t)) for t in tids[a:b].tolist()], bool)[row]
+                row, base = row[fresh], offsets[row[fresh]]
+                parts.append((h[fresh], tids[a:b][row], at[fresh] - base, start[fresh] - base, end[fresh] - base, mix(context[fresh] ^ h[fresh])))
+            if not parts:
+                continue
+            h, tid, at, start, end, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, tid, context))
+            c, t, s = context[order], tid[order], start[order]
+            new = np.concatenate([[True], c[1:] != c[:-1]])
+            other = np.concatenate([[True], new[1:] | (t[1:] != t[:-1]) | (s[1:] != s[:-1])])  # another place
+            group = np.cumsum(new) - 1
+            often = (np.bincount(group, other) > 1)[group]
+            keep, gone = order[new | ~often], order[often & (end - start >= span)[order]]
+            gone = gone[np.lexsort((start[gone], tid[gone]))]
+            t, s, e = tid[gone], start[gone], end[gone]  # in a text, later starts have later ends
+            run_ = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] > e[:-1])])) if len(t) else np.zeros(0, np.int64)
+            last = np.append(run_[1:], len(t)) - 1 if len(t) else run_
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(tid[keep]), pa.array(at[keep]), pa.nulls(len(keep), pa.int64())], names=["h", "tid", "at", "end"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(run_), pa.int64()), pa.array(t[run_]), pa.array(s[run_]), pa.array(e[last])], names=["h", "tid", "at", "end"])
 
     return run
 
@@ -279,7 +305,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     """(tid, start, end) of stretches of bytes to remove from docs (tid, text); they may overlap."""
     spark = docs.sparkSession
     ship(spark)
-    anchors = cut(map_arrow(docs, _anchor_rows(span, gram), "h long, tid long, at long"), "anchors")
+    first = cut(map_arrow(docs, _anchor_rows(span, gram), "h long, tid long, at long, end long"), "anchors")
+    anchors = first.where(F.col("end").isNull()).drop("end")
     place = F.xxhash64("tid", "at")
     twice = anchors.groupBy(F.col("h").alias("dup")).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("c")).where(F.col("a") < F.col("b")).select("dup", "c")
     marked = cut(anchors.join(twice, F.col("h") == F.col("dup")).select("tid", "h", "at", "c"), "marked")
@@ -303,6 +330,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
         ctx = ctx.where(F.col("hot_h").isNull()).drop("hot_h")
     found = ctx.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(_group_repeats(span, gram), "tid long, start long, end long")
     copies = docs.select("tid", F.octet_length("text").cast("long").alias("n")).groupBy("tid").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    found = found.unionByName(first.where(F.col("end").isNotNull()).select("tid", F.col("at").alias("start"), "end"))
     found = found.unionByName(copies.where((F.col("c") > 1) & (F.col("n") >= span)).select("tid", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     return found.unionByName(more) if n_hot else found
 

@@ -115,7 +115,7 @@ def test_suffix_dedup(spark, hot):
     r = random.Random(7)
     para = ["".join(r.choice("abcd ") for _ in range(n)) for n in (30, 39, 40, 41, 60, 90)]
     docs = [(i, "".join(r.choice(para) if r.random() < 0.4 else "".join(r.choice("efgh é") for _ in range(r.randrange(50))) for _ in range(6))) for i in range(40)]
-    docs += [(50, None), (51, ""), (52, "a" * 300), (53, "ab" * 100), (54, docs[0][1]), (54, docs[0][1]), (55, "q" * 39), (56, "q" * 39), (57, "\0" * 90), (None, para[5])]
+    docs += [(50, None), (51, ""), (52, "a" * 300), (53, "ab" * 100), (54, docs[0][1]), (54, docs[0][1]), (55, "q" * 39), (56, "q" * 39), (57, "\0" * 90), (None, para[5]), (58, "x" + "Is on. " * 30), (59, "yz" + "Is on. " * 40 + "end"), (60, "Is on. " * 5), (61, "Is on. " * 7)]
     got = suffix_dedup.remove_repeats(frame(spark, [(*d, 1, "s") for d in docs], "doc_id long, text string, tid long, spans string"), span=40, gram=8, hot=hot)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute.remove_repeats(docs, 40), key=str)
     assert suffix_dedup.remove_repeats(frame(spark, [])).collect() == []
