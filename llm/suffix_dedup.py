@@ -309,6 +309,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     anchors = first.where(F.col("end").isNull()).drop("end")
     place = F.xxhash64("tid", "at")
     twice = anchors.groupBy(F.col("h").alias("dup")).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("c")).where(F.col("a") < F.col("b")).select("dup", "c")
+    twice = cut(twice, "twice")  # a table, so that the join can be split where an anchor is frequent
     marked = cut(anchors.join(twice, F.col("h") == F.col("dup")).select("tid", "h", "at", "c"), "marked")
     n = marked.count()
     marks = marked.groupBy(F.col("tid").alias("t")).agg(F.collect_list(F.struct("h", "at")).alias("marks"))
