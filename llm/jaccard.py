@@ -199,11 +199,12 @@ def _prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, coarse, toks) of the texts of sets that meet others."""
+    """(sid, coarse, toks) of the texts of sets that meet others, of a text's copies in one task once."""
+    seen: set[int] = set()
     for batch in it:
         want, coarse = batch.column(1).to_numpy(), batch.column(2)
         for a, b, grams, bounds, sid in _sets(batch):
-            ok = np.flatnonzero(sid == want[a:b])
+            ok = np.array([i for i in np.flatnonzero(sid == want[a:b]).tolist() if not (sid[i] in seen or seen.add(sid[i]))], np.int64)
             yield pa.RecordBatch.from_arrays([
                 pa.array(sid[ok]), coarse.slice(a, b - a).take(pa.array(ok)), pa.array([grams[bounds[i] : bounds[i + 1]].tobytes() for i in ok.tolist()], pa.binary())], names=["sid", "coarse", "toks"])
 
