@@ -455,3 +455,14 @@ def test_components(spark):
     p = components_of(600, [e for e in edges if e[0] is not None])
     assert got == {v: p[v] for e in edges if e[0] is not None for v in e}
     assert components.components(frame(spark, [], "a long, b long")).collect() == []
+
+
+def test_tables_can_be_swept(spark):
+    import os
+
+    from llm import common
+
+    t = common.cut(spark.range(3), "some")
+    assert t.count() == 3 and os.path.isdir(t.cut_path.removeprefix("file://"))
+    common.sweep(spark)
+    assert not os.path.isdir(t.cut_path.removeprefix("file://"))
