@@ -1,8 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is one grouped minimum, combined before the shuffle and written, and one join of the edges with it;
-as both sides of the join are tables, Spark splits it where one vertex has very many edges.  No component is
-ever gathered.
+Each step is one grouped minimum, combined before the shuffle, and one sort-merge join of the edges with it, which
+streams the edges of a vertex however many there are.  No component is ever gathered.
 """
 
 from __future__ import annotations
@@ -18,17 +17,14 @@ def _print(e: DataFrame) -> tuple:
     return tuple(r)
 
 
-def _large(e: DataFrame, used: list[DataFrame]) -> DataFrame:
+def _large(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = cut(both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m")), "low")
-    used.append(low)
+    low = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m"))
     return both.where(F.col("v") > F.col("u")).join(low, F.col("u") == F.col("c")).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small(e: DataFrame, used: list[DataFrame]) -> DataFrame:
-    e = cut(e, "large")
-    low = cut(e.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")), "low")
-    used += [e, low]
+def _small(e: DataFrame) -> DataFrame:
+    low = e.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
     pairs = e.join(low, F.col("a") == F.col("c"))
     moved = pairs.where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select(F.col("c").alias("a"), F.col("m").alias("b"))).distinct()
@@ -44,10 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(e.where(F.col("a") > F.col("b")).distinct(), "edges")
     before = _print(e)
     while before[0]:
-        used = [e]
-        new = cut(_small(_large(e, used), used), "edges")
+        new = cut(_small(_large(e)), "edges")
         after = _print(new)
-        discard(*used)
+        discard(e)
         e, done, before = new, after == before, after
         if done:
             break
