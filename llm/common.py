@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 #: What goes to a Python worker at once: few rows, as one text can be large.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 _made: list[str] = []
 
@@ -79,21 +79,21 @@ def ship(spark: SparkSession) -> None:
     sc._llm_shipped = True
 
 
-def lean(fn):
-    """fn for a worker that lives on after its task: memory that the task no longer needs goes back to the system."""
-    import inspect
+def free() -> None:
+    """Give memory that is no longer used back to the system."""
+    import ctypes
+    import gc
 
-    def free() -> None:
-        import ctypes
-        import gc
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # no such function here
 
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # no such function here
 
-    def over_batches(it):
+def lean(fn):
+    """fn over batches, for a worker that lives on after its task."""
+    def run(it):
         import pyarrow as pa
 
         pa.set_memory_pool(pa.system_memory_pool())
@@ -102,7 +102,27 @@ def lean(fn):
         finally:
             free()
 
-    return over_batches if len(inspect.signature(fn).parameters) == 1 else fn
+    return run
+
+
+def lean_group(fn):
+    """fn of a group's table, or of its key and table, likewise."""
+    import inspect
+
+    if len(inspect.signature(fn).parameters) == 2:
+        def run(key, t):
+            out = fn(key, t)
+            del t
+            free()
+            return out
+    else:
+        def run(t):
+            out = fn(t)
+            del t
+            free()
+            return out
+
+    return run
 
 
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import cut, default_parallelism, discard, map_arrow, maybe_broadcast, ship, table
+from llm.common import cut, default_parallelism, discard, lean_group, map_arrow, maybe_broadcast, ship, table
 from llm.components import components
 from llm.kernels import mix, pieces, regroup, shingles
 
@@ -328,7 +328,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     buckets = min(max(default_parallelism(spark), -(-(tokens or 0) // BUCKET)), 1 << 18)
 
     packed = map_arrow(docs.select("text"), _packed(buckets, hot), "bucket int, cold int, hot int, blob binary")
-    shared = packed.groupBy("bucket").applyInArrow(_shared(buckets), "part long, blob binary").groupBy("part").applyInArrow(_gather, "sid long, toks binary")
+    shared = packed.groupBy("bucket").applyInArrow(lean_group(_shared(buckets)), "part long, blob binary").groupBy("part").applyInArrow(lean_group(_gather), "sid long, toks binary")
     shared = cut(shared, "shared")  # so that no task runs two Python operators
     classes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.first("n").alias("n"), F.min("tid").alias("tid"), F.min("doc").alias("rep")), "classes")
     alike = shared.join(classes.select(F.col("sid").alias("id"), "n"), F.col("sid") == F.col("id")).select("sid", "n", "toks")
@@ -350,7 +350,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(x, part).alias("i"), F.greatest(x, part).alias("j"))))
     sets = sets.withColumn("ij", F.explode(pairs)).select(
         "sid", "toks", "coarse", F.when(F.col("nb").isNull(), F.pmod(F.xxhash64("coarse"), F.lit(tasks))).otherwise(F.col("coarse")).alias("g"), "ij.i", "ij.j")
-    links = sets.groupBy("g", "i", "j").applyInArrow(_join_groups, "a long, b long")
+    links = sets.groupBy("g", "i", "j").applyInArrow(lean_group(_join_groups), "a long, b long")
     linked = cut(components(links).select("id", F.col("component").alias("root")), "linked")
 
     best = linked.join(classes, F.col("id") == F.col("sid")).groupBy("root").agg(F.min("rep").alias("best"))

@@ -38,7 +38,7 @@ from llm.common import map_arrow, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of each of the two lookup tables of one worker.
-HELD = 400_000
+HELD = 300_000
 #: Longest stretch, in characters, that is looked up; longer ones are searched each time.
 LOOKED_UP = 64
 _NONE = float("-inf")

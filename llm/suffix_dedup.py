@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import cut, default_parallelism, map_arrow, maybe_broadcast, ship, table
+from llm.common import cut, default_parallelism, lean_group, map_arrow, maybe_broadcast, ship, table
 from llm.kernels import _pow, buffers, mix, pieces, regroup
 
 SPAN, GRAM = 400, 64
@@ -329,7 +329,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
         windows = map_arrow(many, _window_hashes(span, gram), "w1 long, w2 long, tid long, start long")
         more = _twice(windows, ["w1", "w2"], F.xxhash64("tid", "start"), "again").select("tid", "start", (F.col("start") + span).alias("end")).distinct()
         ctx = ctx.where(F.col("hot_h").isNull()).drop("hot_h")
-    found = ctx.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(_group_repeats(span, gram), "tid long, start long, end long")
+    found = ctx.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(lean_group(_group_repeats(span, gram)), "tid long, start long, end long")
     copies = docs.select("tid", F.octet_length("text").cast("long").alias("n")).groupBy("tid").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     found = found.unionByName(first.where(F.col("end").isNotNull()).select("tid", F.col("at").alias("start"), "end"))
     found = found.unionByName(copies.where((F.col("c") > 1) & (F.col("n") >= span)).select("tid", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
