@@ -4,11 +4,14 @@
    merge into one tree: for each path, on how many pages it stands and how often each of its contents does.
 2. Importance of a node is the entropy of its contents over the pages that have it, scaled to 0..1
    (with one page it is 1).  Nodes on at least PAGES pages of a host whose importance is below LOW
-   repeat their content, as menus and notices do, and their branches are removed.
+   repeat their content, as menus and notices do, and their branches are removed; of a node that has an article
+   below it on some page only its own text is.
 3. What presents itself as no main text by its tag, role or class (menus, headers, footers, side bars, notices,
    adverts, forms, scripts, comments of readers) is removed whatever its entropy, as such parts
-   often differ from page to page.  Where a page has an ``article`` or ``main`` element, only that counts,
-   and the style tree removes nothing in it: an article that a host repeats is still its pages' text.
+   often differ from page to page.  Where a page has an ``article`` or ``main`` element, only that counts.
+4. Inside such an element the tree decides as well, node by node.  An article that a host repeats is still its
+   pages' text, so there pages with the same article count once, a main heading (``h1``, or any directly in the
+   article) stays, and an article of which nothing would be left stays whole.
 
 The counts are combined before the shuffle, so a host may hold any part of the pages.  A null or empty page
 has an empty text.  Repeated rows: each keeps a row.  Other columns are ignored.
@@ -16,6 +19,7 @@ has an empty text.  Repeated rows: each keeps a row.  Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -43,6 +47,7 @@ OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar aside footer header masthead comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup login popup modal overlay complementary contentinfo search".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def blocks(page: str) -> tuple[list[tuple[str, bool, str]], bool]:
@@ -116,33 +121,59 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str]], bool]:
     return out, has_main
 
 
+def _is_main(x: str) -> bool:
+    return x.split(".", 1)[0] in MAIN
+
+
 def _nodes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, content) of each path of each page outside its article."""
+    """(host, path, content, body) of each path of each page; body: hash of the page's article for paths within it.  Paths above an article come once more, without content."""
     for batch in it:
-        host, path, content = [], [], []
+        host, path, content, body = [], [], [], []
         for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found, has_main = blocks(page or "")
-            if has_main:
-                continue  # only its article counts, and from that nothing is removed
+            article = " ".join(t for _, inside, t in found if inside).encode() if has_main else b""
+            key = int.from_bytes(hashlib.blake2b(article, digest_size=8).digest(), "big", signed=True)
             per: dict[str, list[str]] = {}
-            for p, _, text in found:
+            within, above = set(), set()
+            for p, inside, text in found:
+                if inside and p not in within:
+                    within.add(p)
+                    parts = p.split("/")
+                    top = next(i for i, x in enumerate(parts) if _is_main(x))
+                    above.update("/".join(parts[:i]) for i in range(1, top + 1))
                 per.setdefault(p, []).append(text)
             for p, texts in per.items():
                 host.append(h)
                 path.append(p)
                 content.append(" ".join(texts))
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(content, pa.string())], names=["host", "path", "content"])
+                body.append(key if p in within else None)
+            for p in above:
+                host.append(h)
+                path.append(p)
+                content.append(None)
+                body.append(None)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(content, pa.string()), pa.array(body, pa.int64())],
+                                         names=["host", "path", "content", "body"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the merged trees of pages (host, html)."""
-    each = map_arrow(pages.select("host", "html"), _nodes, "host string, path string, content string")
-    each = each.select("host", "path", F.xxhash64("content").alias("c")).groupBy("host", "path", "c").agg(F.count("*").alias("n"))
+    """(host, path, pages, importance, above) of the merged trees of pages (host, html); above: an article stands below it."""
+    each = map_arrow(pages.select("host", "html"), _nodes, "host string, path string, content string, body long")
+    each = each.select("host", "path", F.when(F.col("content").isNotNull(), F.xxhash64("content")).alias("c"), "body").groupBy("host", "path", "c", "body").agg(F.count("*").alias("n"))
+    once = F.when(F.col("c").isNull(), 0).when(F.col("body").isNull(), F.col("n")).otherwise(1)
+    each = each.groupBy("host", "path", "c").agg(F.sum(once).alias("n"))
     n = F.col("n").cast("double")
-    node = each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(n * F.log(n)).alias("s"))
+    node = each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.when(n > 0, n * F.log(n)).otherwise(0.0)).alias("s"), F.max(F.col("c").isNull()).alias("above"))
     # entropy of the contents: log N - sum(n log n) / N, and at most log N
     importance = F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log(F.col("pages")))).otherwise(1.0)
-    return node.select("host", "path", "pages", importance.alias("importance"))
+    return node.select("host", "path", "pages", importance.alias("importance"), "above")
+
+
+def _heading(path: str) -> bool:
+    """A main heading of an article."""
+    parts = path.split("/")
+    name = parts[-1].split(".", 1)[0]
+    return name == "h1" or name in HEADINGS and _is_main(parts[-2])
 
 
 def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +181,16 @@ def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             found, has_main = blocks(page or "")
-            low = tuple(low or ())
+            own = {x["path"] for x in low or ()}
             if has_main:
-                texts.append(" ".join(t for _, inside, t in found if inside))
+                article = [(p, t) for p, inside, t in found if inside]
+                left = [t for p, t in article if p not in own or _heading(p)]
+                if all(p in own or _heading(p) for p, _ in article):
+                    left = [t for _, t in article]
+                texts.append(" ".join(left))
             else:
-                texts.append(" ".join(t for p, _, t in found if not any(p == x or p.startswith(x + "/") for x in low)))
+                branch = tuple(x["path"] + "/" for x in low or () if not x["above"])
+                texts.append(" ".join(t for p, _, t in found if p not in own and not p.startswith(branch)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -162,8 +198,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """(page_id, url, text, n_chars) of each row of pages."""
     pages = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     pages = pages.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
-    low = cut(style_tree(pages).where((F.col("pages") >= PAGES) & (F.col("importance") < LOW)).groupBy(F.col("host").alias("low_host")).agg(F.collect_list("path").alias("low")), "style")
-    size = low.agg(F.count("*"), F.sum(F.length(F.array_join("low", "/")))).first()
+    low = cut(style_tree(pages).where((F.col("pages") >= PAGES) & (F.col("importance") < LOW)).groupBy(F.col("host").alias("low_host")).agg(F.collect_list(F.struct("path", "above")).alias("low")), "style")
+    size = low.agg(F.count("*"), F.sum(F.length(F.array_join("low.path", "/")))).first()
     low = maybe_broadcast(low, (size[0] or 0) * 64 + (size[1] or 0), 1)
     kind = pages.schema["page_id"].dataType.simpleString()
     return map_arrow(pages.join(low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low"), _texts, f"page_id {kind}, url string, text string, n_chars long")

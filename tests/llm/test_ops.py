@@ -392,6 +392,23 @@ def test_html_style_tree(spark):
     assert html_text.extract(frame(spark, [], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_style_tree_of_articles(spark):
+    page = "<body><div class=x>our promise</div>%s</body>"
+    notice = "<div class=z><p>We moved, see the new address</p></div>"
+    rows = [(i, f"http://h.example/{i}", page % f"<article><h1>Report</h1>{notice}<p>text number {i}</p></article>") for i in range(8)]
+    # a repeated article is no notice, however often it stands
+    rows += [(100 + i, f"http://copies.example/{i}", page % f"<article><h1>Report</h1>{notice}<p>one text</p></article>") for i in range(8)]
+    rows += [(200 + i, f"http://short.example/{i}", page % f"<main><div>same</div>{'<nav>n</nav>' * i}{f'<p>{i}</p>' if i else ''}</main>") for i in range(8)]
+    # the only plain page: the branch stands on the article pages as well
+    rows += [(300, "http://h.example/plain", page % "<p>plain text</p>")]
+    # text beside the articles, repeated, does not take the plain page below the same node along
+    rows += [(400 + i, f"http://beside.example/{i}", f"<body>all rights<article><p>text {i}</p></article></body>") for i in range(8)] + [(408, "http://beside.example/8", "<body>all rights<p>plain</p></body>")]
+    got = {i: t for i, _, t, _ in html_text.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Report text number {i}" for i in range(8)} | {100 + i: "Report We moved, see the new address one text" for i in range(8)}
+    want |= {200: "same"} | {200 + i: str(i) for i in range(1, 8)} | {300: "plain text"} | {400 + i: f"text {i}" for i in range(8)} | {408: "plain"}
+    assert got == want
+
+
 # ---- 10
 
 
