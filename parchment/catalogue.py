@@ -642,10 +642,11 @@ def zip_entries(spark, d):
 
 @query()
 def markdown_spans(spark, d):
-    """Bold, italic and code stretches of Markdown lines; a left-to-right scan that no SQL expression makes."""
+    """Bold, italic and code stretches of all Markdown lines, whose first half gets a mark; a left-to-right scan that no SQL expression makes."""
     mark = F.element_at(F.array(*map(F.lit, ("**", "*", "`"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    line = F.concat(mark, F.left("text", F.lit(20)), mark, F.substr("text", F.lit(21), F.lit(20)), F.lit("*"))
-    return tx.markdown_spans(read(spark, d, "documents").select("doc_id", line.alias("line")), "doc_id", "line")
+    half = F.floor(F.length("line") / 2).cast("int")
+    line = F.concat(mark, F.left("line", half), mark, F.substr("line", half + 1), F.lit("*"))
+    return tx.markdown_spans(_lines(spark, d).select("doc_id", F.col("pos").alias("line_pos"), line.alias("line")), "doc_id", "line", "line_pos")
 
 
 @query(f"WITH {_NAMED}, x AS (SELECT doc_id, {_DETECT} AS f FROM nm) SELECT doc_id, CASE f " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in tx.BADGES.items())

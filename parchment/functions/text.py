@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -211,6 +212,7 @@ def editable(fmt: Column) -> Column:
 
 
 _SPANS = ("bold", "**"), ("italic", "*"), ("code", "`")
+_MARK = re.compile("[*`]")
 
 
 def spans_of(line: str) -> list[tuple[str, str]]:
@@ -218,6 +220,11 @@ def spans_of(line: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     plain, at = "", 0
     while at < len(line):
+        mark_at = _MARK.search(line, at)
+        stop = mark_at.start() if mark_at else len(line)
+        if stop > at:
+            plain, at = plain + line[at:stop], stop
+            continue
         for style, mark in _SPANS:
             end = line.find(mark, at + len(mark)) if line.startswith(mark, at) else -1
             if end > 0 or line.startswith(mark, at):
@@ -235,13 +242,14 @@ def spans_of(line: str) -> list[tuple[str, str]]:
     return [*out, (plain, "plain")] if plain else out
 
 
-def markdown_spans(lines: DataFrame, key: str, line: str) -> DataFrame:
-    """(key, pos, text, style) of each line."""
-    kind = lines.schema[key].dataType.simpleString()
+def markdown_spans(lines: DataFrame, key: str, line: str, *keys: str) -> DataFrame:
+    """(key, keys, pos, text, style) of each line."""
+    keys = (key, *keys)
+    kinds = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
-            rows = [(k, i, t, s) for k, x in zip(p[key], p[line], strict=True) for i, (t, s) in enumerate(spans_of(x or ""))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "text", "style"])
+            rows = [(*k, i, t, s) for *k, x in zip(*(p[c] for c in keys), p[line], strict=True) for i, (t, s) in enumerate(spans_of(x or ""))]
+            yield pd.DataFrame(rows, columns=[*keys, "pos", "text", "style"])
 
-    return lines.select(key, line).mapInPandas(run, f"{key} {kind}, pos int, text string, style string")
+    return lines.select(*keys, line).mapInPandas(run, f"{kinds}, pos int, text string, style string")

@@ -1,8 +1,10 @@
 from collections import Counter
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from parchment import catalogue
 from parchment.functions import geometry, grid
 from parchment.functions import text as tx
 from parchment.plans import summary
@@ -81,6 +83,46 @@ def test_markdown_spans():
     assert tx.spans_of("**x") == [("**x", "plain")] and tx.spans_of("") == []
 
 
+def plain_spans(line):
+    """spans_of place by place."""
+    out, at = [], 0
+    while at < len(line):
+        for style, mark in (("bold", "**"), ("italic", "*"), ("code", "`")):
+            if line[at : at + len(mark)] == mark:
+                ends = [e for e in range(at + len(mark), len(line)) if line[e : e + len(mark)] == mark]
+                if ends:
+                    out.append((line[at + len(mark) : ends[0]], style))
+                    at = ends[0] + len(mark)
+                    break
+                out.append((line[at], "plain"))
+                at += 1
+                break
+        else:
+            out.append((line[at], "plain"))
+            at += 1
+    joined = []
+    for text, style in out:
+        if style == "plain" and joined and joined[-1][1] == "plain":
+            joined[-1] = (joined[-1][0] + text, style)
+        else:
+            joined.append((text, style))
+    return joined
+
+
+def test_markdown_spans_of_whole_texts(spark, tmp_path):
+    r = random.Random(5)
+    texts = ["", "\n\n", "one line", "**", "`a` *b", *("".join(r.choice("ab *`\n") for _ in range(n)) for n in (30, 60, 200, 900, 900)), "x" * 300 + " **late** and `code`\r\nlast *line*", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in enumerate(texts):
+        mark, block = ("**", "*", "`")[i % 3], ("# ", "- ", "12. ", "### ", "")[i % 5]
+        for k, x in enumerate((block + t.replace("\r", "")).split("\n") if t is not None else ()):
+            h = len(x) // 2
+            want += [(i, k, n, *s) for n, s in enumerate(plain_spans(mark + x[:h] + mark + x[h:] + "*"))]
+    got = catalogue.QUERIES["markdown_spans"](spark, str(tmp_path)).select("doc_id", "line_pos", "pos", "text", "style").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_settings(monkeypatch):
     from parchment.operators.model import settings_of
 
