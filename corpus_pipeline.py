@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from llm import decontaminate, jaccard, langid, pieces, pii
 from llm.common import cut, maybe_broadcast, table
 
-#: Least share of a text's n-grams that the best language has.
+#: Least share of a text's n-grams with a letter that the best language has; short texts (langid.ENOUGH) stay without it.
 LANGUAGE_SCORE = 0.35
 
 

@@ -4,8 +4,9 @@ Of a bounded sample (PER_LANG rows a language, those with the smallest hash of d
 byte n-grams of each language are counted.  An n-gram goes into the filter of a language if it is seen often
 enough there and at least SHARE times as often as in the language that has it most.  The
 Bloom filters are bit-sliced: slot i holds one bit for each language, so an n-gram's slots, and-ed, are
-the mask of all languages that have it.  Of a text, the hits of each language are counted and corrected for
-the filter's false positives, ``(hits / n - p) / (1 - p)``; the highest share decides and is the score.
+the mask of all languages that have it.  Of a text's n-grams that hold a letter (a byte from 0x80 on counts as one),
+the hits of each language are counted and corrected for the filter's false positives, ``(hits / n - p) / (1 - p)``;
+the highest share decides and is the score.  Fewer than ENOUGH of them are too few to reject a text by its score.
 
 Null texts and texts without a letter are "und" with score 0.  Rows with a null language or
 text teach nothing.  Repeated rows: each keeps a row.  With no row to learn from, every row is "und".
@@ -31,6 +32,8 @@ PER_LANG = 1500
 SIZES = (3, 4, 5)
 SLOTS = 1 << 20
 LEAST, SHARE = 3, 0.35
+#: N-grams with a letter, of about 100 bytes, from which on a low score speaks against a text.
+ENOUGH = 300
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0x80:] = True
@@ -81,9 +84,14 @@ class Filters:
 
     def shares(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(rows, languages): corrected shares of n-grams that each language has."""
+        return self.judge(data, offsets)[0]
+
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """shares(), and the number of n-grams with a letter of each row."""
         data = LOWER[data]
         rows = len(offsets) - 1
         hits, n = np.zeros((rows, len(self.langs))), np.zeros(rows)
+        letter = _LETTER[data]
         for size in SIZES:
             if len(data) < size:
                 continue
@@ -93,7 +101,14 @@ class Filters:
             for j in range(1, size):  # n-grams that run over the end of a row
                 e = offsets[1:-1] - j
                 inside[e[(e >= 0) & (e < len(h))]] = False
+            held = letter[: len(h)].copy()
+            for j in range(1, size):
+                held |= letter[j : len(h) + j]
+            inside &= held
             stops = np.minimum(offsets, len(h))
+            total = np.zeros(len(h) + 1, np.int64)
+            np.cumsum(inside, dtype=np.int64, out=total[1:])
+            n += total[stops[1:]] - total[stops[:-1]]
             for w in range(len(self.masks)):
                 m = self.masks[w][a] & self.masks[w][b]
                 m[~inside] = 0
@@ -101,8 +116,7 @@ class Filters:
                     total = np.zeros(len(h) + 1, np.int64)
                     np.cumsum((m >> m.dtype.type(k % self.bits)) & m.dtype.type(1), dtype=np.int64, out=total[1:])
                     hits[:, k] += total[stops[1:]] - total[stops[:-1]]
-            n += np.maximum(np.diff(offsets) - size + 1, 0)
-        return np.clip((hits / np.maximum(n, 1)[:, None] - self.false) / (1 - self.false), 0, 1)
+        return np.clip((hits / np.maximum(n, 1)[:, None] - self.false) / (1 - self.false), 0, 1), n
 
 
 def _learnable(doc_id: Column) -> Column:
@@ -142,22 +156,29 @@ def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return some
 
 
+def _judged(filters: Filters | None, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and number of n-grams with a letter of each text."""
+    best, score, grams = [], [], []
+    for _, _, data, offsets in pieces(texts):
+        some = _letters(data, offsets)
+        if filters is None:
+            some[:] = False
+            share, n = np.zeros((len(some), 1)), np.zeros(len(some))
+        else:
+            share, n = filters.judge(data, offsets)
+        top = share.argmax(1)
+        s = np.where(some, share[np.arange(len(top)), top], 0.0)
+        best += [filters.langs[k] if ok else "und" for k, ok in zip(top.tolist(), some.tolist(), strict=True)]
+        score += s.tolist()
+        grams += n.tolist()
+    return best, score, grams
+
+
 def predictor(filters: Filters | None, at: int):
     """Adds lang_pred and score to batches with the text in column at."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            best, score = [], []
-            for _, _, data, offsets in pieces(batch.column(at)):
-                some = _letters(data, offsets)
-                if filters is None:
-                    some[:] = False
-                    share = np.zeros((len(some), 1))
-                else:
-                    share = filters.shares(data, offsets)
-                top = share.argmax(1)
-                s = np.where(some, share[np.arange(len(top)), top], 0.0)
-                best += [filters.langs[k] if ok else "und" for k, ok in zip(top.tolist(), some.tolist(), strict=True)]
-                score += s.tolist()
+            best, score, _ = _judged(filters, batch.column(at))
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], pa.array(best, pa.string()), pa.array(score, pa.float64())],
                                              names=[*[x for i, x in enumerate(batch.schema.names) if i != at], "lang_pred", "score"])
 
@@ -172,20 +193,18 @@ def identify(docs: DataFrame, filters: Filters | None, doc_id: str = "doc_id", t
 
 
 def _keep(filters: Filters | None, at: int, least: float):
-    run = predictor(filters, 0)
-
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            (p,) = run(iter([pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])])) if batch.num_rows else (None,)
-            if p is not None:
-                ok = (np.array(p.column(0).to_pylist()) != "und") & (p.column(1).to_numpy() >= least)
+            if batch.num_rows:
+                best, score, grams = _judged(filters, batch.column(at))
+                ok = (np.array(best) != "und") & ((np.array(score) >= least) | (np.array(grams) < ENOUGH))
                 yield batch.filter(pa.array(ok))
 
     return keep
 
 
 def keep_identified(docs: DataFrame, filters: Filters | None, least: float = 0.0, text: str = "text") -> DataFrame:
-    """The rows of docs whose language is found with a score of at least ``least``; all columns stay."""
+    """The rows of docs whose language is found with a score of at least ``least``, or that have a letter but too few n-grams to judge by; all columns stay."""
     return map_arrow(docs, _keep(filters, docs.columns.index(text), least), docs.schema)
 
 

@@ -277,6 +277,20 @@ def test_language(spark):
     assert langid.fit(docs.limit(0)) is None
 
 
+def test_language_keeps_what_it_cannot_judge(spark):
+    r = random.Random(9)
+    docs = frame(spark, [(i, spoken(r, lang), lang, "s", 1) for i, lang in enumerate(["xx", "yy", "zz"] * 60)], SCHEMA)
+    filters = langid.fit(docs)
+    text = " ".join(spoken(r, "xx") for _ in range(5))
+    numbers = " ".join(str(r.randrange(10**15, 10**16)) for _ in range(len(text) // 4))
+    foreign = " ".join("".join(r.choice("klmnopqrst") for _ in range(6)) for _ in range(60))
+    rows = [(1, "A."), (2, "q"), (3, "é"), (4, "A.\nAll rights reserved."), (5, f"{text} {numbers}"), (6, foreign), (7, "12. 34!"), (8, ""), (9, None), (10, text)]
+    kept = {x.doc_id for x in langid.keep_identified(frame(spark, rows), filters, 0.35).collect()}
+    assert kept == {1, 2, 3, 4, 5, 10}
+    score = {x.doc_id: x.score for x in langid.identify(frame(spark, rows), filters).collect()}
+    assert abs(score[5] - score[10]) < 0.02
+
+
 def test_language_many(spark):
     langs = [f"l{i}" for i in range(70)]
     counts = [{n: np.unique(langid._codes(np.frombuffer(f"{x * 20}".encode(), np.uint8), n), return_counts=True) for n in langid.SIZES} for x in langs]
