@@ -48,6 +48,59 @@ OUT_NAMES = frozenset(
     "sidebar aside footer header masthead comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup login popup modal overlay complementary contentinfo search".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose start closes an open p.
+P_ENDS = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+SCOPE = frozenset("table td th caption".split())
+TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
+
+
+def _starts() -> dict[str, tuple[frozenset[str], frozenset[str]]]:
+    """Name of a start tag -> the open elements it closes, and those past which it closes none."""
+    special = BLOCKS - {"address", "div", "p"}
+    out = {x: (frozenset(("p",)), P_ENDS - {"p"} | SCOPE | {"button"}) for x in P_ENDS - {"li", "dd", "dt"}}
+    for group in (("li",), ("dd", "dt")):
+        out |= {x: (frozenset((*group, "p")), special - set(group)) for x in group}
+    cells, rows = frozenset("td th caption".split()), frozenset("td th caption tr".split())
+    out |= dict.fromkeys(("td", "th"), (cells, frozenset("table tbody thead tfoot tr".split())))
+    out["tr"] = rows, frozenset("table tbody thead tfoot".split())
+    out |= dict.fromkeys(("tbody", "thead", "tfoot"), (rows | {"tbody", "thead", "tfoot"}, frozenset(("table",))))
+    out["button"] = frozenset(("button",)), SCOPE
+    return out
+
+
+STARTS = _starts()
+
+
+def _open_after(name: str, closes: bool, names: list[str], base: int) -> int:
+    """How many of the open elements names stay open at a tag, as HTML closes them, while the one at base is skipped."""
+    n = len(names)
+    if closes:
+        inline = name not in BLOCKS
+        heading = name in HEADINGS
+        for i in range(n - 1, (base if inline else 0) - 1, -1):
+            x = names[i]
+            if x == name or heading and x in HEADINGS:
+                return i
+            if inline:
+                if x in BLOCKS and name != names[base]:
+                    break
+            elif x == "table" if name in TABLE else x in SCOPE or name == "p" and x in P_ENDS or name == "li" and x in ("ul", "ol", "menu", "dir"):
+                break
+        return n
+    if names[base] == "head" and name not in ("base", "link", "meta", "head"):
+        return base
+    end = n
+    if name in STARTS:
+        targets, barriers = STARTS[name]
+        for i in range(n - 1, -1, -1):
+            if names[i] in targets:
+                end = i
+            elif names[i] in barriers:
+                break
+    if name in HEADINGS and end == n and names[-1] in HEADINGS:
+        end = n - 1
+    return end
 
 
 def blocks(page: str) -> tuple[list[tuple[str, bool, str]], bool]:
@@ -56,7 +109,8 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str]], bool]:
     path: list[str] = []
     parts: list[str] = []
     at, main, has_main = 0, 0, False
-    skip, depth = "", 0
+    skip: list[str] = []  # names of the open elements while one is skipped, which stands at base
+    base = 0
 
     def flush() -> None:
         if parts:
@@ -85,11 +139,18 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str]], bool]:
                 at = end.end() if end else len(page)
             continue
         if skip:
-            if name == skip:
-                depth += -1 if closes else 1
-                if not depth:
-                    skip = ""
-            continue
+            left = _open_after(name, closes, skip, base)
+            if left > base:
+                del skip[left:]
+                if not closes and name not in VOID:
+                    skip.append(name)
+                continue
+            skip = []
+            for x in path[left:]:
+                main -= x.split(".", 1)[0] in MAIN
+            del path[left:]
+            if closes:
+                continue
         if name not in BLOCKS:
             if closes or name in VOID:
                 continue
@@ -108,7 +169,8 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str]], bool]:
         names = " ".join((a or b or c).lower() for _, a, b, c in _ATTR.findall(m[3])) if m[3] else ""
         if name in OUT_TAGS or names and name not in MAIN and name not in ("html", "body") and not OUT_NAMES.isdisjoint(_WORD.split(names)):
             flush()
-            skip, depth = name, 1
+            base = len(path)
+            skip = [*(x.split(".", 1)[0] for x in path), name]
             continue
         if name in BLOCKS:
             if name in ("p", "li", "tr", "td", "th", "dd", "dt") and path and path[-1].split(".", 1)[0] == name:

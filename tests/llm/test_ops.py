@@ -397,6 +397,30 @@ def test_html_blocks():
     assert html_text.blocks("<p title='a>b'>z")[0][0][2] == "z"
 
 
+def test_html_skip_ends_where_html_closes():
+    def text(page):
+        f, has = html_text.blocks(page)
+        return " ".join(t for _, inside, t in f if inside or not has)
+
+    for page, want in (
+        ("<article><p>a<p class=notice>We moved<p>Main text</p></article>", "a Main text"),
+        ("<article><p class=notice>We <b>moved<div>Main</div><p>text</article>", "Main text"),
+        ("<article><p>a<div class=ad>Buy<p>now</article><p>b", "a"),
+        ("<div class=page><div class=ad>Buy<table><tr><td>x</div>y</table></div>Main</div>", "Main"),
+        ("<div><div class=ad>Buy<p>now</p></div>Main</div>", "Main"),
+        ("<section><div class=ad>Buy</section><p>Main", "Main"),
+        ("<p>a <span class=ad>Buy<p>Main", "a Main"),
+        ("<div><span class=ad>Buy <span>now</span> or</span> Main</div>", "Main"),
+        ("<ul><li>a<li class=ad>Buy<ul><li>x<li>y</ul>z<li>b</ul>c", "a b c"),
+        ("<dl><dt>a<dd class=ad>Buy<dt>b<dd>c</dl>", "a b c"),
+        ("<table><tr><td>a<td class=ad>Buy<table><tr><td>x</table><td>b<tr class=ad><td>c<td>d<tr><td>e</table>", "a b e"),
+        ("<head><meta charset=utf-8><title>t</title><body><p>Main", "Main"),
+        ("<div><nav><b><div>x</b>y</div>z</nav>Main</div>", "Main"),
+        ("<main><h2 class=promo>Buy<h2>Main</h2>text</main>", "Main text"),
+    ):
+        assert text(page) == want, page
+
+
 def test_html_style_tree(spark):
     rows = [(i, f"http://h.example/{i}", f"<div class=x><p>same promise on every page</p></div><div class=y><p>text number {i}</p></div>") for i in range(8)]
     rows += [(20, "http://few.example/", "<div class=x><p>same promise on every page</p></div>"), (21, None, None), (22, "x", ""), (0, rows[0][1], rows[0][2]), (30, "https://u@H.example:1/z", PAGE % "<main>m</main>")]
