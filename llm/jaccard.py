@@ -218,8 +218,8 @@ class Node:
         self.seg, self.next, self.ends, self.least, self.most, self.comp = seg, {}, [], least, most, comp
 
 
-def trie_links(sizes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between sets (by index) that span the same components as all links.
+def trie_links(sizes: list[int], sets: list[np.ndarray], every: bool = False) -> list[tuple[int, int]]:
+    """Links between sets (by index) that span the same components as all links, or every link.
 
     sizes: of the whole sets; sets: their shingles that may occur in another set.
     """
@@ -254,7 +254,7 @@ def trie_links(sizes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
             node, shared, depth = stack.pop()
             if NUM * size < DEN * (size + node.least) or 5 * node.most < 4 * size + 9 * (depth - shared):
                 continue
-            if node.comp is not None and find(node.comp) == find(me):
+            if not every and node.comp is not None and find(node.comp) == find(me):
                 continue
             seg = node.seg
             shared += int(np.count_nonzero(mask[seg]))
@@ -263,7 +263,7 @@ def trie_links(sizes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
             if NUM * (shared + left) < DEN * (size + node.least) or 5 * node.most < 4 * size + 9 * (depth - shared):
                 continue
             for other in node.ends:
-                if NUM * shared >= DEN * (size + sizes[other]) and find(other) != find(me):
+                if NUM * shared >= DEN * (size + sizes[other]) and (every or find(other) != find(me)):
                     links.append((me, other))
                     parent[find(other)] = find(me)
             stack.extend((child, shared, depth) for child in node.next.values())
@@ -299,7 +299,7 @@ def _insert(root: Node, me: int, mine: np.ndarray, size: int, find) -> None:
         node.ends.append(me)
 
 
-def _join_groups(t: pa.Table) -> pa.Table:
+def _group_links(t: pa.Table, every: bool) -> pa.Table:
     """Links within each coarse group of one task's sets."""
     groups: dict[int, dict[int, int]] = {}
     for i, (g, s) in enumerate(zip(t.column("coarse").to_pylist(), t.column("sid").to_pylist(), strict=True)):
@@ -309,14 +309,22 @@ def _join_groups(t: pa.Table) -> pa.Table:
     for rows in groups.values():
         sids = sorted(rows)
         sets = [np.frombuffer(toks[rows[s]].as_py(), np.uint64) for s in sids]
-        for x, y in trie_links(list(map(len, sets)), sets):
+        for x, y in trie_links(list(map(len, sets)), sets, every):
             a.append(sids[x])
             b.append(sids[y])
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc, n, component) of each row of docs."""
+def _join_groups(t: pa.Table) -> pa.Table:
+    return _group_links(t, False)
+
+
+def _join_every(t: pa.Table) -> pa.Table:
+    return _group_links(t, True)
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, block: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Rows (doc, tid, sid, n), classes of equal sets (sid, n, tid, rep), links (a, b) between them, and tables that are only read for the links."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tid"), F.col(text).alias("text"))
@@ -350,14 +358,30 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(x, part).alias("i"), F.greatest(x, part).alias("j"))))
     sets = sets.withColumn("ij", F.explode(pairs)).select(
         "sid", "toks", "coarse", F.when(F.col("nb").isNull(), F.pmod(F.xxhash64("coarse"), F.lit(tasks))).otherwise(F.col("coarse")).alias("g"), "ij.i", "ij.j")
-    links = sets.groupBy("g", "i", "j").applyInArrow(lean_group(_join_groups), "a long, b long")
+    links = sets.groupBy("g", "i", "j").applyInArrow(lean_group(_join_every if every else _join_groups), "a long, b long")
+    return rows, classes, links, [shared, prefix, coarse]
+
+
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(a, b): every link between documents with different sets, each set by the smallest id that has it; a and b in the order of their sets' hashes."""
+    _, classes, links, tables = _linked(docs, doc_id, text, block, True)
+    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    discard(*tables)
+    of = lambda c: classes.select(F.col("sid").alias(f"sid_{c}"), F.col("rep").alias(f"doc_{c}"))
+    links = links.join(of("a"), F.col("a") == F.col("sid_a")).join(of("b"), F.col("b") == F.col("sid_b"))
+    return links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc, n, component) of each row of docs."""
+    rows, classes, links, tables = _linked(docs, doc_id, text, block, False)
     linked = cut(components(links).select("id", F.col("component").alias("root")), "linked")
 
     best = linked.join(classes, F.col("id") == F.col("sid")).groupBy("root").agg(F.min("rep").alias("best"))
     best = linked.join(best, "root").select(F.col("id").alias("best_id"), "best")
     final = cut(classes.join(best, F.col("sid") == F.col("best_id"), "left").select(F.col("sid").alias("id"), F.coalesce("best", "rep").alias("component")), "final")
     out = rows.join(final, F.col("sid") == F.col("id"), "left")
-    discard(shared, prefix, coarse, linked)
+    discard(*tables, linked)
     return out.select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 

@@ -459,6 +459,20 @@ def test_jaccard(spark, texts, block):
         assert jaccard.jaccard_components(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_jaccard_links_are_all(spark, texts, block):
+    sets = {}
+    for i, t in sorted(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        s = frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else None
+        if s and s not in sets.values():
+            sets[i] = s
+    want = {frozenset((i, j)) for i, s in sets.items() for j, t in sets.items() if i < j and 100 * len(s & t) >= 80 * len(s | t)}
+    got = [frozenset((x.a, x.b)) for x in jaccard.jaccard_links(frame(spark, texts), block=block).collect()]
+    spanned = {c for _, _, c in brute.jaccard_components(list(texts))}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(sets) - len(spanned)
+
+
 def test_jaccard_sql(spark, sf_dir):
     same(jaccard.op10_ngram_jaccard(spark, sf_dir), jaccard.SQL, sf_dir)
 
