@@ -386,23 +386,26 @@ PAGE = """<!doctype html><html><head><title>T &amp; x</title><style>p{}</style><
 %s<!-- hidden <p>no</p> --><aside>side</aside><form><input value="a>b">Send</form><div class='user-comments'><p>I think</p></div><footer>&copy; x</footer></body></html>"""
 
 
+def main_text(page):
+    return html_text.main_text(html_text.parse(page), set(), set(), set())
+
+
 def test_html_blocks():
     main = "<article><h1>Head  &lt;1&gt;</h1><p>one <b>bold</b>er<br>two\n three<p>four&nbsp;&#233;<table><tr><td>a<td>b</table><div class=share>no</div><p class=uncommented>yes</article>"
-    f, has = html_text.blocks(PAGE % main)
-    assert has and " ".join(t for _, m, t in f if m) == "Head <1> one bolder two three four é a b yes"
-    f, has = html_text.blocks(PAGE % "<div class=content><p>body text</div>")
-    assert not has and [t for _, _, t in f] == ["body text"]
+    assert main_text(PAGE % main) == "Head <1> one bolder two three four é a b yes"
+    assert main_text(PAGE % "<div class=content><p>body text</div>") == "body text"
     for bad in ("", "<", "<p", "<!--", "a < b", "</p></p>", "<p>x</div></p>y", "<script>x", "<nav>only", "<p title='a>b'>z", "&bogus; &#x110000;", "<article>cut &am"):
-        html_text.blocks(bad)
-    assert html_text.blocks("<p title='a>b'>z")[0][0][2] == "z"
+        main_text(bad)
+    assert main_text("<p title='a>b'>z") == "z"
+    assert main_text("<b>" * 5000 + "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after") == "deep after"
+    long = " ".join(f"word{i}" for i in range(200_000))
+    assert main_text(f"<nav>{long}</nav><p>{long}") == long
 
 
 def test_html_skip_ends_where_html_closes():
-    def text(page):
-        f, has = html_text.blocks(page)
-        return " ".join(t for _, inside, t in f if inside or not has)
-
     for page, want in (
+        ("<body><p>one<p class=share>Share<p>two<p>three</body>", "one two three"),
+        ("<article><h1>T</h1><p class=related-work>Related work matters</p><p class=related-posts>More</p><h2 class=header>H</h2><p>x</p></article>", "T Related work matters H x"),
         ("<article><p>a<p class=notice>We moved<p>Main text</p></article>", "a Main text"),
         ("<article><p class=notice>We <b>moved<div>Main</div><p>text</article>", "Main text"),
         ("<article><p>a<div class=ad>Buy<p>now</article><p>b", "a"),
@@ -418,7 +421,7 @@ def test_html_skip_ends_where_html_closes():
         ("<div><nav><b><div>x</b>y</div>z</nav>Main</div>", "Main"),
         ("<main><h2 class=promo>Buy<h2>Main</h2>text</main>", "Main text"),
     ):
-        assert text(page) == want, page
+        assert main_text(page) == want, page
 
 
 def test_html_style_tree(spark):
@@ -430,6 +433,60 @@ def test_html_style_tree(spark):
     assert html_text.extract(frame(spark, [], "page_id long, url string, html string")).collect() == []
 
 
+def plain_tree(pages):
+    """The same importances by walking over all pages of a host; pages: (host, html)."""
+    from collections import defaultdict
+    from math import log
+
+    texts, weight, above = defaultdict(list), defaultdict(float), {}
+    for k, (host, html) in enumerate(pages):
+        p = html_text.parse(html or "")
+        own = defaultdict(set)
+        for n, t in p.blocks:
+            own[n].add(t)
+        for n, contents in own.items():
+            x = p.nodes[n]
+            key = host, x.id
+            texts[key].append((p.article() if x.main else k, contents))
+            weight[key] = max(weight[key], p.weight(n))
+            above[key] = [(p.nodes[a].id, p.nodes[a].main != x.main) for a in p.above(n)]
+    importance, composite, shared = {}, defaultdict(float), {}
+    for key, seen in texts.items():
+        by_page = dict(seen)
+        m, count = len(by_page), defaultdict(int)
+        for c in {(page, c) for page, contents in seen for c in contents}:
+            count[c[1]] += 1
+        importance[key] = weight[key] * (1 if m < html_text.PAGES else max(0, 1 - sum(n * log(n) for n in count.values()) / (sum(count.values()) * log(m))))
+        shared |= {(*key, c): 1 - n / m for c, n in count.items() if n >= html_text.PAGES}
+        for a, other in [(key[1], False), *above[key]]:
+            if other or m >= html_text.PAGES:
+                composite[key[0], a] = max(composite[key[0], a], 1 if other else importance[key])
+    return importance, dict(composite), shared
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_html_style_tree_against_plain(spark, seed):
+    r = random.Random(seed)
+    def part(k):
+        return r.choice([f"<p>text {r.randrange(10**6)}</p>", "<p>same notice</p>", f"<div class=a{k}>{part(k - 1)}</div>" if k else "x", "<article>%s</article>" % (part(k - 1) if k else "<h1>t</h1>same"), f"<div id=n{k}>{r.choice('uvw')}</div>", "<nav>menu</nav>", "<h2>Again</h2>"])
+    rows = [(i, f"http://{r.choice(['a', 'b', 'b', 'b'])}/{i}", "".join(part(3) for _ in range(r.randrange(1, 6)))) for i in range(80)]
+    rows += [(100, "http://a/", None), (101, None, ""), (7, *rows[7][1:])]
+    pages = html_text.with_host(frame(spark, rows, "page_id long, url string, html string"))
+    tree, shared = html_text.style_tree(pages)
+    got = {(x.host, x.node): x for x in tree.collect()}
+    importance, composite, often = plain_tree([(h.host, h.html) for h in pages.collect()])
+    assert {k: x.importance for k, x in got.items() if x.importance is not None} == pytest.approx(importance)
+    assert {k: x.composite for k, x in got.items() if x.composite is not None} == pytest.approx(composite)
+    assert {(x.host, x.node, x.content): x.importance for x in shared.collect()} == pytest.approx({(h, n, html_text._hash(c)): v for (h, n, c), v in often.items()})
+    def low(host):
+        own = {n for (h, n), x in importance.items() if h == host and x < html_text.LOW and got[h, n].pages >= html_text.PAGES}
+        return own, {n for (h, n), x in composite.items() if h == host and x < html_text.LOW}, {(n, html_text._hash(c)) for (h, n, c), x in often.items() if h == host and x < html_text.LOW}
+    texts = {x.page_id: x.text for x in html_text.extract(pages).collect()}
+    plain = {x.page_id: html_text.main_text(html_text.parse(x.html or ""), *low(x.host)) for x in pages.collect()}
+    assert texts == plain
+    assert texts != {x.page_id: main_text(x.html or "") for x in pages.collect()}  # without the tree
+
+
 def test_html_style_tree_of_articles(spark):
     page = "<body><div class=x>our promise</div>%s</body>"
     notice = "<div class=z><p>We moved, see the new address</p></div>"
