@@ -1,21 +1,22 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The vocabulary file gives pieces with scores (where it holds merges, whose scores are only their ranks, the score is
-the logarithm of a probability by Zipf's law, -log(rank)); the ids of a text are the segmentation with the highest sum of
-scores, and among equal ones the one whose last piece is longest at the first place (from the end) where
-they differ.  Characters in no piece are written as their UTF-8 bytes.
+the logarithm of a probability by Zipf's law, -log(rank)), in whole multiples of 2**-32, so that sums are exact.  The ids of a text are
+the segmentation with the highest sum of scores, and among equal ones the one whose last piece is longest at
+the first place (from the end) where they differ.  Characters in no piece are written as their UTF-8 bytes.
 
 The search keeps back pointers for a window only: a piece spans at most ``longest`` characters, so the
 states that can still be extended are the last ``longest`` ones.  As soon as the back paths of all of them meet
-in one boundary, the ids up to there can't change any more; they are committed and the
-window moves on.  Memory is bounded by the distance between such boundaries, not by the text.
-
-No piece of the files meant here has a space mark after another character, which loading verifies; so all
-paths meet before each run of space marks, and what lies between two such boundaries
-is searched once and then looked up.  The lookup table is bounded and starts anew when full.
+in one boundary, the ids up to there can't change any more; they are committed and the window moves on.  Between two characters that stand
+side by side in no piece all paths meet whatever the scores are; a stretch between two such places is a window of its own.
+So stretches are searched side by side, all of them one character further at each step, and one that is seen again gets the ids it
+got before (from a bounded table that starts anew when full).  A stretch of more than LANE characters goes on alone, committed
+where its paths meet (``stream``), which gives the same ids for any text as a whole.  Memory is bounded by the distance between
+boundaries, not by the text.
 
 Decoding joins the pieces' bytes and takes off the leading space that encoding puts in front; it returns
-exactly the text that was encoded.  A null text has null ids; an empty text has none.  Repeated rows: each keeps
+exactly the text that was encoded.  Stretches and pieces are known by 64-bit hashes; a text that does not decode to itself is searched
+again without them.  A null text has null ids; an empty text has none.  Repeated rows: each keeps
 a row.  Other columns are ignored.
 """
 
@@ -23,9 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import struct
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +33,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import map_arrow, table
+from llm.kernels import _pow, mix, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Entries of each of the two lookup tables of one worker.
-HELD = 300_000
-#: Longest stretch, in characters, that is looked up; longer ones are searched each time.
-LOOKED_UP = 64
-_NONE = float("-inf")
+#: Stretches in the table of one worker.
+HELD = 400_000
+#: Longest stretch, in characters, that is searched beside others.
+LANE = 64
+#: Stretches that are searched side by side.
+LANES = 8192
+#: Characters of a text that are handled at once, about; a longer text is cut before a space.
+PART = 1 << 20
+UNIT = 1 << 32
+_NONE = -(1 << 62)
+_MARK, _OWN, _CODES = 0x2581, 0x110000, 0x110001
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -92,68 +98,73 @@ def load(model: str = MODEL) -> list[tuple[str, float, int]]:
     return out
 
 
-class Held(dict):
-    """Ids of stretches, by the stretch without the mark before it; one that is missing is searched."""
-
-    def __init__(self, coder: Coder, mark: str):
-        super().__init__()
-        self.coder = weakref.proxy(coder)  # no cycle: the table goes with its task's coder
-        self.mark = mark
-
-    def __missing__(self, stretch: str) -> bytes:
-        marked = self.mark + stretch
-        if len(marked) > LOOKED_UP:
-            return np.fromiter(self.coder.stream(marked), np.int32).tobytes()
-        out = self.coder._within(marked)
-        if len(self) >= HELD:
-            self.clear()
-        self[stretch] = out
-        return out
-
-
 class Coder:
     """Encoder and decoder of one vocabulary; picklable."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]]):
-        self.score = {p: (s, i) for i, (p, s, k) in enumerate(pieces) if k in (1, 4) and p}
-        self.byte = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(pieces) if k == 6}
+    def __init__(self, vocabulary: list[tuple[str, float, int]]):
+        self.score = {p: (round(s * UNIT), i) for i, (p, s, k) in enumerate(vocabulary) if k in (1, 4) and p}
+        self.byte = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(vocabulary) if k == 6}
         if len(self.byte) != 256:
             raise ValueError("the vocabulary has no piece for each byte")
         self.longest = max(map(len, self.score))
-        self.unknown = min(s for s, _ in self.score.values()) - 10.0
-        self.split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
+        self.unknown = min(s for s, _ in self.score.values()) - 10 * UNIT
         ends: dict[str, set[int]] = {}
         for p in self.score:
             if len(p) > 1:
                 ends.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {c: sorted(x, reverse=True) for c, x in ends.items()}  # of pieces that end in two characters
-        thirds: dict[str, set[int]] = {}
-        for p in self.score:
-            if len(p) > 2:
-                thirds.setdefault(p[-3:], set()).add(len(p))
-        self.pairs = {p: x for p, x in self.score.items() if len(p) == 2}
-        self.triples = {c: tuple(sorted(x, reverse=True)) for c, x in thirds.items()}
-        self.raw = [bytes([int(p[1:-1], 16)]) if k == 6 else b"" if k in (2, 3) else p.replace(SPACE, " ").encode() for p, _, k in pieces]
+        self.raw = [bytes([int(p[1:-1], 16)]) if k == 6 else b"" if k in (2, 3) else p.replace(SPACE, " ").encode() for p, _, k in vocabulary]
         self.sizes = np.array([len(x) for x in self.raw])
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
-        self.lines = self.split and not any("\n" in p for p in self.score)
-        self.line_end = struct.pack("<i", self.byte[10])
-        self.held, self.bare = Held(self, SPACE), Held(self, "")
+        self._tables()
+        self._forget()
+
+    def _tables(self) -> None:
+        """Pieces by length and hash, and which characters stand side by side in one."""
+        self.scores = np.zeros(len(self.raw), np.int64)
+        for s, i in self.score.values():
+            self.scores[i] = s
+        self.single = np.full(_CODES, -1, np.int32)
+        for p, (_, i) in self.score.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        letters = sorted({c for p in self.score if len(p) > 1 for c in p})
+        self.kind = np.zeros(_CODES, np.uint16)
+        self.kind[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.kinds = len(letters) + 1
+        pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.beside = np.zeros(self.kinds**2, bool)
+        self.beside[[int(self.kind[ord(x)]) * self.kinds + int(self.kind[ord(y)]) for x, y in pairs]] = True
+        self.by_length = {}
+        self.maybe = np.zeros(1 << 21, bool)
+        for n in range(2, self.longest + 1):
+            own = [p for p in self.score if len(p) == n]
+            if own:
+                codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)
+                keys = _hashes(_prefix(codes), np.arange(0, len(codes), n), n)
+                order = np.argsort(keys)
+                self.by_length[n] = keys[order], np.array([self.score[p][1] for p in own], np.int32)[order]
+                self.maybe[keys & np.uint64(len(self.maybe) - 1)] = True
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # hashes, begins and numbers of ids
+        self.held: list[np.ndarray] = []
+        self.held_ids = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("held", "bare")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "held", "held_ids")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.held, self.bare = Held(self, SPACE), Held(self, "")
+        self._forget()
 
     def stream(self, chars: str | list[str]) -> Iterator[int]:
         """Ids of a text whose spaces are marks, committed as soon as they are certain.
 
         chars may be a list in which a mark that stood in the text itself is written as an empty string.
         """
-        best, back, ids = [0.0], [0], [()]
+        best, back, ids = [0], [0], [()]
         done, start = 0, 0  # done: the last boundary committed; lists begin there
         text, longest = chars, self.longest
         for end in range(1, len(text) + 1):
@@ -183,7 +194,7 @@ class Coder:
         for p in reversed(parts):
             yield from p
 
-    def _best(self, text: str | list[str], end: int, start: int, best: list[float]) -> tuple[float, int, tuple[int, ...]]:
+    def _best(self, text: str | list[str], end: int, start: int, best: list[int]) -> tuple[int, int, tuple[int, ...]]:
         """(score, begin, ids) of the best last step of a path to end."""
         score, last = self.score, text[end - 1]
         top, at, got = _NONE, end - 1, ()
@@ -201,58 +212,155 @@ class Coder:
             return alone, end - 1, (one[1],) if one else tuple(self.byte[x] for x in (last or SPACE).encode())
         return top, at, got
 
-    def _within(self, s: str) -> bytes:
-        """The ids of a stretch that is a window by itself; the same steps as stream() takes, without looking for a meeting point."""
-        score, pairs, triples, n = self.score, self.pairs, self.triples, len(s)
-        best, back, ids = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        before = 0.0
-        for end in range(1, n + 1):
-            one = score.get(s[end - 1])
-            if one is None:
-                return np.fromiter(self.stream(s), np.int32).tobytes()
-            top, at, got = _NONE, 0, 0
-            if end > 2:
-                for k in triples.get(s[end - 3 : end], ()):
-                    if k <= end:
-                        hit = score.get(s[end - k : end])
-                        if hit is not None:
-                            x = best[end - k] + hit[0]
-                            if x > top:
-                                top, at, got = x, end - k, hit[1]
-            if end > 1:
-                hit = pairs.get(s[end - 2 : end])
-                if hit is not None and best[end - 2] + hit[0] > top:
-                    top, at, got = best[end - 2] + hit[0], end - 2, hit[1]
-            if before + one[0] > top:
-                top, at, got = before + one[0], end - 1, one[1]
-            best[end] = before = top
-            back[end], ids[end] = at, got
-        out, end = [], n
-        while end:
-            out.append(ids[end])
-            end = back[end]
-        out.reverse()
-        return struct.pack(f"<{len(out)}i", *out)
+    def _lanes(self, codes: np.ndarray, prefix: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of them a stretch) of stretches of LANE characters at most; the steps that stream() takes, for all of them at once."""
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        n, high = len(size), int(size[0])
+        active = np.searchsorted(-size, -np.arange(high + 1), "right")  # stretches that have so many characters
+        best = np.zeros((high + 1, n), np.int64)
+        step = np.zeros((high + 1, n), np.int8)
+        piece = np.zeros((high + 1, n), np.int32)
+        for end in range(1, high + 1):
+            k = active[end]
+            to = begin[:k] + end
+            top = np.full(k, _NONE)
+            for m in range(min(end, self.longest), 1, -1):
+                if m not in self.by_length:
+                    continue
+                h = _hashes(prefix, to - m, m)
+                some = np.flatnonzero(self.maybe[h & np.uint64(len(self.maybe) - 1)])
+                if not len(some):
+                    continue
+                keys, ids = self.by_length[m]
+                at = np.minimum(np.searchsorted(keys, h[some]), len(keys) - 1)
+                hit = keys[at] == h[some]
+                some, got = some[hit], ids[at[hit]]
+                total = best[end - m, some] + self.scores[got]
+                more = total > top[some]
+                some, got = some[more], got[more]
+                top[some], step[end, some], piece[end, some] = total[more], m, got
+            got = self.single[codes[to - 1]]
+            total = best[end - 1, :k] + np.where(got >= 0, self.scores[got], self.unknown)
+            more = total > top
+            best[end, :k] = np.where(more, total, top)
+            step[end, :k][more], piece[end, :k][more] = 1, got[more]
+        back, rows = [], np.arange(n)
+        at = size.copy()
+        live = rows
+        while len(live):
+            back.append((live, piece[at[live], live]))
+            at[live] -= step[at[live], live]
+            live = live[at[live] > 0]
+        count = np.zeros(n, np.int64)
+        for who, _ in back:
+            count[who] += 1
+        place = np.zeros(n, np.int64)
+        place[order] = count
+        ends = np.cumsum(place)
+        last = ends[order] - 1  # each stretch's ids stand in the order of the input
+        out = np.empty(int(ends[-1]), np.int32)
+        for j, (who, got) in enumerate(back):
+            out[last[who] - j] = got
+        return out, place
+
+    def _search(self, codes: np.ndarray, prefix: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of them a stretch) of stretches; one of a character in no piece is that character."""
+        alone = self.single[codes[begin]] < 0
+        parts: list[np.ndarray | None] = [None] * len(begin)
+        for i in np.flatnonzero(alone | (size > LANE)).tolist():
+            if alone[i]:
+                c = int(codes[begin[i]])
+                parts[i] = np.array([self.byte[x] for x in (SPACE if c == _OWN else chr(c)).encode()], np.int32)
+            else:
+                parts[i] = np.fromiter(self.stream(codes[begin[i] : begin[i] + size[i]].tobytes().decode("utf-32-le")), np.int32)
+        rest = np.flatnonzero(~alone & (size <= LANE))
+        count = np.array([0 if x is None else len(x) for x in parts], np.int64)
+        found = []
+        for a in range(0, len(rest), LANES):
+            ids, n = self._lanes(codes, prefix, begin[rest[a : a + LANES]], size[rest[a : a + LANES]])
+            found.append(ids)
+            count[rest[a : a + LANES]] = n
+        begins = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        if found:
+            out[_spread(begins[rest], count[rest])] = np.concatenate(found)
+        for i, x in enumerate(parts):
+            if x is not None:
+                out[begins[i] : begins[i] + len(x)] = x
+        return out, count
+
+    def _looked_up(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each stretch begin, number of them)."""
+        prefix = _prefix(codes)
+        keys, first, which = np.unique(_hashes(prefix, begin, size), return_index=True, return_inverse=True)
+        if len(self.known[0]) + len(keys) > HELD:
+            self._forget()
+        have, at, n = self.known
+        spot = np.searchsorted(have, keys)
+        old = (have[np.minimum(spot, len(have) - 1)] == keys) if len(have) else np.zeros(len(keys), bool)
+        if not old.all():
+            new = np.flatnonzero(~old)
+            ids, count = self._search(codes, prefix, begin[first[new]], size[first[new]])
+            starts = self.held_ids + np.cumsum(count) - count
+            self.held.append(ids)
+            self.held_ids += len(ids)
+            have, at, n = (np.insert(x, spot[new], y) for x, y in ((have, keys[new]), (at, starts), (n, count)))
+            self.known = have, at, n
+            spot = np.searchsorted(have, keys)
+        if len(self.held) > 1:
+            self.held = [np.concatenate(self.held)]
+        return self.held[0], at[spot[which]], n[spot[which]]
+
+    def _ids(self, parts: list[str], lead: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their bounds) of parts of texts; lead: whether a space goes in front."""
+        raw = "".join(f" {p}" if x else p for p, x in zip(parts, lead, strict=True))
+        size = np.array([len(p) + x for p, x in zip(parts, lead, strict=True)])
+        codes = np.frombuffer(raw.encode("utf-32-le"), np.uint32).copy()
+        codes[codes == _MARK] = _OWN  # a mark of the text's own goes as bytes
+        codes[codes == 32] = _MARK
+        edge = np.ones(len(codes), bool)
+        kind = self.kind[codes].astype(np.int64)
+        edge[1:] = ~self.beside[kind[:-1] * self.kinds + kind[1:]]
+        starts = np.cumsum(size) - size
+        edge[starts[size > 0]] = True
+        begin = np.flatnonzero(edge)
+        ids, at, n = self._looked_up(codes, begin, np.diff(np.append(begin, len(codes))))
+        out = ids[_spread(at, n)]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return out, total[np.searchsorted(begin, np.append(starts, len(codes)))]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their bounds) of texts."""
+        parts, lead, owner = [], [], []
+        for i, t in enumerate(texts):
+            for k, p in enumerate(_parts(t)):
+                parts.append(p)
+                lead.append(k == 0)
+                owner.append(i)
+        ids, sizes = [], np.zeros(len(texts), np.int64)
+        at = 0
+        while at < len(parts):
+            end, size = at, 0
+            while end < len(parts) and (end == at or size + len(parts[end]) <= PART):
+                size += len(parts[end])
+                end += 1
+            got, bounds = self._ids(parts[at:end], lead[at:end])
+            ids.append(got)
+            np.add.at(sizes, owner[at:end], np.diff(bounds))
+            at = end
+        every, bounds = np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
+        wrong = [i for i, ok in enumerate(self.equal(every, texts, bounds)) if not ok]
+        if wrong:  # two hashes were equal
+            rows = [every[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            for i in wrong:
+                rows[i] = np.fromiter(self.stream([SPACE, *("" if c == SPACE else SPACE if c == " " else c for c in texts[i])]), np.int32)
+            every, bounds = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        return every, bounds
 
     def encode(self, text: str) -> bytes:
         """The ids, as packed 32-bit integers."""
-        if not text:
-            return b""
-        if SPACE in text or not self.split:  # a mark of the text's own goes as bytes
-            chars = [SPACE, *("" if c == SPACE else SPACE if c == " " else c for c in text)]
-            return np.fromiter(self.stream(chars), np.int32).tobytes()
-        if not self.lines or _ODD.search(text):
-            return b"".join(map(self.bare.__getitem__, _STRETCH.findall(SPACE + text.replace(" ", SPACE))))
-        # one space between words: each goes with its mark, but the first of a line, as paths meet at a line end too
-        first, *rest = text.split("\n")
-        out = list(map(self.held.__getitem__, first.split(" ")))
-        for line in rest:
-            head, *words = line.split(" ")
-            out.append(self.line_end)
-            if head:
-                out.append(self.bare[head])
-            out += map(self.held.__getitem__, words)
-        return b"".join(out)
+        return self.encode_all([text])[0].tobytes()
 
     def equal(self, ids: np.ndarray, texts: list[str], bounds: np.ndarray) -> list[bool]:
         """Whether the ids between bounds decode to each text; the same bytes as decode() gives, for many texts at once."""
@@ -268,26 +376,53 @@ class Coder:
         return raw[1:].decode("utf-8", "replace")
 
 
-#: Texts with marks or spaces side by side or at line ends take the general way.
-_ODD = re.compile(f"{SPACE}|^ | $|  | \n|\n ")
-_STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+def _prefix(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _pow("up", len(codes))[: len(codes)], out=out[1:])
+    return out
+
+
+def _hashes(prefix: np.ndarray, begin: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of size characters from each begin on."""
+    return mix((prefix[begin + size] - prefix[begin]) * _pow("down", len(prefix))[begin] + np.asarray(size, np.uint64))
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] places, and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about PART characters, cut where a space follows another character."""
+    at = 0
+    while len(text) - at > PART:
+        cut = at + PART
+        while (cut := text.find(" ", cut)) >= 0 and text[cut - 1] == " ":
+            cut += 1
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    if text:
+        yield text[at:]
 
 
 def _encode(coder: Coder):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for a in range(0, batch.num_rows, 250):
-                texts = batch.column(1).slice(a, 250).to_pylist()
-                packed = [coder.encode(t or "") for t in texts]
-                every = np.frombuffer(b"".join(packed), np.int32)
-                offsets = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
-                exact = coder.equal(every, [t or "" for t in texts], offsets)
-                flat = pa.array(every)
+            for a, b, _, _ in pieces(batch.column(1)):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                whole = [t or "" for t in texts]
+                every, bounds = coder.encode_all(whole)
+                exact = coder.equal(every, whole, bounds)
+                offsets = bounds.astype(np.int32)
                 null = np.array([t is None for t in texts] + [False])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, mask=null) if null.any() else pa.array(offsets), flat)
+                ids = pa.ListArray.from_arrays(pa.array(offsets, mask=null) if null.any() else pa.array(offsets), pa.array(every))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, 250), pa.array(np.diff(offsets).astype(np.int64)), ids,
-                    pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array(exact)], names=["doc_id", "n_ids", "ids", "ids_sha256", "round_trip"])
+                    batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), ids,
+                    pa.array([hashlib.sha256(every[x:y]).hexdigest() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]), pa.array(exact)],
+                    names=["doc_id", "n_ids", "ids", "ids_sha256", "round_trip"])
 
     return run
 

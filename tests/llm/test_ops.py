@@ -195,7 +195,48 @@ def test_pieces_window_is_bounded(coder):
     long = "".join(r.choice("abcdefghijklmnop") for _ in range(20000))
     n = iter(coder.stream(long))
     first = [next(n) for _ in range(50)]
-    assert first == np.frombuffer(coder._within(long), np.int32)[:50].tolist()
+    assert first == list(coder.stream(long))[:50]
+    assert list(coder.stream(pieces.SPACE + long)) == np.frombuffer(coder.encode(long), np.int32).tolist()
+
+
+def marked(t):
+    return [pieces.SPACE, *("" if x == pieces.SPACE else pieces.SPACE if x == " " else x for x in t)] if t else []
+
+
+def test_pieces_side_by_side_or_one_by_one(coder, sf_dir):
+    """The ids of texts encoded together are those of one search over each whole text."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column(0).to_pylist()][:120]
+    texts += ["%%%", "%" * 200, "ab " * 300, " ", "", "▁▁", "x" * 65, "x" * 64, "= " * 80, "  two  spaces  \n \n", "\u00a0\u3000"]
+    fresh = pieces.Coder(pieces.load())
+    for _ in range(2):  # searched, then looked up
+        ids, bounds = fresh.encode_all(texts)
+        for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == list(coder.stream(marked(t))), t[:80]
+
+
+def test_pieces_tie(coder):
+    """Of equal sums the longest last piece: scores are whole numbers, so ab + cd, a + bcd and abc + d tie exactly."""
+    names = ["<unk>", "<s>", "</s>", *[f"<0x{i:02X}>" for i in range(256)], pieces.SPACE, "a", "b", "c", "d", "ab", "cd", "bcd", "abc"]
+    scores = dict.fromkeys(names, 0.0) | {"a": -0.1, "b": -9, "c": -9, "d": -0.3, "ab": -0.1, "cd": -0.3, "bcd": -0.3, "abc": -0.1, pieces.SPACE: -0.7}
+    own = pieces.Coder([(n, scores[n], 2 if n == "<unk>" else 3 if n in ("<s>", "</s>") else 6 if n.startswith("<0x") else 1) for n in names])
+    want = [names.index(x) for x in (pieces.SPACE, "a", "bcd")]
+    for t in ("abcd", "abcd" * 40):
+        got = np.frombuffer(own.encode(t), np.int32).tolist()
+        assert got == list(own.stream(pieces.SPACE + t)) == full_search(own, t) and got[-2:] == want[-2:] and own.decode(got) == t
+
+
+def test_pieces_long_texts_and_equal_hashes(coder, monkeypatch):
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("abcdefg  é") for _ in range(r.randrange(1, 12))) for _ in range(4000)) + " " * 40 + "x" * 300
+    whole = coder.encode(long)
+    monkeypatch.setattr(pieces, "PART", 1000)
+    assert coder.encode(long) == whole and "".join(pieces._parts(long)) == long and max(map(len, pieces._parts(long))) < 1500
+    # every stretch takes the ids of the first: the text is searched again
+    own = pieces.Coder(pieces.load())
+    monkeypatch.setattr(pieces, "_hashes", lambda prefix, begin, size: np.full(len(begin), 7, np.uint64))
+    assert own.encode(long[:600]) == np.array(list(coder.stream(marked(long[:600]))), np.int32).tobytes()
 
 
 def test_encode(spark, texts):
