@@ -8,8 +8,8 @@ the mask of all languages that have it.  Of a text's n-grams that hold a letter
 the hits of each language are counted and corrected for the filter's false positives, ``(hits / n - p) / (1 - p)``;
 the highest share decides and is the score.  Fewer than ENOUGH of them are too few to reject a text by its score.
 
-Null texts and texts without a letter are "und" with score 0.  Rows with a null language or
-text teach nothing.  Repeated rows: each keeps a row.  With no row to learn from, every row is "und".
+Null texts and texts without a letter are "und" with score 0.  Rows with a null language, id or
+text teach nothing, and of rows with one id and language one does.  Languages with equal shares: the first by name.  Repeated rows: each keeps a row.  With no row to learn from, every row is "und".
 Other columns are ignored.
 """
 
@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from llm.common import map_arrow, table
+from llm.common import map_arrow, sample_of_each, table
 from llm.kernels import LOWER, pieces
 
 #: Rows a language that the filters are fitted on.
@@ -125,10 +124,8 @@ def _learnable(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters | None:
     """Filters learnt from at most per_lang rows of each language."""
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(_learnable(F.col(doc_id)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    slim = d.select("id", "lang", F.xxhash64("id").alias("h"))
-    pick = slim.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= per_lang).select("id", "lang").distinct()
-    rows = d.join(F.broadcast(pick), ["id", "lang"]).select("lang", "text").toArrow()  # per_lang rows a language
+    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(_learnable(F.col("id")))
+    rows = sample_of_each(d, "lang", per_lang).select("lang", "text").toArrow()  # per_lang rows a language
     return learn(zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True))
 
 
