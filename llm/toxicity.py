@@ -1,45 +1,48 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-A text is cut into words, a word's input is the embedding of its hash beside the mean embedding of the
-hashes of its characters' trigrams.  Windows of WINDOW words begin every STEP words, so
+A text is cut into words, a word's input is the embedding of its hash beside the largest values, place by place, of the embeddings
+of its byte n-grams (SIZES, with a mark at either end), so that a stem shows in any form of a word.  Windows of WINDOW words begin every STEP words, so
 they overlap and cover the whole text; each is read in both directions, the states are pooled by
 attention and give one logit.  A text's logit is the largest of its windows; its score is the logistic function of
 that after a shift and scale fitted to the labels.
 
 Training is multiple-instance: of a bounded sample (PER_CLASS labelled rows a class, those with the smallest hash
 of doc_id) each text is known by the window that the network finds most toxic at the time.
-The first coordinate of the embeddings starts with the log odds of word and trigram in the sample, shrunk
+The first coordinate of the embeddings starts with the log odds of word and n-gram in the sample, shrunk
 where they are uncertain, and at first the window with the highest of them stands for a text.  Labels can be
-wrong: later, texts of class 1 that the network finds harmless, half of the class at most, are left out, or it would
+wrong: later, texts of class 1 that the network finds harmless, DOUBT of the class at most, are left out, or it would
 learn them by heart.
 
-Null and empty texts have one empty window.  Labels that are null or belong to no document teach nothing; without
-labels of both classes every score is 0.  Repeated rows: each keeps a row.  Other columns are ignored.
+Null and empty texts have one empty window.  Labels that are null or belong to no document teach nothing, nor do null ids; of rows with
+one id the first text does, and with both labels it counts for both; without labels of both classes, or documents, every score is 0.  Repeated rows: each keeps a row.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from llm.common import map_arrow, table
+from llm.common import cut, map_arrow, sample_of_each, table
 from llm.kernels import LOWER, pieces, span_hashes, word_bounds
 
 #: Labelled rows of each class that the network is trained on.
-PER_CLASS = 1200
+PER_CLASS = 2000
 WINDOW, STEP = 32, 16
-WORDS, GRAMS = 1 << 13, 1 << 12
-EMBED, HIDDEN, ATTEND = 8, 8, 8
+SIZES = (3, 4, 5)
+GRAM_BITS = 16
+WORDS, GRAMS = 1 << 16, 1 << GRAM_BITS
+EMBED, HIDDEN, ATTEND = 12, 12, 12
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 #: Batches that a small sample is trained on at least, about.
 STEPS = 110
 #: Empty texts of class 0 that are added to the sample.
 EMPTY = 40
+#: Part of the texts of class 1 whose labels may be wrong.
+DOUBT = 0.2
 #: Misses that a false alarm is worth.
 ALARM = 2.0
 
@@ -53,7 +56,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The distinct words of some texts, with their hash buckets and trigrams, and the sequence of them."""
+    """The distinct words of some texts, with their hash buckets and n-grams, and the sequence of them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         low = LOWER[data]
@@ -63,14 +66,31 @@ class Words:
         self.sequence = inverse.astype(np.int32)
         self.bucket = (names % np.uint64(WORDS)).astype(np.int32)
         s, e = starts[at], ends[at]
-        size = e - s
-        self.bounds = np.concatenate([[0], np.cumsum(size)])
-        inside = np.repeat(s - self.bounds[:-1], size) + np.arange(self.bounds[-1])
-        own = np.where(_SEP[low], np.uint32(1), low.astype(np.uint32)) if len(low) else np.zeros(0, np.uint32)
-        before = np.where(inside == np.repeat(s, size), np.uint32(1), own[inside - 1]) if len(inside) else own
-        after = np.where(inside + 1 == np.repeat(e, size), np.uint32(1), own[np.minimum(inside + 1, len(own) - 1)]) if len(inside) else own
-        h = (before * np.uint32(0x9E3779B1) ^ own[inside] * np.uint32(0x85EBCA77) ^ after * np.uint32(0xC2B2AE3D)) if len(inside) else own
-        self.grams = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20)).astype(np.int32)
+        # a word's n-grams of bytes for each n of SIZES, with a mark at either end
+        size = e - s + 2
+        begin = np.cumsum(size) - size
+        text = np.ones(int(size.sum()), np.uint8)
+        inside = np.repeat(s - begin - 1, size) + np.arange(len(text))
+        edge = np.zeros(len(text), bool)
+        edge[begin] = edge[begin + size - 1] = True
+        text[~edge] = np.where(_SEP[low], 1, low)[inside[~edge]] if len(low) else 1
+        parts, owner = [], []
+        for n in SIZES:
+            if len(text) < n:
+                continue
+            h = np.full(len(text) - n + 1, n, np.uint32)
+            for j in range(n):
+                h = (h ^ text[j : len(text) - n + 1 + j]) * np.uint32(0x01000193)
+            which = np.repeat(np.arange(len(size)), size)
+            ok = which[: len(h)] == which[n - 1 :]
+            h = h[ok]
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            parts.append((h >> np.uint32(32 - GRAM_BITS)).astype(np.int32))
+            owner.append(which[: len(ok)][ok])
+        grams, owner = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (parts, owner))
+        self.grams = grams[np.argsort(owner, kind="stable")]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(word of each place of each window, or the number of words where the text is over; the text of each window)."""
@@ -98,8 +118,9 @@ class Network:
         """Rows of inputs of words, and one of zeros."""
         x = np.zeros((len(bucket) + 1, 2 * EMBED), np.float32)
         x[:-1, :EMBED] = self.p["ew"][bucket]
-        if len(grams):
-            x[:-1, EMBED:] = np.add.reduceat(self.p["ec"][grams], bounds[:-1]) / np.diff(bounds)[:, None]
+        for a in range(0, len(bucket), 4096):
+            b = min(a + 4096, len(bucket))
+            x[a:b, EMBED:] = np.maximum.reduceat(self.p["ec"][grams[bounds[a] : bounds[b]]], bounds[a:b] - bounds[a])
         return x
 
     def _read(self, g: np.ndarray, idx: np.ndarray, u: np.ndarray, back: bool, keep: list | None) -> np.ndarray:
@@ -196,11 +217,15 @@ class Network:
         return 1 / (1 + np.exp(-np.clip((self.logits(data, offsets).astype(float) - self.shift) * self.scale, -30, 30)))
 
 
-def _odds(kind: np.ndarray, text: np.ndarray, goal: np.ndarray, size: int) -> np.ndarray:
-    """Shrunk log odds of class 1 for texts that have each kind."""
-    pair = np.unique(text.astype(np.int64) * size + kind)
-    k, pos = pair % size, goal[pair // size] == 1
-    a, b = np.bincount(k[pos], minlength=size), np.bincount(k[~pos], minlength=size)
+def _odds(places: Callable[[int, int], tuple[np.ndarray, np.ndarray]], goal: np.ndarray, size: int) -> np.ndarray:
+    """Shrunk log odds of class 1 for texts that have each kind; places(a, b): (kinds, their texts) in texts a to b."""
+    have = np.zeros((2, size))
+    for first in range(0, len(goal), 100):
+        kind, text = places(first, min(first + 100, len(goal)))
+        pair = np.unique(text.astype(np.int64) * size + kind)
+        for c in (0, 1):
+            have[c] += np.bincount(pair[goal[pair // size] == c] % size, minlength=size)
+    b, a = have
     odds = np.log((a + 0.5) / (goal.sum() + 1)) - np.log((b + 0.5) / ((goal == 0).sum() + 1))
     z2 = odds**2 / (1 / (a + 0.5) + 1 / (b + 0.5))
     return np.clip(odds * z2 / (z2 + 9), -4, 4).astype(np.float32)
@@ -214,13 +239,23 @@ def train(texts: list[str], goal: np.ndarray, share: float, epochs: int = EPOCHS
     words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     idx, text = words.windows()
     aside = np.arange(len(texts)) % 4 == 3  # trained on the others, the shift is fitted to these
-    owner = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    use = ~aside[owner]
-    net.p["ew"][:, 0] = _odds(words.bucket[words.sequence[use]], owner[use], goal, WORDS)
     size = np.diff(words.bounds)
-    per = size[words.sequence[use]]
-    flat = np.repeat(words.bounds[:-1][words.sequence[use]] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-    net.p["ec"][:, 0] = 0.5 * _odds(words.grams[flat], np.repeat(owner[use], per), goal, GRAMS)
+
+    def own_words(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (word, text) of texts a to b that aren't set aside."""
+        x = words.sequence[words.first[a] : words.first[b]]
+        text = np.repeat(np.arange(a, b), np.diff(words.first[a : b + 1]))
+        use = ~aside[text]
+        pair = np.unique(text[use].astype(np.int64) * len(size) + x[use]) if len(size) else np.zeros(0, np.int64)
+        return pair % max(len(size), 1), pair // max(len(size), 1)
+
+    def own_grams(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        x, text = own_words(a, b)
+        n = size[x]
+        return words.grams[np.repeat(words.bounds[:-1][x] - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(text, n)
+
+    net.p["ew"][:, 0] = _odds(lambda a, b: (words.bucket[own_words(a, b)[0]], own_words(a, b)[1]), goal, WORDS)
+    net.p["ec"][:, 0] = 0.5 * _odds(own_grams, goal, GRAMS)
     for d in "fb":
         net.p[f"x{d}"][0, 2 * HIDDEN :] = 0.5
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -234,7 +269,7 @@ def train(texts: list[str], goal: np.ndarray, share: float, epochs: int = EPOCHS
             logit = np.append(net.p["ew"][words.bucket, 0], -9)[idx].max(1)
         best = np.lexsort((-logit, text))[np.searchsorted(text, np.arange(len(texts)))]
         if not early:  # a text of class 1 that looks harmless is taken for a wrong label, but not most of them
-            best = best[(goal == 0) | (logit[best] >= min(0, np.median(logit[best][goal == 1])))]
+            best = best[(goal == 0) | (logit[best] >= min(0, np.quantile(logit[best][goal == 1], DOUBT)))]
         spare = r.integers(0, len(idx), len(texts))
         chosen = r.permutation(np.concatenate([best, spare[goal[text[spare]] == 0]]))
         chosen = chosen[~aside[text[chosen]]]
@@ -246,11 +281,13 @@ def train(texts: list[str], goal: np.ndarray, share: float, epochs: int = EPOCHS
             n = np.diff(words.bounds)[real]
             bounds = np.concatenate([[0], np.cumsum(n)])
             grams = words.grams[np.repeat(words.bounds[:-1][real] - bounds[:-1], n) + np.arange(bounds[-1])]
-            g = net.gradients(net.inputs(words.bucket[real], grams, bounds), local, goal[text[w]].astype(np.float32))
+            own = net.inputs(words.bucket[real], grams, bounds)
+            g = net.gradients(own, local, goal[text[w]].astype(np.float32))
             dx = g.pop("x")[: len(real)]
             g["ew"], g["ec"] = np.zeros_like(net.p["ew"]), np.zeros_like(net.p["ec"])
             np.add.at(g["ew"], words.bucket[real], dx[:, :EMBED])
-            np.add.at(g["ec"], grams, np.repeat(dx[:, EMBED:] / np.maximum(n, 1)[:, None], n, axis=0))
+            highest = net.p["ec"][grams] == np.repeat(own[:-1, EMBED:][: len(real)], n, axis=0)
+            np.add.at(g["ec"], grams, np.where(highest, np.repeat(dx[:, EMBED:], n, axis=0), 0))
             step += 1
             for k, v in g.items():
                 m, s = moment[k]
@@ -281,13 +318,16 @@ def _learnable(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS) -> Network | None:
     """docs (doc_id, text), labels (doc_id, toxic)."""
-    known = labels.select("doc_id", "toxic").where(_learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).distinct()
-    count = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    known = labels.select(F.col("doc_id").alias("id"), "toxic").where(_learnable(F.col("id")) & F.col("toxic").isin(0, 1)).distinct()
+    count = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}  # two at most
     if len(count) < 2:
         return None
-    pick = known.withColumn("r", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= per_class)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(pick.select("doc_id", "toxic")), "doc_id").toPandas()  # per_class rows a class
-    rows = rows.sort_values(["doc_id", "toxic", "text"])
+    own = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull())
+    # which documents, by their ids alone; their texts come with a join of that bounded list
+    ids = own.select("id").distinct().join(known, "id").select("id", "toxic", F.lit("").alias("text"))
+    pick = cut(sample_of_each(ids, "toxic", per_class).select("id", "toxic"), "pick")
+    rows = own.where(F.col("text").isNotNull()).join(F.broadcast(pick), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toPandas()  # per_class rows a class
+    rows = rows.sort_values(["id", "toxic"])
     goal = rows.toxic.to_numpy(int)
     if len(set(goal.tolist())) < 2:
         return None
