@@ -2,15 +2,18 @@
 
 A revisit record has no payload: the server said that the page hasn't changed since an earlier visit.
 ``resolve`` finds the latest earlier full response with the same canonical URL, checks that the
-revisit's validators (entity tag, payload digest) agree with it, gives the revisit its payload, and merges the headers
+revisit's validators agree with it, gives the revisit its payload, and merges the headers
 a not-modified answer may carry (FRESH) over those of the response.
 
+Validators are the digest of the payload, the entity tag and the date of the last change (header ``last-modified``).  Digests have to be equal
+where both records have one; so do entity tags, by weak comparison (``W/"x"`` equals ``"x"``), or, where one record has none, the dates of the
+last change.  At least one of the three has to be there on both sides and agree.
+
 The join is two nested windows, so that one URL may hold any part of the rows: within each slice of SLICE
-sequence numbers of a URL, and over the slices' last responses.
+sequence numbers of a URL, and over the slices' last responses.  Records without a URL or sequence number take no part in them.
 
 Order is by sequence number, then record id.  A null URL, a null sequence number, no earlier response or a
-validator that differs leave a revisit unresolved, and ``state`` says which.  A missing validator is not checked, but one has
-to be there.  Repeated rows: each keeps a row.  Other columns are ignored.
+validator that differs leave a revisit unresolved, and ``state`` says which.  Repeated rows: each keeps a row.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,21 +50,28 @@ def resolve(records: DataFrame, slice_: int = SLICE) -> DataFrame:
     claims), headers map<string,string> with names in lower case.
     """
     r = records.select("id", F.col("seq").cast("long").alias("seq"), "type", canonical(F.col("url")).alias("canonical_url"), "etag", "digest", "headers")
-    r = r.withColumn("slice", F.floor(F.col("seq") / slice_))  # of a null sequence number, null
-    full = F.when((F.col("type") == "response") & F.col("seq").isNotNull() & F.col("canonical_url").isNotNull(), F.struct("id", "etag", "digest", "headers"))
-    order = [F.col("seq").asc_nulls_first(), F.col("id").asc_nulls_first()]
+    placed = F.col("seq").isNotNull() & F.col("canonical_url").isNotNull()
+    aside = r.where(~placed)
+    r = r.where(placed).withColumn("slice", F.floor(F.col("seq") / slice_))
+    full = F.when(F.col("type") == "response", F.struct("id", "etag", "digest", "headers"))
+    order = [F.col("seq").asc(), F.col("id").asc_nulls_first()]
     near = W.partitionBy("canonical_url", "slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     ends = r.groupBy("canonical_url", "slice").agg(F.max_by(full, F.when(full.isNotNull(), F.struct("seq", "id"))).alias("end"))
     far = ends.select(F.col("canonical_url").alias("u"), F.col("slice").alias("s"), F.last("end", ignorenulls=True).over(
         W.partitionBy("canonical_url").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)).alias("far")).where(F.col("far").isNotNull())
     r = r.withColumn("near", F.last(full, ignorenulls=True).over(near))
-    r = r.join(far, (F.col("canonical_url") == F.col("u")) & (F.col("slice") == F.col("s")), "left")
-    ref = F.coalesce("near", "far")
-    r = r.withColumn("ref", F.when(F.col("seq").isNotNull() & F.col("canonical_url").isNotNull(), ref))
-    agree = lambda a, b: F.coalesce(a == b, F.lit(True))
-    some = (F.col("etag").isNotNull() & F.col("ref.etag").isNotNull()) | (F.col("digest").isNotNull() & F.col("ref.digest").isNotNull())
+    # as far grows with the records, this join is shuffled at every size
+    r = r.join(far.hint("merge"), (F.col("canonical_url") == F.col("u")) & (F.col("slice") == F.col("s")), "left")
+    r = r.withColumn("ref", F.coalesce("near", "far")).select(*aside.columns, "ref")
+    r = r.unionByName(aside.withColumn("ref", F.lit(None).cast(r.schema["ref"].dataType)))
+    weak = lambda tag: F.regexp_replace(tag, "^W/", "")
+    same = lambda a, b, weaker: F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(weaker)
+    changed = lambda headers: F.element_at(headers, F.lit("last-modified"))
+    tags = same(weak(F.col("etag")), weak(F.col("ref.etag")), same(changed(F.col("headers")), changed(F.col("ref.headers")), F.lit(None).cast("boolean")))
+    digests = same(F.col("digest"), F.col("ref.digest"), F.lit(None).cast("boolean"))
+    agree = F.coalesce(tags & digests, tags, digests, F.lit(False)) & F.coalesce(tags, F.lit(True)) & F.coalesce(digests, F.lit(True))
     state = (F.when(~F.col("type").eqNullSafe("revisit"), F.lit("full")).when(F.col("canonical_url").isNull(), "no_url").when(F.col("ref").isNull(), "no_response")
-             .when(some & agree(F.col("etag"), F.col("ref.etag")) & agree(F.col("digest"), F.col("ref.digest")), "resolved").otherwise("mismatch"))
+             .when(agree, "resolved").otherwise("mismatch"))
     r = r.withColumn("state", state)
     resolved = F.col("state") == "resolved"
     fresh = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*FRESH))
@@ -75,22 +85,28 @@ def resolve(records: DataFrame, slice_: int = SLICE) -> DataFrame:
 def records_of(pages: DataFrame) -> DataFrame:
     """A web archive of pages: a full capture of each, and one visit that found it not modified.
 
-    The visit follows the capture, or for every eleventh page comes before it, and spells the URL in another way.
-    Its validators are those of the page, but for every fifth page the entity tag of a changed one.
+    The visit follows the capture, or for every eleventh page comes before it, and spells the URL in another way.  Every third page is one
+    and the same URL, every thirteenth has none.  Captures say when they last changed; every seventh has no entity tag and every ninth a weak
+    one.  A visit brings the page's digest and entity tag, for every fifth page the tag of a changed one; that of a page without a
+    tag brings the date of the last change instead, for every second a wrong one, and every seventeenth visit brings nothing.
     """
-    p = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
+    k, none = F.col("page_id"), F.lit(None).cast("string")
+    url = F.when(k % 13 == 0, none).when(k % 3 == 1, F.lit("http://hot.example.org/")).otherwise(F.col("url"))
+    p = pages.select("page_id", url.alias("url"), F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
     tag = F.left("digest", F.lit(16))
-    late = F.when(F.pmod("page_id", F.lit(11)) == 0, -1).otherwise(1)
-    full = F.struct(
-        (2 * F.col("page_id")).alias("seq"), F.lit("response").alias("type"), F.col("url"), tag.alias("etag"),
-        F.create_map(F.lit("etag"), tag, F.lit("date"), F.lit("day one"), F.lit("content-type"), F.lit("text/html")).alias("headers"))
-    other = F.concat(F.regexp_replace("url", r"^https?://(www\.)?", "HTTP://"), F.lit("#top"))
-    seen = F.when(F.pmod("page_id", F.lit(5)) == 0, F.concat(tag, F.lit("-2"))).otherwise(tag)
-    again = F.struct(
-        (2 * F.col("page_id") + late).alias("seq"), F.lit("revisit").alias("type"), other.alias("url"), seen.alias("etag"),
-        F.create_map(F.lit("etag"), seen, F.lit("date"), F.lit("day two"), F.lit("x-cache"), F.lit("hit")).alias("headers"))
-    p = p.select("page_id", "digest", F.explode(F.array(full, again)).alias("r"))
-    return p.select(F.struct("page_id", "r.type").alias("id"), "r.seq", "r.type", "r.url", "r.etag", "digest", "r.headers")
+    own = F.when(k % 7 == 0, none).when(k % 9 == 0, F.concat(F.lit("W/"), tag)).otherwise(tag)
+    day = F.concat(F.lit("day "), (k % 3).cast("string"))
+    seen = F.when((k % 7 == 0) | (k % 17 == 0), none).when(k % 5 == 0, F.concat(tag, F.lit("-2"))).otherwise(tag)
+    changed = F.when((k % 7 == 0) & (k % 17 != 0), F.when(k % 2 == 0, day).otherwise("day 9"))
+    claimed = F.when((k % 7 == 0) | (k % 17 == 0), none).otherwise(F.col("digest"))
+    some = lambda *pairs: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(x).alias("key"), v.alias("value")) for x, v in pairs]), lambda e: e["value"].isNotNull()))
+    full = F.struct((2 * k).alias("seq"), F.lit("response").alias("type"), F.col("url"), own.alias("etag"), F.col("digest").alias("digest"),
+                    some(("etag", own), ("date", F.lit("day one")), ("content-type", F.lit("text/html")), ("last-modified", day)).alias("headers"))
+    again = F.struct((2 * k + F.when(k % 11 == 0, -1).otherwise(1)).alias("seq"), F.lit("revisit").alias("type"),
+                     F.concat(F.regexp_replace("url", r"^https?://(www\.)?", "HTTP://"), F.lit("#top")).alias("url"), seen.alias("etag"), claimed.alias("digest"),
+                     some(("etag", seen), ("date", F.lit("day two")), ("x-cache", F.lit("hit")), ("last-modified", changed)).alias("headers"))
+    p = p.select("page_id", F.explode(F.array(full, again)).alias("r"))
+    return p.select(F.struct("page_id", "r.type").alias("id"), "r.seq", "r.type", "r.url", "r.etag", "r.digest", "r.headers")
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +117,15 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS digest FROM pages),
+WITH p AS (SELECT page_id, CASE WHEN page_id % 13 = 0 THEN NULL WHEN page_id % 3 = 1 THEN 'http://hot.example.org/' ELSE url END AS url, md5(coalesce(html, '')) AS digest FROM pages),
 x AS (
-  SELECT page_id, 2 * page_id AS seq, 'response' AS type, url, left(digest, 16) AS etag, digest FROM p
+  SELECT page_id, 2 * page_id AS seq, 'response' AS type, url, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 9 = 0 THEN 'W/' || left(digest, 16) ELSE left(digest, 16) END AS etag, digest,
+    'day ' || (page_id % 3) AS changed FROM p
   UNION ALL
   SELECT page_id, 2 * page_id + CASE WHEN page_id % 11 = 0 THEN -1 ELSE 1 END, 'revisit', regexp_replace(url, '^https?://(www\.)?', 'HTTP://') || '#top',
-    left(digest, 16) || CASE WHEN page_id % 5 = 0 THEN '-2' ELSE '' END, digest FROM p),
+    CASE WHEN page_id % 7 = 0 OR page_id % 17 = 0 THEN NULL ELSE left(digest, 16) || CASE WHEN page_id % 5 = 0 THEN '-2' ELSE '' END END,
+    CASE WHEN page_id % 7 = 0 OR page_id % 17 = 0 THEN NULL ELSE digest END,
+    CASE WHEN page_id % 7 = 0 AND page_id % 17 <> 0 THEN CASE WHEN page_id % 2 = 0 THEN 'day ' || (page_id % 3) ELSE 'day 9' END END FROM p),
 u AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS u FROM x),
 v AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '') AS host,
@@ -115,16 +134,22 @@ w AS (
   SELECT *, regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') AS path,
     array_to_string(list_sort(list_filter(string_split(CASE WHEN rest LIKE '%?%' THEN regexp_replace(rest, '^[^?]*\?', '') ELSE '' END, '&'),
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM v),
-c AS (SELECT page_id, seq, type, etag, digest, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical_url FROM w),
+c AS (SELECT page_id, seq, type, etag, digest, changed, CASE WHEN url IS NULL THEN NULL ELSE host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical_url FROM w),
 r AS (
-  SELECT a.*, b.page_id AS ref_id, b.etag AS ref_etag, b.digest AS ref_digest
-  FROM c a ASOF LEFT JOIN (SELECT * FROM c WHERE type = 'response') b ON a.canonical_url = b.canonical_url AND a.seq > b.seq),
+  SELECT a.*, b.page_id AS ref_id, b.etag AS ref_etag, b.digest AS ref_digest, b.changed AS ref_changed
+  FROM c a ASOF LEFT JOIN (SELECT * FROM c WHERE type = 'response' AND canonical_url IS NOT NULL) b ON a.canonical_url = b.canonical_url AND a.seq > b.seq),
+t AS (
+  SELECT *, CASE WHEN etag IS NOT NULL AND ref_etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = regexp_replace(ref_etag, '^W/', '')
+    WHEN changed IS NOT NULL AND ref_changed IS NOT NULL THEN changed = ref_changed END AS tags,
+    CASE WHEN digest IS NOT NULL AND ref_digest IS NOT NULL THEN digest = ref_digest END AS digests FROM r),
 s AS (
   SELECT *, CASE WHEN type = 'response' THEN 'full' WHEN canonical_url IS NULL THEN 'no_url' WHEN ref_id IS NULL THEN 'no_response'
-    WHEN digest = ref_digest AND etag = ref_etag THEN 'resolved' ELSE 'mismatch' END AS state FROM r)
+    WHEN coalesce(tags, digests, FALSE) AND coalesce(tags, TRUE) AND coalesce(digests, TRUE) THEN 'resolved' ELSE 'mismatch' END AS state FROM t),
+m AS (
+  SELECT *, CASE WHEN state = 'resolved' THEN coalesce(etag, ref_etag) ELSE etag END AS new_etag, CASE WHEN state = 'resolved' THEN coalesce(changed, ref_changed) ELSE changed END AS new_changed FROM s)
 SELECT page_id, type, canonical_url, state, CASE WHEN state = 'resolved' THEN ref_id END AS ref_page_id,
-  CASE WHEN state IN ('resolved', 'full') THEN digest END AS digest,
+  CASE state WHEN 'resolved' THEN ref_digest WHEN 'full' THEN digest END AS digest,
   CASE WHEN state IN ('resolved', 'full') THEN 'content-type=text/html;' ELSE '' END || CASE WHEN type = 'revisit' THEN 'date=day two' ELSE 'date=day one' END
-    || ';etag=' || etag || CASE WHEN state IN ('resolved', 'full') THEN '' ELSE ';x-cache=hit' END AS headers
-FROM s
+    || coalesce(';etag=' || new_etag, '') || coalesce(';last-modified=' || new_changed, '') || CASE WHEN state IN ('resolved', 'full') THEN '' ELSE ';x-cache=hit' END AS headers
+FROM m
 """
