@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, plus signs before digits, points before digits, pairs of
-digits, scheme separators and cues of identifiers.  A small parser for each kind expands an
+One Aho-Corasick pass over a text, in lower case, finds anchors: at-signs, plus signs before digits, points before digits, pairs of
+digits, scheme separators, cues of identifiers and country codes before digits.  A small parser for each kind expands an
 anchor to both sides and validates what it finds.  Base kinds, equal to the leftmost non-overlapping
 matches of their patterns:
 
@@ -11,7 +11,8 @@ matches of their patterns:
     phone  \\+[0-9][\\x20().0-9-]+[0-9], 9 to 15 digits
 
 A match that fails its test is dropped and consumes its characters.  Added kinds: ``account`` (an IBAN that
-passes its check digits, or an identifier with digits after a cue such as "account number") and ``login`` (a
+has its country's length and passes its check digits, wherever it stands, or an identifier with digits after a cue such as
+"account number" in any case) and ``login`` (a
 URL with user information).  Every expansion starts no further left than the end of the last match
 of its kind, so the work is linear in the text.
 
@@ -34,7 +35,7 @@ from llm.common import map_arrow, table
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("account", "login")
-#: Words that announce an identifier; each also in capitals and with a capital first letter.
+#: Words that announce an identifier.
 CUES = ("account number", "account no", "account id", "customer id", "customer number", "passport number", "passport no", "social security number", "ssn", "iban", "kontonummer", "numéro de compte", "número de cuenta")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,7 +44,11 @@ _DIGITS = frozenset("0123456789")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+# Countries with IBANs and their lengths.
+IBANS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20")
+_IBAN = {x[:2]: re.compile(rf"{x[:2]}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{int(x[2:]) - 4}}}(?![A-Za-z0-9])") for x in IBANS.split()}
 _IDENTIFIER = re.compile(r"[\x20:#.=]{0,4}([A-Z0-9](?:[A-Z0-9-]{4,32})[A-Z0-9])(?![A-Za-z0-9])")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _USER = re.compile(r"[^\s/@:<>\"']+(?::[^\s/@<>\"']*)?@[A-Za-z0-9.-]+[^\s<>\"']*")
@@ -60,11 +65,12 @@ def _automaton():
             for e in "0123456789":
                 for sep in ("", " ", "-"):
                     a.add_word(d + sep + e, ("card", 2 + len(sep)))
+            for country in _IBAN:
+                a.add_word(country.lower() + d, ("iban", 3))
         a.add_word("@", ("email", 1))
         a.add_word("://", ("login", 3))
         for cue in CUES:
-            for c in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                a.add_word(c, ("account", len(c)))
+            a.add_word(cue, ("account", len(cue)))
         a.make_automaton()
         _held.append(a)
     return _held[0]
@@ -83,13 +89,22 @@ def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_at(text: str, at: int) -> tuple[int, int] | None:
+    pattern = _IBAN.get(text[at : at + 2])
+    m = pattern.match(text, at) if pattern else None
+    return m.span() if m and _iban(m[0]) else None
+
+
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """The spans of each kind, from left to right."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS + MORE}
     done = dict.fromkeys(out, 0)
-    for last, (kind, size) in _automaton().iter(text):
+    small = text.lower()
+    if len(small) != len(text):  # a character whose lower case has two
+        small = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    for last, (kind, size) in _automaton().iter(small):
         at, end = last - size + 1, last + 1
-        low = done[kind]
+        low = done["account" if kind == "iban" else kind]
         if at < low:
             continue
         if kind == "email":
@@ -124,13 +139,14 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
         elif kind == "account":
             head = at and text[at - 1].isalnum()
             m = None if head else _IDENTIFIER.match(text, end)
-            iban = None if head else _IBAN.match(text, end + len(text[end : end + 4]) - len(text[end : end + 4].lstrip(" :#.=")))
-            if iban and _iban(iban[0]):
-                out[kind].append(iban.span())
-                done[kind] = iban.end()
-            elif m and any(c in _DIGITS for c in m[1]):
+            if m and any(c in _DIGITS for c in m[1]) and not _iban_at(text, m.start(1)):
                 out[kind].append(m.span(1))
                 done[kind] = m.end()
+        elif kind == "iban":
+            m = None if at and text[at - 1].isalnum() else _iban_at(text, at)
+            if m:
+                out["account"].append(m)
+                done["account"] = m[1]
         else:
             s = at
             while s > low and at - s < 32 and text[s - 1] in _SCHEME:
