@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     to = F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("tail")))).otherwise(
         F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("tail")), F.struct(F.col("to").alias("part"), F.lit(1).alias("tail")))))
     docs = docs.select(to.alias("x"), "id", "doc", "text").select("x.part", "x.tail", "id", "doc", "text")
-    docs = docs.repartition(default_parallelism(spark), "part").sortWithinPartitions("part", "tail", "id", "text")
+    docs = docs.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "tail", "id", "text")  # each part is a task's
     return map_arrow(docs, _run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
