@@ -90,7 +90,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     hashed = _hashed(docs, "text").withColumn("g", _grams(F.col("h"), K))
     kept = [F.array(F.lit(-1).cast("long")), _winnow(F.col("g")), *[_grams(F.col("h"), k) for k in short]]
     found = hashed.select("doc", "key", F.size("h").alias("n_words"), F.explode(F.concat(*kept)).alias("v"))
-    found = found.withColumn("m", F.when(F.col("v") >= 0, F.shiftright("v", 32))).join(marks, "m", "left")
+    # a document's own row, which joins with nothing, has a key below zero of its own, so that a shuffled join spreads them
+    found = found.withColumn("m", F.when(F.col("v") >= 0, F.shiftright("v", 32)).otherwise(-1 - F.xxhash64("key").bitwiseAND(F.lit((1 << 62) - 1)))).join(marks, "m", "left")
     found = found.where(F.col("v").eqNullSafe(-1) | F.col("len").isNotNull())
     found = cut(found.select("doc", "key", "n_words", F.when(F.col("v") >= 0, F.col("v").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("at"), "len"), "hits")
 
