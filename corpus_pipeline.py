@@ -1,6 +1,8 @@
 """From raw documents to token ids: five stages, each over all rows its predecessor kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, whatever they are named.  Null ids,
+null and empty texts and repeated rows: language ID drops texts without a letter; of the copies of a document one stays, rows with a
+null id all stay.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import decontaminate, jaccard, langid, pieces, pii
-from llm.common import cut, maybe_broadcast, table
+from llm.common import cut, fresh, mark, maybe_broadcast, sweep_since, table
 
 #: Least share of a text's n-grams with a letter that the best language has; short texts (langid.ENOUGH) stay without it.
 LANGUAGE_SCORE = 0.35
@@ -17,9 +19,10 @@ LANGUAGE_SCORE = 0.35
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose (doc, key) is in gone; key is the hash of doc_id and text."""
-    gone = cut(gone.select(F.col("key").alias("gone_key"), F.col("doc").alias("gone_doc")).distinct(), "gone")
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    return docs.join(maybe_broadcast(gone, gone.count(), 24), (key == F.col("gone_key")) & docs["doc_id"].eqNullSafe(F.col("gone_doc")), "left_anti")
+    key, doc = fresh(docs, "gone_key"), fresh(docs, "gone_doc")
+    gone = cut(gone.select(F.col("key").alias(key), F.col("doc").alias(doc)).distinct(), "gone")
+    own = F.xxhash64(docs["doc_id"], docs["text"])
+    return docs.join(maybe_broadcast(gone, gone.count(), 24), (own == F.col(key)) & docs["doc_id"].eqNullSafe(F.col(doc)), "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +34,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps of each group of linked documents the one with the smallest doc_id, once; documents without an id all stay."""
     found = cut(jaccard.jaccard_components(docs), "components")
     n, ids = found.agg(F.count("doc"), F.countDistinct("doc")).first()
-    gone = cut(found.where(F.col("doc") != F.col("component")).select(F.col("doc").alias("gone")).distinct(), "gone")
-    kept = docs.join(maybe_broadcast(gone, gone.count(), 16), docs["doc_id"] == F.col("gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = cut(found.where(F.col("doc") != F.col("component")).select(F.col("doc").alias(name)).distinct(), "gone")
+    kept = docs.join(maybe_broadcast(gone, gone.count(), 16), docs["doc_id"] == F.col(name), "left_anti")
     if n == ids:
         return kept
-    known = kept.where(F.col("doc_id").isNotNull()).withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    text = fresh(docs, "text_key")
+    known = kept.where(F.col("doc_id").isNotNull()).withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
     return known.unionByName(kept.where(F.col("doc_id").isNull()))
 
 
@@ -67,7 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The token ids of the documents that are kept.  Each stage's output is written; what was written before it is then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        sweep_since(before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
