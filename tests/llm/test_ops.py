@@ -142,6 +142,40 @@ def test_fingerprints(spark, texts):
     assert fingerprint.fingerprints(frame(spark, [])).collect() == []
 
 
+def plain_sketch(text):
+    """The same sketch shingle by shingle."""
+    top = (1 << 64) - 1
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & top
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & top
+        return x ^ (x >> 31)
+    raw, b = text.encode(), 0x9E3779B97F4A7C15
+    parts = [raw[i : i + 16] for i in range(len(raw) - 15)]
+    hashes = {mixed(sum((c + 1) * pow(b, k, 1 << 64) for k, c in enumerate(p)) & top) for p in parts}
+    if 0 < len(raw) < 16:
+        hashes = {mixed((sum((c + 1) * pow(b, k, 1 << 64) for k, c in enumerate(raw)) ^ (len(raw) << 48)) & top)}
+    return {h & ((1 << 40) - 1) for h in hashes if h < (1 << 64) // fingerprint.FRACTION}
+
+
+def test_fingerprint_likeness_against_plain(spark, texts):
+    import base64
+
+    docs = sorted({(i, t or "") for i, t in texts})
+    got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, docs)).collect()}
+    for k, (i, t) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        r = got[i]
+        for text, print_ in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
+            raw = base64.b64decode(print_.split(".")[1])
+            assert [int.from_bytes(raw[j : j + 5], "big") for j in range(0, len(raw), 5)] == sorted(plain_sketch(text))
+        for x, near in ((edited, r.near_edited), (after, r.near_next)):
+            a, b = plain_sketch(t), plain_sketch(x)
+            assert near == pytest.approx(1 if t == x else len(a & b) / max(min(len(a), len(b)), 1))
+
+
 def test_sketches_merge_and_contain():
     r = random.Random(1)
     a, b = (" ".join(f"v{r.randrange(10**9)}" for _ in range(n)) for n in (300, 9000))
@@ -281,6 +315,8 @@ def test_pii_added_kinds_and_redaction():
     clean = pii.redact(t, f)
     assert "bob" not in clean and "3704" not in clean and "http://plain.example/" in clean and clean.startswith("IBAN: <ACCOUNT> ok, Account number: <ACCOUNT>. see <LOGIN>")
     assert pii.find("my account number is secret and ssn too")["account"] == []
+    t = "Pay to DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432; not DE89 3704 0044 0532 0130 01, xDE89370400440532013000 or NL91ABNA0417164300X. KontoNummer: 7788-X İ ACCOUNT Number 99-1234-5"
+    assert [t[a:b] for a, b in pii.find(t)["account"]] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "7788-X", "99-1234-5"]
 
 
 def test_pii_rows(spark, texts):
@@ -357,7 +393,29 @@ def test_warc(spark):
     assert warc.resolve(frame(spark, [], schema)).collect() == []
 
 
+def test_warc_validators(spark):
+    """All pairs of a revisit's and a response's validators, against the rules written down one by one."""
+    schema = "id long, seq long, type string, url string, etag string, digest string, headers map<string,string>"
+    tags, digests, days = (None, "x", "W/x", "y"), (None, "d", "e"), (None, "mon", "tue")
+    rows, want = [], {}
+    for n, (e, d, m, f, g, o) in enumerate((e, d, m, f, g, o) for e in tags for d in digests for m in days for f in tags for g in digests for o in days):
+        h = lambda day: None if day is None else {"last-modified": day}
+        rows += [(2 * n, 1, "response", f"u{n}", e, d, h(m)), (2 * n + 1, 2, "revisit", f"u{n}", f, g, h(o))]
+        checks = [d == g] if d and g else []
+        if e and f:
+            checks.append(e.removeprefix("W/") == f.removeprefix("W/"))
+        elif m and o:
+            checks.append(m == o)
+        want[2 * n + 1] = "resolved" if checks and all(checks) else "mismatch"
+    rows += [(10**6 + i, None if i % 2 else i, "response" if i % 3 else "revisit", None if i % 2 == 0 or i % 5 else "u0", "x", "d", None) for i in range(50)]
+    got = {r.id: r.state for r in warc.resolve(frame(spark, rows, schema)).collect()}
+    assert len(got) == len(rows) and {i: got[i] for i in want} == want
+    assert {got[i] for i in got if i >= 10**6} == {"full", "no_url", "no_response"}
+
+
 def test_warc_sql(spark, sf_dir):
+    states = {r.state for r in warc.op7_warc_revisits(spark, sf_dir).select("state").distinct().collect()}
+    assert states >= {"full", "resolved", "mismatch", "no_url"}
     same(warc.op7_warc_revisits(spark, sf_dir), warc.SQL, sf_dir)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from llm import langid, pieces, pii, registry
+from llm import common, langid, pieces, pii, registry
 from tests.llm import brute
 from tests.llm.test_ops import plain_windows
 
@@ -48,6 +48,28 @@ def test_near_copies_of_one_id(spark):
     assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == sorted([(0, ""), (0, t), (1, t), (3, "other words"), (3, "quite another text")])
 
 
+def test_columns_with_clashing_names(spark, sf_dir):
+    names = ["gone", "Gone_Key", "gone_doc", "text_key", "key", "doc", "h", "g", "w", "v", "m", "len", "at", "sid", "tid", "n", "component", "id", "host", "lang_pred", "score", "ids", "r", "of", "spans", "hot", "df", "__text"]
+    t = "the house stands on a long road and nobody walks there but one old man who sings in the morning "
+    rows = [(i, t * 3 + f"number {i // 2} of all things that I have seen {'again ' * (i % 5)}", "en", *[f"{n}{i}" for n in names]) for i in range(20)] + [(3, t * 3 + "number 1 of all things that I have seen again again again ", "en", *[f"{n}3" for n in names]), (50, "12 34", "en", *names), (51, None, None, *names)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, {', '.join(f'`{n}` string' for n in names)}")
+    plain = docs.select("doc_id", "text", "lang")
+    for name, stage in cp.STAGES[:-1]:
+        new, plain = stage(spark, docs, sf_dir), stage(spark, plain, sf_dir)
+        assert new.columns == docs.columns
+        docs = spark.createDataFrame(new.collect(), docs.schema)
+        assert sorted(map(tuple, docs.select("doc_id", "text", "lang").collect())) == sorted(map(tuple, plain.collect())), name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names)
+    assert 0 < docs.count() < 20
+    assert cp.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_only_the_last_table_stays(spark, sf_dir):
+    before = common.mark()
+    out = cp.run(spark, sf_dir)
+    assert len(common._made) - before == 1 and out.count() > 0
+
+
 def test_no_rows(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
