@@ -46,9 +46,8 @@ def normalize_rect(x: Column, y: Column, w: Column, h: Column, width: Column, he
 
 def map_to_group(v: Column, origin: Column, child_origin: Column, extent: Column, child_extent: Column) -> Column:
     """A coordinate of a group's child in those of the group's parent; whole numbers."""
-    scaled = (v - child_origin) * extent
-    rest = F.greatest(child_extent, F.lit(1))
-    return origin + ((scaled - scaled % rest) / rest).cast("long")  # a whole-number division, towards zero
+    scaled, whole = ((v - child_origin) * extent).cast("long"), F.greatest(child_extent, F.lit(1)).cast("long")
+    return origin + F.call_function("div", scaled, whole)  # towards zero
 
 
 def layout_cursor(elements: Column, unit: int = 1000) -> Column:

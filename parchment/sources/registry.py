@@ -23,8 +23,8 @@ from parchment.functions import text as tx
 from parchment.sources import hangul, office
 from parchment.sources.markup import Broken
 
-#: Bytes of a file that is read at all.
-MAX_FILE = 1 << 30
+#: Pages of a file that are shown.
+MAX_PAGES = 50
 
 # Warnings.
 NO_DOC = "DOC(구 바이너리) 파싱은 다음 업데이트에서 지원됩니다. Word에서 DOCX로 저장 후 열어주세요."
@@ -72,8 +72,6 @@ def _pdf(content: bytes, pdf, warning: str) -> dict:
 def read_one(fmt: str, content: bytes | None, uri: str, providers: dict) -> tuple[dict, dict[str, bytes]]:
     """(content columns, media) of one file."""
     content = content or b""
-    if len(content) > MAX_FILE:
-        return {"warning": f"file has more than {MAX_FILE} bytes"}, {}
     if fmt in PARSERS:
         try:
             return PARSERS[fmt](content, uri)
@@ -122,9 +120,15 @@ def _reader(providers: dict, schema: pa.Schema):
     return run
 
 
+def allow_charsets(spark: SparkSession) -> None:
+    """Let the session decode EUC-KR; read when a query runs, so it stays."""
+    if spark.conf.get("spark.sql.legacy.javaCharsets") != "true":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def parse(raw: DataFrame, providers: dict | None = None) -> DataFrame:
     """CONTENT rows of RAW rows."""
-    raw.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")  # for EUC-KR
+    allow_charsets(raw.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(_OUT))
     d = raw.select("uri", tx.detect_format(display_name(F.col("name"), F.col("uri")), F.col("mime")).alias("format"), "content")
     d = d.mapInArrow(_reader(providers or {}, schema), _OUT)
@@ -149,6 +153,12 @@ def media(raw: DataFrame) -> DataFrame:
     return d.mapInArrow(_media({}, to_arrow_schema(StructType.fromDDL(schemas.MEDIA))), schemas.MEDIA)
 
 
+def pages(content: DataFrame, limit: int = MAX_PAGES) -> DataFrame:
+    """(uri, page) of the pages that are shown of files with pages: the first ``limit``, numbered from 0."""
+    shown = F.slice(F.sequence(F.lit(0), F.greatest("page_count", F.lit(1)) - 1), 1, limit)
+    return content.where("page_count > 0").select("uri", F.explode(shown).alias("page"))
+
+
 def explode_blocks(content: DataFrame) -> DataFrame:
     """(uri, pos, columns of the block)."""
     return content.select("uri", F.posexplode("blocks").alias("pos", "b")).select("uri", "pos", "b.*")
