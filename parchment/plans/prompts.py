@@ -10,6 +10,7 @@ from parchment.functions.text import blank
 from parchment.plans.summary import summarize
 
 CONTEXT = 12_000
+SLICES = 64
 
 # The wording of the prompts and answers.
 SUMMARY_SYSTEM = "당신은 한국어 문서 요약 전문가입니다. 핵심만 간결한 불릿으로 요약하세요."
@@ -72,9 +73,12 @@ def compare(df: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
 def transcript(turns: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
     """(key, text): the turns in order, a line each, as far as they fit in a context.
 
-    As each turn takes a character at least, only the first CONTEXT turns are gathered; Spark picks them before the shuffle.
+    As each turn takes a character at least, no more than the first CONTEXT turns of a key count.  They are found in two steps, among the turns
+    of each of SLICES slices of a key and among what those leave, so that no task sorts all turns of a long conversation.
     """
-    first = F.row_number().over(W.partitionBy(key).orderBy(order))
-    turns = turns.select(key, order, role, text).withColumn("__r", first).where(F.col("__r") <= CONTEXT)
-    t = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat_ws(": ", role, text).alias("t")))).alias("__t"))
-    return t.select(key, F.left(F.array_join(F.transform("__t", lambda x: x["t"]), "\n"), F.lit(CONTEXT)).alias("text"))
+    line = F.left(F.concat_ws(": ", role, text), F.lit(CONTEXT)).alias("t")
+    turns = turns.select(F.col(key), F.col(order).alias("o"), line).withColumn("s", F.pmod(F.xxhash64("o", "t"), F.lit(SLICES)))
+    for group in ([key, "s"], [key]):
+        turns = turns.withColumn("r", F.row_number().over(W.partitionBy(*group).orderBy("o", "t"))).where(F.col("r") <= CONTEXT).drop("r")
+    t = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("ts"))
+    return t.select(key, F.left(F.array_join(F.transform("ts", lambda x: x["t"]), "\n"), F.lit(CONTEXT)).alias("text"))

@@ -20,6 +20,15 @@ def test_entry(spark, sf_dir):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_summary_deals_the_text_out_once(spark, sf_dir):
-    plan = QUERIES["summarize_documents"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(doc_id") <= 2 and "ENSURE_REQUIREMENTS" not in plan
+def test_summary_shuffles_nothing(spark, sf_dir):
+    for name in ("summarize_documents", "sentence_scores", "wiki_markdown"):
+        assert "Exchange" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_summaries_of_rows_with_one_key(spark):
+    from parchment.plans import summary
+
+    t = ". ".join(f"word{i} word{i % 3} and some more of them" for i in range(9)) + "."
+    rows = [(1, t), (1, t), (1, "One line."), (None, t), (None, None)]
+    got = summary.summarize(spark.createDataFrame(rows, "k long, x string"), "k", "x", 3).collect()
+    assert len(got) == 5 and len({r.summary for r in got}) == 3 and sum(r.summary.count("•") == 3 for r in got) == 3
