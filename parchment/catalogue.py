@@ -11,6 +11,7 @@ from parchment.functions import geometry, grid
 from parchment.functions import text as tx
 from parchment.operators import catalog, model, store, wiki
 from parchment.plans import prompts, summary
+from parchment.sources import registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -237,10 +238,11 @@ def _events(spark, d, where: str):
     return catalog.latest(read(spark, d, "events").where(where).select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")
 
 
-@query(f"""WITH c AS {_LATEST.format('event_id % 2 = 0')}, n AS {_LATEST.format('event_id % 2 = 1 AND user_id % 3 = 0')}
+@query(f"""WITH c AS {_LATEST.format('event_id % 2 = 0 OR user_id % 3 > 0')}, n AS {_LATEST.format('event_id % 2 = 1 AND user_id % 3 = 0')}
 SELECT user_id, event_id, event_type FROM n UNION ALL SELECT user_id, event_id, event_type FROM c WHERE user_id NOT IN (SELECT user_id FROM n)""")
 def catalog_upsert(spark, d):
-    return catalog.upsert(_events(spark, d, "event_id % 2 = 0"), _events(spark, d, "event_id % 2 = 1 AND user_id % 3 = 0"), "user_id").select("user_id", "event_id", "event_type")
+    """The odd events of every third user are new, all others are in the catalog."""
+    return catalog.upsert(_events(spark, d, "event_id % 2 = 0 OR user_id % 3 > 0"), _events(spark, d, "event_id % 2 = 1 AND user_id % 3 = 0"), "user_id").select("user_id", "event_id", "event_type")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -298,10 +300,9 @@ def markdown_lines(spark, d):
 
 
 @query(f"""WITH {_LINES} SELECT doc_id, CAST(least(greatest(max(length(line) + length(regexp_replace(line, '[\\x{{0000}}-\\x{{2E80}}]', '', 'g'))) * 8 + 20, CASE WHEN doc_id % 2 = 0 THEN 88 ELSE 72 END), 280) AS INT) AS width
-FROM ln WHERE doc_id % 5 = 4 OR length(line) < 40 GROUP BY doc_id""")
+FROM ln GROUP BY doc_id""")
 def column_width(spark, d):
-    rows = _lines(spark, d).where((F.col("doc_id") % 5 == 4) | (F.length("line") < 40))
-    return grid.column_widths(rows, ["doc_id"], "line", F.col("doc_id") % 2 == 0)
+    return grid.column_widths(_lines(spark, d), ["doc_id"], "line", F.col("doc_id") % 2 == 0)
 
 
 _CELLS = "ce AS (SELECT l_orderkey, l_linenumber AS c, max(l_quantity) AS q FROM lineitem GROUP BY ALL)"
@@ -354,21 +355,6 @@ def column_ref(spark, d):
     return read(spark, d, "part").select("p_partkey", F.when(k % 7 == 0, None).otherwise(ref).alias("ref")).withColumn("col", grid.column_index(F.col("ref")))
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber = 2 THEN 'n/a' ELSE CAST(l_partkey * 2 AS VARCHAR) END AS raw FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_suppkey, coalesce(p_name, raw) AS text FROM c LEFT JOIN part ON TRY_CAST(raw AS BIGINT) = p_partkey""")
-def shared_string_lookup(spark, d):
-    c = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.when(F.col("l_linenumber") == 2, "n/a").otherwise((F.col("l_partkey") * 2).cast("string")).alias("raw"))
-    shared = read(spark, d, "part").select("p_partkey", "p_name")
-    return c.join(shared, F.col("raw").try_cast("long") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", "l_suppkey", F.coalesce("p_name", "raw").alias("text"))
-
-
-@query("SELECT n_nationkey, coalesce(r_name, 'Sheet' || (n_nationkey % 8 + 1)) AS title FROM nation LEFT JOIN region ON r_regionkey = n_nationkey % 8")
-def sheet_name_lookup(spark, d):
-    names = read(spark, d, "region").select("r_regionkey", "r_name")
-    n = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 8).alias("no"))
-    return n.join(names, F.col("no") == F.col("r_regionkey"), "left").select("n_nationkey", F.coalesce("r_name", F.concat(F.lit("Sheet"), (F.col("no") + 1).cast("string"))).alias("title"))
-
-
 @query("""WITH r AS (SELECT item_id, text, CAST(s AS INT) AS s, coalesce(lead(s) OVER (PARTITION BY item_id ORDER BY s), length(text)) AS e FROM (
 SELECT item_id, text, unnest([0, length(text) // 3, length(text) // 3 * 2]) AS s FROM benchmark))
 SELECT item_id, s, substr(text, s + 1, e - s) AS segment, CASE WHEN s = 0 THEN 12.0 ELSE 10.5 END::DOUBLE AS size_pt FROM r""")
@@ -442,12 +428,6 @@ def column_cursor(spark, d):
     return geometry.fill_columns(cells, ["l_orderkey"], "c", "ref").select("l_orderkey", "c", "col")
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 1 END, CASE WHEN o_orderkey % 3 = 0 THEN 2 END, CASE WHEN o_orderkey % 2 = 0 THEN 3 END, 16777215) AS rgb FROM orders")
-def first_non_null_background(spark, d):
-    k = F.col("o_orderkey")
-    return read(spark, d, "orders").select("o_orderkey", F.coalesce(F.when(k % 4 == 0, 1), F.when(k % 3 == 0, 2), F.when(k % 2 == 0, 3), F.lit(0xFFFFFF)).alias("rgb"))
-
-
 @query(r"""WITH t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '../media/' WHEN 1 THEN '/ppt/' WHEN 2 THEN 'ppt/' ELSE '' END || split_part(url, '/', 3) || CASE WHEN page_id % 8 = 0 THEN '/../x.xml' ELSE '.xml' END AS t FROM pages)
 SELECT page_id, t AS target, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 8 = 0 THEN 'ppt/media/x.xml' ELSE 'ppt/media/' || t[10:] END WHEN 1 THEN t[2:] WHEN 2 THEN t ELSE 'ppt/slides/' || t END AS path FROM t""")
 def rels_resolve(spark, d):
@@ -457,10 +437,13 @@ def rels_resolve(spark, d):
     return read(spark, d, "pages").select("page_id", t.alias("target")).withColumn("path", geometry.resolve_path(F.lit("ppt/slides/"), F.col("target")))
 
 
-@query("SELECT doc_id, text FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN regexp_replace(text, '[^\x00-\x7F]', '한', 'g') || '가나다 끝' ELSE text END AS text FROM documents")
 def decode_text(spark, d):
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for EUC-KR
-    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    """Stored as UTF-8 with a mark, UTF-8 and EUC-KR; that has Korean in place of other letters."""
+    registry.allow_charsets(spark)
+    korean = F.concat(F.regexp_replace("text", r"[^\x00-\x7F]", "한"), F.lit("가나다 끝"))
+    utf8 = F.encode("text", "UTF-8")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when(F.col("doc_id") % 3 == 1, utf8).otherwise(F.encode(korean, "EUC-KR"))
     return read(spark, d, "documents").select("doc_id", tx.decode_bytes(raw).alias("text"))
 
 
@@ -503,17 +486,6 @@ def cell_roles(spark, d):
     return c.select("l_orderkey", "c", grid.cell(g, F.when(F.col("c") == 1, 1).otherwise(0), F.lit(1)).alias("second"), grid.is_label(F.col("c") - 1, F.col("w"), F.lit("short")).alias("label"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 3 END AS z,
-row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 3 END, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem""")
-def z_order(spark, d):
-    kind = F.when(F.col("l_returnflag") == "A", "shape").when(F.col("l_returnflag") == "N", "picture").otherwise("text")
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in (("shape", 0), ("picture", 1), ("table", 2), ("text", 3)) for x in kv]), kind)
-    from pyspark.sql import Window as W
-
-    o = W.partitionBy("l_orderkey").orderBy("z", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return read(spark, d, "lineitem").withColumn("z", rank).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "z", F.row_number().over(o).cast("long").alias("pos"))
-
-
 # ---- parts of files, settings and model calls
 
 
@@ -530,12 +502,12 @@ def model_request(spark, d):
     return p.select("conv_id", model.request("m", F.col("system"), F.col("user")).alias("request"))
 
 
-@query("""SELECT conv_id, CASE WHEN conv_id % 7 <> 0 THEN trim(left(text, 50)) END AS answer, CASE WHEN conv_id % 7 = 0 THEN '오류: LLM 요청 실패 (500): ' || left(repeat('no ', 200), 300) END AS error
+@query("""SELECT conv_id, CASE WHEN conv_id % 7 <> 0 THEN trim(text) END AS answer, CASE WHEN conv_id % 7 = 0 THEN '오류: LLM 요청 실패 (500): ' || left(repeat('no ', 200), 300) END AS error
 FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id)""")
 def model_answer(spark, d):
-    """Answers of a model that repeats the start of the prompt and is down for every seventh conversation."""
+    """Answers of a model that repeats the prompt and is down for every seventh conversation."""
     first = read(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    p = first.select("conv_id", F.when(F.col("conv_id") % 7 == 0, "down").otherwise("up").alias("system"), F.left("text", F.lit(50)).alias("user"))
+    p = first.select("conv_id", F.when(F.col("conv_id") % 7 == 0, "down").otherwise("up").alias("system"), F.col("text").alias("user"))
     return model.complete(p, "conv_id", "m", _echo)
 
 
@@ -546,33 +518,6 @@ def _echo(request: str) -> tuple[int, str]:
     return (500, "no " * 200) if system == "down" else (200, json.dumps({"choices": [{"message": {"content": f" {user} "}}]}))
 
 
-@query("""SELECT o_orderkey, coalesce(a.p_name, b.p_name, c.p_name) AS image FROM orders
-LEFT JOIN part a ON a.p_partkey = o_orderkey % 5000 - 1 AND a.p_partkey % 4 = 0 LEFT JOIN part b ON b.p_partkey = o_orderkey % 5000 AND b.p_partkey % 4 = 0
-LEFT JOIN part c ON c.p_partkey = o_orderkey % 5000 + 1 AND c.p_partkey % 4 = 0""")
-def image_lookup(spark, d):
-    images = read(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), "p_name")
-    o = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 5000).alias("item"))
-    for i, step in enumerate((-1, 0, 1)):
-        o = o.join(images.select(F.col("id").alias(f"id{i}"), F.col("p_name").alias(f"n{i}")), F.col("item") + step == F.col(f"id{i}"), "left")
-    return o.select("o_orderkey", F.coalesce("n0", "n1", "n2").alias("image"))
-
-
-@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 'slide' END, CASE WHEN c_custkey % 3 = 0 THEN c_name END, n_name, 'theme') AS background
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0""")
-def slide_chain(spark, d):
-    layout = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name")
-    master = read(spark, d, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", "n_name")
-    o = read(spark, d, "orders").select("o_orderkey", "o_custkey").join(layout, F.col("o_custkey") == F.col("c_custkey"), "left").join(master, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return o.select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 5 == 0, "slide"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")), "n_name", F.lit("theme")).alias("background"))
-
-
-@query("SELECT doc_id, CASE WHEN trim(text_) <> '' THEN '[발표자 노트] ' || text_ END AS note FROM (SELECT doc_id, CASE WHEN item_id % 3 = 0 THEN '  ' ELSE benchmark.text END AS text_ FROM documents LEFT JOIN benchmark ON doc_id = item_id)")
-def slide_notes(spark, d):
-    notes = read(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, "  ").otherwise(F.col("text")).alias("note"))
-    j = read(spark, d, "documents").select("doc_id").join(notes, F.col("doc_id") == F.col("item_id"), "left")
-    return j.select("doc_id", F.when(~tx.blank(F.col("note")), F.concat(F.lit("[발표자 노트] "), "note")).alias("note"))
-
-
 @query("SELECT event_id, event_type || ' · ' || month(ts) || '월 ' || day(ts) || '일' AS caption FROM events")
 def list_caption(spark, d):
     return read(spark, d, "events").select("event_id", tx.caption(F.col("event_type"), F.col("ts")).alias("caption"))
@@ -583,11 +528,10 @@ def synced_count(spark, d):
     return catalog.latest_by_name(_listing(spark, d)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id % 18 IN (9, 10, 11, 12, 13) AND doc_id % 2 = 1")
+@query("SELECT doc_id, text FROM documents WHERE doc_id % 18 IN (9, 10, 11, 12, 13)")
 def edit_gate(spark, d):
     """Only text and Markdown may be written back."""
-    n = _named(spark, d).where(tx.editable(tx.format_of_name(F.col("name"))))
-    return n.where("doc_id % 2 = 1").select("doc_id", "text")
+    return _named(spark, d).where(tx.editable(tx.format_of_name(F.col("name")))).select("doc_id", "text")
 
 
 @query("SELECT doc_id, coalesce(text, '문서를 찾을 수 없습니다.') AS text FROM (SELECT 17 AS doc_id UNION ALL SELECT -1) x LEFT JOIN documents USING (doc_id)")
@@ -597,34 +541,12 @@ def point_lookup(spark, d):
     return wanted.join(found, "doc_id", "left").select(F.col("doc_id").cast("int").alias("doc_id"), F.coalesce("text", F.lit("문서를 찾을 수 없습니다.")).alias("text"))
 
 
-@query("""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 120, o_orderkey) AS BIGINT) AS pos FROM orders""")
-def part_order(spark, d):
-    """Parts of a file by the number in their name, not by the name."""
-    from pyspark.sql import Window as W
-
-    name = F.concat(F.lit("ppt/slides/slide"), (F.col("o_orderkey") % 120).cast("string"), F.lit(".xml"))
-    o = read(spark, d, "orders").withColumn("n", F.regexp_extract(name, r"(\d+)\.xml$", 1).cast("int"))
-    return o.select("o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("n", "o_orderkey")).cast("long").alias("pos"))
-
-
-@query("SELECT item_id, (length(text) - length(replace(text, ' ', ''))) * 8 + length(replace(text, ' ', '')) AS units FROM benchmark")
-def raw_positions(spark, d):
-    """Places a stored text takes if each space were a control of eight characters."""
-    return read(spark, d, "benchmark").select("item_id", F.aggregate(F.split("text", ""), F.lit(0).cast("long"), lambda a, c: a + F.when(c == " ", 8).otherwise(1)).alias("units"))
-
-
-@query("SELECT p_partkey, CASE WHEN w BETWEEN 1000 AND 200000 THEN least(greatest(w / 42000.0::DOUBLE, 0.25), 1.0) ELSE 0.9 END::DOUBLE AS fraction FROM (SELECT p_partkey, p_partkey * 13 % 300000 AS w FROM part)")
-def width_fraction(spark, d):
-    w = F.col("p_partkey") * 13 % 300000
-    return read(spark, d, "part").select("p_partkey", F.when(w.between(1000, 200000), F.least(F.greatest(w / F.lit(42000.0), F.lit(0.25)), F.lit(1.0))).otherwise(0.9).alias("fraction"))
-
-
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'DOCX' WHEN 1 THEN 'ODF' WHEN 2 THEN 'HWPX' ELSE 'TXT' END AS format,
-CASE doc_id % 4 WHEN 3 THEN array_to_string(l, chr(10)) WHEN 0 THEN regexp_replace(array_to_string(list_filter(l, lambda x: trim(x) <> ''), chr(10)), '^\\s+|\\s+$', '', 'g')
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'DOCX' WHEN 1 THEN 'ODF' WHEN 2 THEN 'HWPX' WHEN 3 THEN 'TXT' ELSE 'MARKDOWN' END AS format,
+CASE doc_id % 5 WHEN 3 THEN array_to_string(l, chr(10)) WHEN 4 THEN array_to_string(l, chr(10)) WHEN 0 THEN regexp_replace(array_to_string(list_filter(l, lambda x: trim(x) <> ''), chr(10)), '^\\s+|\\s+$', '', 'g')
 ELSE regexp_replace(regexp_replace(array_to_string(list_transform(l, lambda x: regexp_replace(x, '[\\t ]+$', '')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') END AS plain_text, CAST(NULL AS VARCHAR) AS warning FROM l""".replace("\\\\", "\\"))
 def parse_containers(spark, d):
-    """documents written as files of four formats and parsed back."""
+    """documents written as files of five formats and parsed back."""
     from parchment.sources import registry, writers
 
     raw = writers.as_files(read(spark, d, "documents"), "doc_id", "text")
@@ -632,7 +554,7 @@ def parse_containers(spark, d):
     return c.select(F.regexp_extract("uri", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "format", "plain_text", "warning")
 
 
-@query("SELECT doc_id, 'word/document.xml' AS name FROM documents WHERE doc_id % 4 = 0")
+@query("SELECT doc_id, 'word/document.xml' AS name FROM documents WHERE doc_id % 5 = 0")
 def zip_entries(spark, d):
     from parchment.sources import registry, writers
 
@@ -640,13 +562,23 @@ def zip_entries(spark, d):
     return registry.entries(raw, r"word/.*\.xml").select(F.regexp_extract("uri", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "name")
 
 
-@query()
+_SPAN = r"(?s)\*\*.*?\*\*|\*[^*]+\*|`[^`]*`"
+
+
+@query(f"""WITH {_LINES}, h AS (SELECT doc_id, pos AS line_pos, ['**', '*', '`'][doc_id % 3 + 1] AS m, line, CAST(floor(length(line) / 2) AS INT) AS half FROM ln),
+l AS (SELECT doc_id, line_pos, m || left(line, half) || m || substr(line, half + 1) || '*' AS line FROM h),
+x AS (SELECT doc_id, line_pos, string_split_regex(line, {lit(_SPAN)}) AS plain, regexp_extract_all(line, {lit(_SPAN)}) AS marked FROM l),
+s AS (SELECT doc_id, line_pos, unnest(range(len(plain))) AS i, unnest(plain) AS p, unnest(list_concat(marked, [NULL])) AS q FROM x),
+u AS (SELECT doc_id, line_pos, 2 * i AS i, p AS text, 'plain' AS style FROM s WHERE p <> '' UNION ALL
+  SELECT doc_id, line_pos, 2 * i + 1, CASE WHEN q LIKE '**%' THEN substr(q, 3, length(q) - 4) ELSE substr(q, 2, length(q) - 2) END, CASE WHEN q LIKE '**%' THEN 'bold' WHEN q LIKE '*%' THEN 'italic' ELSE 'code' END FROM s WHERE q IS NOT NULL)
+SELECT doc_id, line_pos, CAST(row_number() OVER (PARTITION BY doc_id, line_pos ORDER BY i) - 1 AS INT) AS pos, text, style FROM u""")
 def markdown_spans(spark, d):
-    """Bold, italic and code stretches of all Markdown lines, whose first half gets a mark; a left-to-right scan that no SQL expression makes."""
+    """Bold, italic and code stretches of all Markdown lines, whose first half gets a mark."""
     mark = F.element_at(F.array(*map(F.lit, ("**", "*", "`"))), (F.col("doc_id") % 3 + 1).cast("int"))
     half = F.floor(F.length("line") / 2).cast("int")
     line = F.concat(mark, F.left("line", half), mark, F.substr("line", half + 1), F.lit("*"))
-    return tx.markdown_spans(_lines(spark, d).select("doc_id", F.col("pos").alias("line_pos"), line.alias("line")), "doc_id", "line", "line_pos")
+    lines = _lines(spark, d).select("doc_id", F.col("pos").alias("line_pos"), line.alias("line"))
+    return lines.select("doc_id", "line_pos", F.posexplode(tx.markdown_spans(F.col("line"))).alias("pos", "s")).select("doc_id", "line_pos", "pos", "s.text", "s.style")
 
 
 @query(f"WITH {_NAMED}, x AS (SELECT doc_id, {_DETECT} AS f FROM nm) SELECT doc_id, CASE f " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in tx.BADGES.items())
@@ -663,3 +595,6 @@ def catalog_json(spark, d):
     c = c.select("id", "uri", "name", F.when(F.col("doc_id") % 10 == 9, "WORDSTAR").otherwise(F.col("format")).alias("format"), F.timestamp_seconds("doc_id").alias("imported_at"))
     back = store.from_json(store.to_json(c))
     return back.withColumn("imported_at", F.unix_millis("imported_at"))
+
+
+from parchment import file_queries  # noqa: E402, F401  registers the queries over files

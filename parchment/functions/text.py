@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no topic, Korean and English.
@@ -98,7 +94,7 @@ def markup_text(xml: Column) -> Column:
     for pattern in HIDDEN:
         c = F.regexp_replace(c, pattern, "")
     for tags, mark in ((LINE_ENDS, "\n"), (TABS, "\t")):
-        c = F.regexp_replace(c, "(?i)" + "|".join(t.replace("/", r"\/") for t in tags), mark)
+        c = F.regexp_replace(c, "(?i)" + "|".join(tags), mark)
     c = F.regexp_replace(c, "<[^>]*>", "")
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
@@ -167,9 +163,8 @@ def line_text(line: Column) -> Column:
 def decode_bytes(content: Column) -> Column:
     """UTF-8 with or without a mark, else EUC-KR, else UTF-8 with replacements (needs spark.sql.legacy.javaCharsets for EUC-KR)."""
     marked = F.substring(content, 1, 3) == F.unhex(F.lit("EFBBBF"))
-    body = F.when(marked, F.expr("substring(__c, 4)")).otherwise(content) if False else content
-    utf8 = F.try_validate_utf8(body.cast("string"))
-    return F.when(marked, F.regexp_replace(F.make_valid_utf8(body.cast("string")), "^﻿", "")).otherwise(F.coalesce(utf8, F.decode(body, "EUC-KR"), F.make_valid_utf8(body.cast("string"))))
+    raw = content.cast("string")
+    return F.when(marked, F.regexp_replace(F.make_valid_utf8(raw), "^\ufeff", "")).otherwise(F.coalesce(F.try_validate_utf8(raw), F.decode(content, "EUC-KR"), F.make_valid_utf8(raw)))
 
 
 # First bytes of image files.
@@ -211,45 +206,15 @@ def editable(fmt: Column) -> Column:
     return fmt.isin("TXT", "MARKDOWN")
 
 
-_SPANS = ("bold", "**"), ("italic", "*"), ("code", "`")
-_MARK = re.compile("[*`]")
-
-
-def spans_of(line: str) -> list[tuple[str, str]]:
-    """(text, style) from left to right; a marker without its partner is text."""
-    out: list[tuple[str, str]] = []
-    plain, at = "", 0
-    while at < len(line):
-        mark_at = _MARK.search(line, at)
-        stop = mark_at.start() if mark_at else len(line)
-        if stop > at:
-            plain, at = plain + line[at:stop], stop
-            continue
-        for style, mark in _SPANS:
-            end = line.find(mark, at + len(mark)) if line.startswith(mark, at) else -1
-            if end > 0 or line.startswith(mark, at):
-                break
-        else:
-            style, mark, end = "", "", -1
-        if end > 0:
-            if plain:
-                out.append((plain, "plain"))
-            out.append((line[at + len(mark) : end], style))
-            plain, at = "", end + len(mark)
-        else:
-            plain += line[at]
-            at += 1
-    return [*out, (plain, "plain")] if plain else out
-
-
-def markdown_spans(lines: DataFrame, key: str, line: str, *keys: str) -> DataFrame:
-    """(key, keys, pos, text, style) of each line."""
-    keys = (key, *keys)
-    kinds = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            rows = [(*k, i, t, s) for *k, x in zip(*(p[c] for c in keys), p[line], strict=True) for i, (t, s) in enumerate(spans_of(x or ""))]
-            yield pd.DataFrame(rows, columns=[*keys, "pos", "text", "style"])
-
-    return lines.select(*keys, line).mapInPandas(run, f"{kinds}, pos int, text string, style string")
+#: Bold, italic and code, from left to right; a marker without its partner is text.
+SPAN = r"(?s)\*\*.*?\*\*|\*[^*]+\*|`[^`]*`"
+
+
+def markdown_spans(line: Column) -> Column:
+    """array<struct<text,style>> of a line: marked stretches without their marks, and what stands between them."""
+    marked = F.regexp_extract_all(line, F.lit(SPAN), 0)
+    inner = lambda m, n: F.substr(m, F.lit(n + 1), F.length(m) - 2 * n)
+    span = lambda m: (F.when(m.startswith("**"), F.struct(inner(m, 2).alias("text"), F.lit("bold").alias("style")))
+                      .when(m.startswith("*"), F.struct(inner(m, 1).alias("text"), F.lit("italic").alias("style"))).otherwise(F.struct(inner(m, 1).alias("text"), F.lit("code").alias("style"))))
+    both = F.zip_with(F.split(line, SPAN), marked, lambda p, m: F.array(F.struct(p.alias("text"), F.lit("plain").alias("style")), F.when(m.isNotNull(), span(m))))
+    return F.filter(F.flatten(both), lambda x: x.isNotNull() & ((x["style"] != "plain") | (x["text"] != "")))

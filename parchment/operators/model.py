@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from http.client import HTTPConnection, HTTPSConnection
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,6 +68,25 @@ def answer(body: Column) -> Column:
     return F.trim(F.get_json_object(body, "$.choices[0].message.content"))
 
 
+def http_transport(settings: Settings) -> Callable[[str], tuple[int, str]]:
+    """A transport for complete(): posts a request to a provider.  The key is read from the environment where the call is made."""
+    url = urlsplit(settings.url)
+
+    def send(body: str) -> tuple[int, str]:
+        kind = HTTPSConnection if url.scheme == "https" else HTTPConnection
+        link = kind(url.hostname, url.port, timeout=CONNECT_SECONDS)
+        try:
+            link.connect()
+            link.sock.settimeout(READ_SECONDS)
+            link.request("POST", url.path, body.encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(settings.key_variable, '').strip()}"})
+            answer = link.getresponse()
+            return answer.status, answer.read().decode("utf-8", "replace")
+        finally:
+            link.close()
+
+    return send
+
+
 def complete(prompts: DataFrame, key: str, model: str, transport: Callable[[str], tuple[int, str]]) -> DataFrame:
     """(key, answer, error) of prompts (key, system, user); transport: request -> (status, body), called on the executors."""
     d = prompts.select(key, request(model, F.col("system"), F.col("user")).alias("request"))

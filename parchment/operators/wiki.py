@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.functions.text import blank, format_label, slug, stem
+from parchment.operators import files
 from parchment.plans.summary import summarize
 
 MAX_BODY = 200_000
@@ -34,19 +38,48 @@ def newest_by_file(docs: DataFrame, order: str) -> DataFrame:
     return best.select("file_name", F.col("b.markdown").alias("markdown"))
 
 
-def write_wiki(docs: DataFrame, path: str) -> None:
-    """Overwrites the documents of ``path`` that have a file name of docs and keeps the others.
+def write_wiki(docs: DataFrame, path: str, version: int | None = None) -> None:
+    """Adds documents to the table at ``path``, in place of those with the same file name (read_wiki).
 
-    The table is written beside the old one and then takes its place, so a lost job leaves the old one.
+    Each call writes a version of its own beside the others and rewrites none, so it costs as much as its documents, and a job that is lost on the
+    way leaves the table as it was.  version: later ones count more; by default the time.
     """
-    spark = docs.sparkSession
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    old, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
-    fs = old.getFileSystem(conf)
-    out = docs.select("file_name", "markdown")
-    if fs.exists(old):
-        kept = spark.read.schema("file_name string, markdown string").parquet(path)
-        out = out.unionByName(kept.join(out.select("file_name"), "file_name", "left_anti"))
-    out.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(old, True)
-    fs.rename(new, old)
+    docs.select("file_name", "markdown").write.mode("overwrite").parquet(f"{path}/version={time.time_ns() if version is None else version}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+    done = [v for v in found if v.startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/_SUCCESS"))]
+    return sorted(int(v.partition("=")[2]) for v in done)
+
+
+def read_wiki(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, markdown) of the newest version of each document; no rows where nothing was written."""
+    schema, versions = "file_name string, markdown string", _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    parts = [spark.read.schema(schema).parquet(f"{path}/version={v}").withColumn("version", F.lit(v)) for v in versions]
+    rows = reduce(DataFrame.unionByName, parts)
+    if len(versions) == 1:
+        return rows.drop("version")
+    # of names alone, so that texts are shuffled once, by the join
+    newest = rows.groupBy("file_name").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["file_name", "version"]).select("file_name", "markdown")
+
+
+def compact_wiki(spark: SparkSession, path: str) -> None:
+    """One version in place of all.  It is whole before an old one goes, so whenever this ends, read_wiki gives the same documents."""
+    versions = _versions(spark, path)
+    if len(versions) > 1:
+        write_wiki(read_wiki(spark, path), path, versions[-1] + 1)
+        for v in versions:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_markdown(docs: DataFrame, folder: str) -> DataFrame:
+    """(file_name, done, message): each document as a file of its own in ``folder``, in place of one with its name; of several with one name the largest by text."""
+    one = docs.groupBy("file_name").agg(F.max("markdown").alias("markdown"))
+    return files.each(one, "file_name", lambda r: files.write(f"{folder}/{r['file_name']}", r["markdown"].encode()))

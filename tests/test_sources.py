@@ -250,6 +250,7 @@ def test_catalog(spark):
 
 
 def test_stream(spark, tmp_path):
+    from parchment.operators.wiki import read_wiki
     from parchment.streaming.wiki import stream_wiki
 
     src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
@@ -258,12 +259,12 @@ def test_stream(spark, tmp_path):
     (src / "blank.txt").write_text("  ")
     (src / "d.docx").write_bytes(DOCX)
     stream_wiki(spark, str(src), out, ck).awaitTermination()
-    rows = {r.file_name: r.markdown for r in spark.read.parquet(out).collect()}
+    rows = {r.file_name: r.markdown for r in read_wiki(spark, out).collect()}
     assert set(rows) == {"a.txt.md", "d.docx.md"} and "# a\n" in rows["a.txt.md"] and "One text." in rows["a.txt.md"]
     (src / "b.md").write_text("# B")
     for _ in range(2):  # the second time there is nothing to do
         stream_wiki(spark, str(src), out, ck).awaitTermination()
-    assert {r.file_name for r in spark.read.parquet(out).collect()} == {"a.txt.md", "b.md.md", "d.docx.md"}
+    assert {r.file_name for r in read_wiki(spark, out).collect()} == {"a.txt.md", "b.md.md", "d.docx.md"}
 
 
 def test_store(spark, tmp_path):
@@ -291,3 +292,121 @@ def test_store(spark, tmp_path):
     e = spark.createDataFrame([("t", "TXT", "한"), ("p", "PDF", "x"), ("bad", "MARKDOWN", "x")], "uri string, format string, text string")
     got = {r.uri: r for r in store.write_texts(e, write).collect()}
     assert got["t"].saved and (tmp_path / "t").read_bytes() == "한".encode() and not got["p"].saved and "read-only" in got["bad"].message
+
+
+def test_wiki_table_outlives_lost_jobs(spark, tmp_path, monkeypatch):
+    from parchment.operators import wiki
+
+    path = str(tmp_path / "wiki")
+    def docs(**texts):
+        return spark.createDataFrame(sorted(texts.items()), "file_name string, markdown string")
+    def stored():
+        return {r.file_name: r.markdown for r in wiki.read_wiki(spark, path).collect()}
+    assert stored() == {}
+    wiki.write_wiki(docs(a="1", b="1"), path)
+    wiki.write_wiki(docs(b="2", c="2"), path)
+    want = {"a": "1", "b": "2", "c": "2"}
+    assert stored() == want
+    # a job that fails while it writes
+    with pytest.raises(Exception):
+        wiki.write_wiki(docs(a="9").withColumn("markdown", F.raise_error(F.lit("lost"))), path)
+    (tmp_path / "wiki" / "version=9999999999999999999999" / "_temporary").mkdir(parents=True)
+    assert stored() == want
+    # compaction that ends before each of its steps
+    files = [0]
+    write = wiki.write_wiki
+    def lost(*args):
+        raise RuntimeError("lost")
+    monkeypatch.setattr(wiki, "write_wiki", lost)
+    with pytest.raises(RuntimeError):
+        wiki.compact_wiki(spark, path)
+    assert stored() == want
+    monkeypatch.setattr(wiki, "write_wiki", lambda *args: (write(*args), lost()))
+    with pytest.raises(RuntimeError):  # the new version is there, the old ones too
+        wiki.compact_wiki(spark, path)
+    assert stored() == want and len(wiki._versions(spark, path)) == 3
+    monkeypatch.setattr(wiki, "write_wiki", write)
+    wiki.compact_wiki(spark, path)
+    assert stored() == want and len(wiki._versions(spark, path)) == 1
+    wiki.write_wiki(docs(c="3"), path)
+    assert stored() == want | {"c": "3"}
+
+
+def test_markdown_files_and_sync(spark, tmp_path, monkeypatch):
+    import os
+
+    from parchment.operators import files, sync, wiki
+
+    out, inbox = tmp_path / "out", tmp_path / "inbox"
+    d = spark.createDataFrame([("한 글.md", "# 한"), ("b.md", "one"), ("n" * 300 + ".md", "long")], "file_name string, markdown string")
+    for _ in range(2):
+        got = {r.file_name: r for r in wiki.write_markdown(d, f"file://{out}").collect()}
+        assert got["한 글.md"].done and not got["n" * 300 + ".md"].done and (out / "한 글.md").read_text() == "# 한"
+    assert sorted(x.name for x in out.iterdir()) == ["b.md", "한 글.md"]
+
+    def put(folder, name, text, at):
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_text(text)
+        os.utime(folder / name, (at, at))
+
+    source = tmp_path / "device"
+    for name, text, at in (("a.md", "old", 100), ("a (1).md", "new", 200), ("A (2).md", "older", 50), ("b (3).md", "only", 10)):
+        put(source, name, text, at)
+    put(inbox, "k.md", "kept", 300)
+    put(inbox, "k (1).md", "less", 200)
+    put(inbox, "m (1).md", "m1", 100)
+    put(inbox, "m (2).md", "m2", 200)
+    put(inbox, "plain (x).md", "no copy", 1)
+    for _ in range(2):
+        assert all(r.done for r in sync.collect(spark, f"file://{source}", f"file://{inbox}").collect())
+    assert (inbox / "a.md").read_text() == "new" and (inbox / "b.md").read_text() == "only"
+    # a run that ends after one action, then one that does the rest
+    rows = files.each
+    monkeypatch.setattr(files, "each", lambda d, *a: rows(d.orderBy("name").limit(1), *a))
+    sync.clean(spark, f"file://{inbox}").collect()
+    monkeypatch.setattr(files, "each", rows)
+    assert all(r.done for r in sync.clean(spark, f"file://{inbox}").collect())
+    assert sync.clean(spark, f"file://{inbox}").count() == 0
+    assert {x.name: x.read_text() for x in inbox.iterdir() if not x.name.startswith(".")} == {"a.md": "new", "b.md": "only", "k.md": "kept", "m.md": "m2", "plain (x).md": "no copy"}
+
+
+def test_http_transport(spark, monkeypatch):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from parchment.operators import model
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers["Authorization"], self.headers["Content-Type"], body["model"]))
+            user = body["messages"][1]["content"]
+            data = json.dumps({"choices": [{"message": {"content": f" said {user} "}}]}).encode() if user != "no" else "거절".encode()
+            self.send_response(200 if user != "no" else 403)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    s = model.settings_of("CUSTOM", f"http://127.0.0.1:{server.server_port}/v1/", "m")
+    send = model.http_transport(s)
+    monkeypatch.setenv("PARCHMENT_MODEL_KEY", " key ")
+    status, body = send('{"model": "m", "messages": [{}, {"content": "hi"}]}')
+    assert status == 200 and json.loads(body)["choices"] and seen == [("/v1/chat/completions", "Bearer key", "application/json", "m")]
+    d = spark.createDataFrame([(1, "s", "hi"), (2, "s", "no")], "k long, system string, user string")
+    got = {r.k: r for r in complete(d, "k", "m", send).collect()}
+    assert got[1].answer == "said hi" and got[2].error == "오류: LLM 요청 실패 (403): 거절"
+    server.shutdown()
+
+
+def test_pages_are_limited(spark):
+    c = spark.createDataFrame([("a", 120), ("b", 3), ("c", 0)], "uri string, page_count int")
+    got = registry.pages(c).groupBy("uri").agg(F.count("*").alias("n"), F.max("page").alias("last")).collect()
+    assert {r.uri: (r.n, r.last) for r in got} == {"a": (50, 49), "b": (3, 2)}

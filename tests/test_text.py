@@ -78,13 +78,18 @@ def test_geometry(spark):
     assert one(spark, geometry.resolve_path(F.lit("ppt/slides/"), F.lit("../a/../b.xml"))) == "ppt/b.xml"
 
 
-def test_markdown_spans():
-    assert tx.spans_of("a **b** *c* `d` e*f") == [("a ", "plain"), ("b", "bold"), (" ", "plain"), ("c", "italic"), (" ", "plain"), ("d", "code"), (" e*f", "plain")]
-    assert tx.spans_of("**x") == [("**x", "plain")] and tx.spans_of("") == []
+def test_markdown_spans(spark):
+    r = random.Random(6)
+    lines = ["a **b** *c* `d` e*f", "**x", "", "****", "***a**", "* *", "**a*b`", *("".join(r.choice("ab*`") for _ in range(n % 25)) for n in range(400))]
+    d = spark.createDataFrame(list(enumerate(lines)), "i int, x string").select("i", tx.markdown_spans(F.col("x")).alias("s"))
+    got = {x.i: [tuple(y) for y in x.s] for x in d.collect()}
+    assert got[0] == [("a ", "plain"), ("b", "bold"), (" ", "plain"), ("c", "italic"), (" ", "plain"), ("d", "code"), (" e*f", "plain")]
+    assert got[1] == [("**x", "plain")] and got[2] == []
+    assert all(got[i] == plain_spans(x) for i, x in enumerate(lines))
 
 
 def plain_spans(line):
-    """spans_of place by place."""
+    """Spans place by place."""
     out, at = [], 0
     while at < len(line):
         for style, mark in (("bold", "**"), ("italic", "*"), ("code", "`")):
