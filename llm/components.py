@@ -1,48 +1,45 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is one grouped minimum, combined before the shuffle, and a join of the edges with it, in which the edges of a vertex that has
-very many stay where they are.  No component is ever gathered.
+Each step is one grouped minimum, combined before the shuffle, and a join of the edges with it, in which the edges of a vertex that
+has very many can be split.  No component is ever gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import cut, discard
 
-#: Rows of a key up to which they are shuffled to one place.
-HUB = 1000
-
 
 def _print(e: DataFrame) -> tuple:
     r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(r)
 
 
-def _with_least(e: DataFrame, key: str, value: str, rows: int) -> DataFrame:
+def _with_least(e: DataFrame, key: str, value: str) -> DataFrame:
     """e with m, the least value of each key, itself included.
 
-    A key with over a ten thousandth of the rows, of which there are ten thousand at most, gets its minimum from a broadcast, so its rows
-    stay where they are; the rows of the others are shuffled to it.
+    The join is on another expression than the group, so both sides are dealt out for it and the rows of a key that has very many can be split.
     """
-    low = e.groupBy(F.col(key).alias("c")).agg(F.least(F.min(value), F.col("c")).alias("m"), F.count("*").alias("n"))
-    much = max(HUB, rows // 10_000)
-    hubs = F.broadcast(low.where(F.col("n") > much).select(F.col("c").alias("hub"), F.col("m").alias("hub_m")))
-    e = e.join(hubs, F.col(key) == F.col("hub"), "left")
-    rest = e.where(F.col("hub").isNull()).drop("hub", "hub_m").join(low.where(F.col("n") <= much).drop("n"), F.col(key) == F.col("c")).drop("c")
-    return rest.unionByName(e.where(F.col("hub").isNotNull()).drop("hub").withColumnRenamed("hub_m", "m"))
+    low = e.groupBy(F.col(key).alias("c")).agg(F.least(F.min(value), F.col("c")).alias("m"))
+    return e.join(low, F.bitwise_not(key) == F.bitwise_not("c")).drop("c")
+
+
+def _each(e: DataFrame, *pairs: Column) -> DataFrame:
+    """Rows of the structs that aren't null."""
+    return e.select(F.inline(F.array_compact(F.array(*pairs))))
 
 
-def _large(e: DataFrame, rows: int) -> DataFrame:
-    both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return _with_least(both, "u", "v", 2 * rows).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+def _large(e: DataFrame) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    both = _each(e, F.struct(a.alias("u"), b.alias("v")), F.struct(b.alias("u"), a.alias("v")))
+    return _with_least(both, "u", "v").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small(e: DataFrame, rows: int) -> DataFrame:
-    pairs = _with_least(e, "a", "b", rows)
-    moved = pairs.where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(pairs.select("a", F.col("m").alias("b"))).distinct()
+def _small(e: DataFrame) -> DataFrame:
+    a, b, m = F.col("a"), F.col("b"), F.col("m")
+    return _each(_with_least(e, "a", "b"), F.struct(a.alias("a"), m.alias("b")), F.when(b > m, F.struct(b.alias("a"), m.alias("b")))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -55,7 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(e.where(F.col("a") > F.col("b")).distinct(), "edges")
     before = _print(e)
     while before[0]:
-        new = cut(_small(_large(e, before[0]), before[0]), "edges")
+        new = cut(_small(_large(e)), "edges")
         after = _print(new)
         discard(e)
         e, done, before = new, after == before, after
