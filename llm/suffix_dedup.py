@@ -14,30 +14,34 @@ local minima that the text itself picks, so every copy of a window has its ancho
    measured.  All other suffixes are induced: those one byte further left are the same
    suffixes after a stable scan into the buckets of the new first byte, their common prefixes the minimum
    over the skipped neighbours plus one.  A suffix that shares SPAN bytes with a neighbour is a repeat.
-3. An anchor with more than HOT occurrences is not gathered.  Its windows fall into PARTS parts; what all windows of a part
-   have in common is hashed and counted, and of parts that occur twice each window is, by 128 bits.  The counts are
-   combined before the shuffle.
+3. An anchor with more than HOT occurrences is split before it is sorted: its windows by how many bytes they have before the anchor, in
+   ranges, and the windows of a range by the bytes that all of them hold (128 bits of hashes), as windows that differ there are
+   no repeats of each other.  What is still more than HOT is split in finer ranges; in a range of one place the
+   windows of one key are equal and none is left to sort.  Keys are counted before the shuffle, and those of one place go.
 4. The covered stretches of each text are merged and cut out.
 
 Nulls are empty texts.  Repeated rows are other places: their texts are repeats.  A null doc_id stays null.
-Other columns are ignored.  Equal texts are known by a 64-bit hash.
+Other columns are ignored.  A text is known by a 64-bit hash, or, where several texts have it, by a second one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import cut, default_parallelism, lean_group, map_arrow, maybe_broadcast, ship, table
 from llm.kernels import _pow, buffers, mix, pieces, regroup
 
 SPAN, GRAM = 400, 64
+#: Occurrences of an anchor, or of a key, from which on it is split.
 HOT = 50_000
+#: Into how many ranges at each step.
 PARTS = 8
 #: Contexts that one task gathers, about.
 GATHER = 16_000
@@ -83,20 +87,27 @@ def _anchor_rows(span: int, gram: int):
         for batch in regroup(it):
             tids = batch.column(0).to_numpy()
             seen: set[int] = set()
-            parts = []
+            parts, texts, size = [], [], 0
             for a, b, data, offsets in pieces(batch.column(1)):
                 row, at, h, start, end, context = find_anchors(data, offsets, span, gram)
                 if not len(at):
                     continue
                 fresh = np.array([not (t in seen or seen.add(t)) for t in tids[a:b].tolist()], bool)[row]
                 row, base = row[fresh], offsets[row[fresh]]
-                parts.append((h[fresh], tids[a:b][row], at[fresh] - base, start[fresh] - base, end[fresh] - base, mix(context[fresh] ^ h[fresh])))
+                parts.append((h[fresh], tids[a:b][row], at[fresh] - base, start[fresh] - base, end[fresh] - base, mix(context[fresh] ^ h[fresh]), start[fresh] + size))
+                texts.append(data)
+                size += len(data)
             if not parts:
                 continue
-            h, tid, at, start, end, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, tid, at, start, end, context, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            data = memoryview(np.concatenate(texts) if len(texts) > 1 else texts[0])
             order = np.lexsort((start, tid, context))
             c, t, s = context[order], tid[order], start[order]
             new = np.concatenate([[True], c[1:] != c[:-1]])
+            same = np.flatnonzero(~new)
+            x, y = place[order[same]].tolist(), place[order[same - 1]].tolist()
+            n = (end - start)[order[same]].tolist()
+            new[same[[data[i : i + k] != data[j : j + k] for i, j, k in zip(x, y, n, strict=True)]]] = True  # equal hashes of other bytes
             other = np.concatenate([[True], new[1:] | (t[1:] != t[:-1]) | (s[1:] != s[:-1])])  # another place
             group = np.cumsum(new) - 1
             often = (np.bincount(group, other) > 1)[group]
@@ -154,14 +165,17 @@ def _matrix(ctx: pa.Array, before: np.ndarray, span: int, gram: int) -> tuple[np
     return m, length - before
 
 
-def repeats(group: np.ndarray, m: np.ndarray, before: np.ndarray, after: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each context, the largest and the smallest number of bytes before the anchor at which a repeated window starts (-1: none)."""
+def repeats(group: np.ndarray, m: np.ndarray, before: np.ndarray, after: np.ndarray, span: int = SPAN, gram: int = GRAM, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each context, the largest and the smallest number of bytes before the anchor, from low to high, at which a repeated window starts (-1: none)."""
     n, left = len(m), span - gram
+    high = left if high is None else high
     most, least = np.full(n, -1), np.full(n, -1)
     if n < 2:
         return most, least
-    suffix = np.ascontiguousarray(m[:, left:])
+    # sorted directly: the suffixes low bytes before the anchors
+    suffix = np.ascontiguousarray(m[:, left - low : left - low + span])
     order = np.lexsort((suffix.view(f"S{span}").ravel(), group))
+    after = np.minimum(after + low, span)
     lcp = np.zeros(n + 1, np.int64)
     for a in range(1, n, 4096):
         b = min(n, a + 4096)
@@ -169,7 +183,7 @@ def repeats(group: np.ndarray, m: np.ndarray, before: np.ndarray, after: np.ndar
         differ = suffix[x] != suffix[y]
         common = np.where(differ.any(1), differ.argmax(1), span)
         lcp[a:b] = np.where(group[x] == group[y], np.minimum(common, np.minimum(after[x], after[y])), 0)
-    x = 0
+    x = low
     while True:
         hit = lcp[: len(order)] >= span
         hit[:-1] |= hit[1:].copy()  # a neighbour on either side
@@ -177,7 +191,7 @@ def repeats(group: np.ndarray, m: np.ndarray, before: np.ndarray, after: np.ndar
         most[who] = x
         least[who[least[who] < 0]] = x
         x += 1
-        if x > left:
+        if x > high:
             return most, least
         # the suffixes one byte further left, induced by a stable scan into the buckets of their first byte
         ok = np.flatnonzero(before[order] >= x)
@@ -197,80 +211,87 @@ def repeats(group: np.ndarray, m: np.ndarray, before: np.ndarray, after: np.ndar
 
 
 def _group_repeats(span: int, gram: int):
+    """(tid, start, end) of what is repeated in groups of contexts: rows (k1, k2, low, high, tid, at, before, ctx)."""
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        before = t.column("before").to_numpy().astype(np.int64)
-        h, tid, at = (t.column(c).to_numpy() for c in ("h", "tid", "at"))
-        _, once = np.unique(np.stack([h, tid, at]), axis=1, return_index=True)  # a text can come from several tasks
-        h, tid, at, before = h[once], tid[once], at[once], before[once]
+        cols = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "k1", "k2", "tid", "at")])
+        cols, once = np.unique(cols, axis=1, return_index=True)  # a text can come from several tasks
+        low, high, k1, k2, tid, at = cols
+        before = t.column("before").to_numpy().astype(np.int64)[once]
         m, after = _matrix(t.column("ctx").combine_chunks().take(pa.array(once)), before, span, gram)
-        most, least = repeats(h, m, before, after, span, gram)
-        ok = most >= 0
-        return pa.table([pa.array(tid[ok]), pa.array(at[ok] - most[ok]), pa.array(at[ok] + span - least[ok])], names=["tid", "start", "end"])
+        edge = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        out = []
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(low)], strict=True):
+            group = np.cumsum(np.concatenate([[True], (k1[a + 1 : b] != k1[a : b - 1]) | (k2[a + 1 : b] != k2[a : b - 1])]))
+            most, least = repeats(group, m[a:b], before[a:b], after[a:b], span, gram, int(low[a]), int(high[a]))
+            ok = most >= 0
+            out.append((tid[a:b][ok], at[a:b][ok] - most[ok], at[a:b][ok] + span - least[ok]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["tid", "start", "end"])
 
     return run
 
 
-def _hashes(m: np.ndarray, length: int, add: int = 1) -> np.ndarray:
-    """A hash of the length bytes from each column on, of each row."""
-    p = np.zeros((len(m), m.shape[1] + 1), np.uint64)
-    np.cumsum((m.astype(np.uint64) + np.uint64(add)) * _pow("up", m.shape[1])[: m.shape[1]], axis=1, out=p[:, 1:])
-    return mix((p[:, length:] - p[:, :-length]) * _pow("down", m.shape[1])[: m.shape[1] - length + 1])
+def _hash_at(m: np.ndarray, start: int, end: int, add: int) -> np.ndarray:
+    """A hash of the bytes from start to end of each row."""
+    x = m[:, start:end].astype(np.uint64) + np.uint64(add)
+    return mix((x * _pow("up", m.shape[1])[: end - start]).sum(1, dtype=np.uint64))
 
 
-def _part_hashes(span: int, gram: int):
-    """(part, c, tid, at) of each hot anchor's PARTS parts: all windows of a part hold the bytes that c hashes."""
-    left = span - gram
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                before = part.column(3).to_numpy().astype(np.int64)
-                m, after = _matrix(part.column(4), before, span, gram)
-                for k, (low, high) in enumerate(_parts(left)):
-                    c = _hashes(m[:, left - low : left + span - high], span - high + low)[:, 0]
-                    ok = (low <= before) & (span - high <= after)
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(int(ok.sum()), k, np.int32)), pa.array(c[ok].view(np.int64)), pa.array(part.column(1).to_numpy()[ok]), pa.array(part.column(2).to_numpy()[ok])], names=["part", "c", "tid", "at"])
+def ranges(low: int, high: int, parts: int) -> list[tuple[int, int]]:
+    """The range from low to high, both included, in so many parts at most."""
+    edges = np.linspace(low, high + 1, min(parts, high - low + 1) + 1).astype(int).tolist()
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
 
-    return run
 
-
-def _parts(left: int) -> list[tuple[int, int]]:
-    """(least, most) bytes before the anchor of the windows of each part."""
-    edges = np.linspace(0, left + 1, PARTS + 1).astype(int).tolist()
-    return [(a, b - 1) for a, b in zip(edges, edges[1:]) if a < b]
-
-
-def _window_hashes(span: int, gram: int):
-    """(w1, w2, tid, start) of every window of one part around a hot anchor."""
+def _keys(span: int, gram: int, parts: int):
+    """(low, high, k1, k2, tid, at) for each finer range of rows (low, high, tid, at, before, ctx): windows of the range that are equal have the same key."""
     left = span - gram
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for a in range(0, batch.num_rows, 256):
-                rows = batch.slice(a, 256)
-                before = rows.column(3).to_numpy().astype(np.int64)
-                m, after = _matrix(rows.column(4), before, span, gram)
-                both = [_hashes(m, span, add) for add in (1, 977)]
-                low, high = np.array(_parts(left))[rows.column(5).to_numpy()].T
-                x = left - np.arange(left + 1)
-                ok = (x <= before[:, None]) & (span - x <= after[:, None]) & (x >= low[:, None]) & (x <= high[:, None])
-                row, col = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(both[0][ok].view(np.int64)), pa.array(both[1][ok].view(np.int64)), pa.array(rows.column(1).to_numpy()[row]),
-                    pa.array(rows.column(2).to_numpy()[row] - x[col])], names=["w1", "w2", "tid", "start"])
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                old = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()])
+                before = part.column(4).to_numpy().astype(np.int64)
+                m, after = _matrix(part.column(5), before, span, gram)
+                for low0, high0 in np.unique(old, axis=1).T.tolist():
+                    here = (old[0] == low0) & (old[1] == high0)
+                    for low, high in ranges(low0, high0, parts):
+                        ok = np.flatnonzero(here & (low <= before) & (span - high <= after))
+                        if not len(ok):
+                            continue
+                        keys = [_hash_at(m[ok], left - low, left + span - high, add).view(np.int64) for add in (1, 977)]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(ok), low, np.int32)), pa.array(np.full(len(ok), high, np.int32)), *map(pa.array, keys),
+                            pa.array(part.column(2).to_numpy()[ok]), pa.array(part.column(3).to_numpy()[ok])], names=["low", "high", "k1", "k2", "tid", "at"])
 
     return run
 
 
-def _twice(df: DataFrame, keys: list[str], place: Column, name: str) -> DataFrame:
-    """The rows of df whose keys stand at two places at least."""
-    again = df.groupBy(*keys).agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") < F.col("b")).select(*keys)
-    again = cut(again, name)
-    return df.join(maybe_broadcast(again, again.count(), 40), keys)
+def _split(ctx: DataFrame, span: int, gram: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Groups of at most hot contexts (k1, k2, low, high, tid, at, before, ctx) of those (tid, at, before, ctx) of hot anchors, and (tid, start, end) of equal windows."""
+    live = ctx.select(F.lit(0).alias("low"), F.lit(span - gram).alias("high"), "tid", "at", "before", "ctx")
+    groups, equal = [], []
+    slim = ctx.select(F.col("tid").alias("t"), F.col("at").alias("p"), "before", "ctx")
+    widest = span - gram + 1
+    while True:
+        keys = cut(map_arrow(live, _keys(span, gram, PARTS), "low int, high int, k1 long, k2 long, tid long, at long"), "keys")
+        by = ["low", "high", "k1", "k2"]
+        place = F.xxhash64("tid", "at")
+        count = keys.groupBy(*by).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("c")).where(F.col("a") < F.col("b")).select(*by, "c")
+        count = cut(count, "again")
+        keys = keys.join(maybe_broadcast(count, count.count(), 48), by)
+        widest = -(-widest // PARTS)
+        single = F.col("low") == F.col("high")
+        equal.append(keys.where(single).select("tid", (F.col("at") - F.col("low")).alias("start"), (F.col("at") - F.col("low") + span).alias("end")).distinct())
+        if widest == 1:
+            return groups, equal
+        match = [F.col("tid") == F.col("t"), F.col("at") == F.col("p")]
+        groups.append(keys.where(~single & (F.col("c") <= hot)).join(slim, match).select(*by, "tid", "at", "before", "ctx"))
+        more = count.where(~single & (F.col("c") > hot))
+        if more.isEmpty():
+            return groups, equal
+        live = keys.where(~single & (F.col("c") > hot)).select("low", "high", "tid", "at").distinct().join(slim, match).select("low", "high", "tid", "at", "before", "ctx")
 
 
 def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +322,8 @@ def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest)], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(tid, start, end) of stretches of bytes to remove from docs (tid, text); they may overlap."""
+def repeated_spans(docs: DataFrame, copies: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(tid, start, end) of stretches of bytes to remove from docs (tid, text); they may overlap.  copies: (tid, c, n), how often each text stands there and its size."""
     spark = docs.sparkSession
     ship(spark)
     first = cut(map_arrow(docs, _anchor_rows(span, gram), "h long, tid long, at long, end long"), "anchors")
@@ -319,28 +340,31 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     much = marked.where(F.col("c") > hot).select(F.col("h").alias("hot_h")).distinct()
     n_hot = much.count()
     buckets = max(default_parallelism(spark), n // GATHER + 1)
+    parts = [first.where(F.col("end").isNotNull()).select("tid", F.col("at").alias("start"), "end"),
+             copies.where((F.col("c") > 1) & (F.col("n") >= span)).select("tid", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))]
+    groups = []
     if n_hot:
         ctx = cut(ctx.join(maybe_broadcast(much, n_hot, 16), F.col("h") == F.col("hot_h"), "left"), "contexts")
-        many = ctx.where(F.col("hot_h").isNotNull()).drop("hot_h")
-        spot = F.xxhash64("tid", "at")
-        live = _twice(map_arrow(many, _part_hashes(span, gram), "part int, c long, tid long, at long"), ["part", "c"], spot, "parts")
-        live = cut(live.select(F.col("tid").alias("live_tid"), F.col("at").alias("live_at"), "part").distinct(), "live")
-        many = many.join(live, (F.col("tid") == F.col("live_tid")) & (F.col("at") == F.col("live_at"))).select("h", "tid", "at", "before", "ctx", "part")
-        windows = map_arrow(many, _window_hashes(span, gram), "w1 long, w2 long, tid long, start long")
-        more = _twice(windows, ["w1", "w2"], F.xxhash64("tid", "start"), "again").select("tid", "start", (F.col("start") + span).alias("end")).distinct()
+        groups, equal = _split(ctx.where(F.col("hot_h").isNotNull()).select("tid", "at", "before", "ctx"), span, gram, hot)
+        parts += equal
         ctx = ctx.where(F.col("hot_h").isNull()).drop("hot_h")
-    found = ctx.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(lean_group(_group_repeats(span, gram)), "tid long, start long, end long")
-    copies = docs.select("tid", F.octet_length("text").cast("long").alias("n")).groupBy("tid").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    found = found.unionByName(first.where(F.col("end").isNotNull()).select("tid", F.col("at").alias("start"), "end"))
-    found = found.unionByName(copies.where((F.col("c") > 1) & (F.col("n") >= span)).select("tid", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
-    return found.unionByName(more) if n_hot else found
+    groups.append(ctx.select(F.col("h").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("low"), F.lit(span - gram).alias("high"), "tid", "at", "before", "ctx"))
+    groups = reduce(DataFrame.unionByName, groups)
+    parts.append(groups.withColumn("bucket", F.pmod("k1", F.lit(buckets))).groupBy("bucket").applyInArrow(lean_group(_group_repeats(span, gram)), "tid long, start long, end long"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT, bits: int = 64) -> DataFrame:
+    """(doc, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs; bits: of a text's hash, fewer for tests."""
     text_ = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.select(F.xxhash64(text_).alias("tid"), text_.alias("text"), F.col(doc_id).alias("doc"))
-    found = repeated_spans(docs.select("tid", "text"), span, gram, hot)
+    tid = F.xxhash64(text_) if bits == 64 else F.xxhash64(text_).bitwiseAND(F.lit((1 << bits) - 1))
+    docs = docs.select(tid.alias("tid"), F.xxhash64(text_, F.lit(1)).alias("other"), text_.alias("text"), F.col(doc_id).alias("doc"))
+    copies = cut(docs.groupBy("tid", "other").agg(F.count("*").alias("c"), F.max(F.octet_length("text").cast("long")).alias("n")), "texts")
+    # hashes of two texts or more: of ten thousand million texts, two or three
+    clash = [r.tid for r in copies.groupBy("tid").count().where(F.col("count") > 1).select("tid").collect()]
+    own = lambda df: df.withColumn("tid", F.when(F.col("tid").isin(clash), F.col("other")).otherwise(F.col("tid")) if clash else F.col("tid")).drop("other")
+    docs, copies = own(docs), own(copies)
+    found = repeated_spans(docs.select("tid", "text"), copies, span, gram, hot)
     found = cut(found.groupBy(F.col("tid").alias("t")).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     rows = docs.join(found, F.col("tid") == F.col("t"), "left").select("doc", "text", "spans")
     kind = docs.schema["doc"].dataType.simpleString()

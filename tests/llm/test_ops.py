@@ -110,17 +110,35 @@ def test_decontamination_stays_in_the_engine(spark, sf_dir):
 # ---- 2
 
 
-@pytest.mark.parametrize("hot", [10**6, 2])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("hot, bits", [(10**6, 64), (2, 64), (5, 64), (10**6, 2), (1, 3)])
+def test_suffix_dedup(spark, hot, bits):
     r = random.Random(7)
     para = ["".join(r.choice("abcd ") for _ in range(n)) for n in (30, 39, 40, 41, 60, 90)]
     docs = [(i, "".join(r.choice(para) if r.random() < 0.4 else "".join(r.choice("efgh é") for _ in range(r.randrange(50))) for _ in range(6))) for i in range(40)]
     docs += [(50, None), (51, ""), (52, "a" * 300), (53, "ab" * 100), (54, docs[0][1]), (54, docs[0][1]), (55, "q" * 39), (56, "q" * 39), (57, "\0" * 90), (None, para[5]), (58, "x" + "Is on. " * 30), (59, "yz" + "Is on. " * 40 + "end"), (60, "Is on. " * 5), (61, "Is on. " * 7)]
-    got = suffix_dedup.remove_repeats(frame(spark, [(*d, 1, "s") for d in docs], "doc_id long, text string, tid long, spans string"), span=40, gram=8, hot=hot)
+    got = suffix_dedup.remove_repeats(frame(spark, [(*d, 1, "s") for d in docs], "doc_id long, text string, tid long, spans string"), span=40, gram=8, hot=hot, bits=bits)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute.remove_repeats(docs, 40), key=str)
     assert suffix_dedup.remove_repeats(frame(spark, [])).collect() == []
 
 
+def test_suffix_dedup_of_a_hot_anchor(spark):
+    """Many texts share a passage and differ beside it in ways that make some of them repeats there too; the passage's anchors are split to single places."""
+    r = random.Random(17)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passage, heads, tails = word(50), [word(30) for _ in range(4)], [word(30) for _ in range(4)]
+    docs = [(i, word(r.randrange(25)) + r.choice(heads)[r.randrange(25) :] + passage + r.choice(tails)[: r.randrange(25)] + word(r.randrange(25))) for i in range(150)]
+    docs += [(200 + i, word(60)) for i in range(20)]
+    want = sorted(brute.remove_repeats(docs, 40), key=str)
+    for hot in (1, 4, 20, 60):
+        assert sorted(map(tuple, suffix_dedup.remove_repeats(frame(spark, docs), span=40, gram=8, hot=hot).collect()), key=str) == want
+
+
+def test_suffix_ranges():
+    for low, high in ((0, 336), (5, 5), (3, 9), (0, 7)):
+        parts = suffix_dedup.ranges(low, high, 8)
+        assert [x for a, b in parts for x in range(a, b + 1)] == list(range(low, high + 1)) and len(parts) <= 8 and max(b - a for a, b in parts) + 1 <= -(-(high - low + 1) // 8) + 0
+
+
 # ---- 3
 
 
@@ -615,6 +633,12 @@ def test_jaccard(spark, texts, block):
         assert jaccard.jaccard_components(frame(spark, [])).collect() == []
 
 
+def test_jaccard_sets_with_equal_hashes(spark, texts):
+    """With five bits for a set's hash nearly all sets share theirs with another."""
+    got = jaccard.jaccard_components(frame(spark, texts), bits=5)
+    assert sorted(map(tuple, got.collect())) == sorted(brute.jaccard_components(texts))
+
+
 @pytest.mark.parametrize("block", [2000, 3])
 def test_jaccard_links_are_all(spark, texts, block):
     sets = {}
