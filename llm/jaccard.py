@@ -13,11 +13,12 @@
    stored in a prefix tree.  A probe walks the tree once, sharing the overlap of common prefixes, and
    leaves a subtree when neither its own nor the subtree's remaining length can reach the
    threshold, or when all of the subtree is already in its component.  A group of more than
-   BLOCK sets is joined in pairs of blocks, so no task holds more than two blocks.
+   BLOCK sets is split by the shingles of the prefixes, or in pairs of blocks if that copies sets less often, so no task holds more than two blocks.
 5. The links found span the same components as all links; they give the classes.
 
 Nulls and texts without words have the empty set and no links.  Repeated rows: each keeps a row.
-Other columns are ignored.  A 64-bit hash names a set or a shingle; 40 bits of it and the bucket do in the search.
+Other columns are ignored.  A 64-bit hash names a shingle; 40 bits of it and the bucket do in the search.  A set is named by a 64-bit hash,
+or, where several sets have it, by a second one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import cut, default_parallelism, discard, lean_group, map_arrow, maybe_broadcast, ship, table
@@ -43,41 +44,67 @@ HOT_SHARE = 1000
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
-def _set_ids(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _set_ids(grams: np.ndarray, bounds: np.ndarray, salt: int = 0x5851F42D4C957F2D) -> np.ndarray:
     total = np.zeros(len(grams) + 1, np.uint64)
-    np.cumsum(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    np.cumsum(mix(grams ^ np.uint64(salt)), out=total[1:])
     n = np.diff(bounds).astype(np.uint64)
     return mix(total[bounds[1:]] - total[bounds[:-1]] + n).view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+class Ids:
+    """Ids of sets: a hash of as many bits, but for the hashes of several sets in ``clash``, which are told apart by a second one.
+
+    fewer bits than 64 are for tests.
+    """
+
+    def __init__(self, bits: int = 64, clash: tuple[int, ...] = ()):
+        self.bits, self.clash = bits, np.array(sorted(clash), np.int64)
+
+    def both(self, grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = _set_ids(grams, bounds)
+        return first if self.bits == 64 else first & np.int64((1 << self.bits) - 1), _set_ids(grams, bounds, 0x14057B7EF767814F)
+
+    def __call__(self, grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        first, second = self.both(grams, bounds)
+        return np.where(np.isin(first, self.clash), second, first) if len(self.clash) else first
+
+
+def _sets(batch: pa.RecordBatch, ids: Ids) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     for a, b, data, offsets in pieces(batch.column(batch.schema.get_field_index("text"))):
         grams, bounds = shingles(data, offsets, K)
-        yield a, b, grams, bounds, _set_ids(grams, bounds)
-
-
-def _document_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of each document, and (hot, df) rows of the shingles frequent in a batch."""
-    names = ["doc", "tid", "sid", "n", "hot", "df"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    for batch in regroup(it):
-        parts = list(_sets(batch))
-        if not parts:
-            continue
-        n = np.concatenate([np.diff(x[3]) for x in parts]).astype(np.int32)
-        sid = np.concatenate([x[4] for x in parts])
-        rows = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sid), pa.array(n), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=names)
-        _, first = np.unique(sid, return_index=True)  # a set counts once
-        once = np.zeros(rows, bool)
-        once[first] = True
-        grams = np.sort(np.concatenate([x[2][np.repeat(once[x[0] : x[1]], np.diff(x[3]))] for x in parts]))
-        edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, int)
-        df = np.diff(np.append(edge, len(grams)))
-        hot = df >= max(4, len(first) // (2 * HOT_SHARE))
-        if hot.any():
-            k = int(hot.sum())
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(k, x) for x in types[:4]], pa.array(grams[edge[hot]].view(np.int64)), pa.array(df[hot])], names=names)
+        yield a, b, grams, bounds, ids(grams, bounds)
+
+
+def _document_rows(ids: Ids):
+    """A row of each document with both hashes of its set, and (hot, df) rows of the shingles frequent in a batch."""
+    names = ["doc", "tid", "sid", "other", "n", "hot", "df"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in regroup(it):
+            parts = []
+            for _, _, data, offsets in pieces(batch.column(2)):
+                grams, bounds = shingles(data, offsets, K)
+                parts.append((grams, bounds, *ids.both(grams, bounds)))
+            if not parts:
+                continue
+            n = np.concatenate([np.diff(x[1]) for x in parts]).astype(np.int32)
+            sid, other = (np.concatenate([x[k] for x in parts]) for k in (2, 3))
+            rows = len(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sid), pa.array(other), pa.array(n), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=names)
+            _, first = np.unique(other, return_index=True)  # a set counts once
+            once = np.zeros(rows, bool)
+            once[first] = True
+            at = np.cumsum([0, *[len(x[2]) for x in parts]])
+            grams = np.sort(np.concatenate([x[0][np.repeat(once[a:b], np.diff(x[1]))] for x, a, b in zip(parts, at[:-1], at[1:], strict=True)]))
+            edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, int)
+            df = np.diff(np.append(edge, len(grams)))
+            hot = df >= max(4, len(first) // (2 * HOT_SHARE))
+            if hot.any():
+                k = int(hot.sum())
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(k, x) for x in types[:5]], pa.array(grams[edge[hot]].view(np.int64)), pa.array(df[hot])], names=names)
+
+    return run
 
 
 def _kept(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +118,13 @@ def _kept(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(n - least + m, n), np.maximum(least // 5, 1)
 
 
-def _packed(buckets: int, hot: np.ndarray):
+def _packed(buckets: int, hot: np.ndarray, ids: Ids):
     """To (bucket, cold, hot, blob) rows: pairs of the searched tokens and their sets, in as many bytes at any size."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in regroup(it):
             kept: dict[int, list] = {}
             seen: set[int] = set()
-            for _, _, grams, bounds, sid in _sets(batch):
+            for _, _, grams, bounds, sid in _sets(batch, ids):
                 n = np.diff(bounds)
                 fresh = np.array([not (s in seen or seen.add(s)) for s in sid.tolist()], bool) & (n > 0)
                 own = np.repeat(np.arange(len(sid)), n)
@@ -107,7 +134,7 @@ def _packed(buckets: int, hot: np.ndarray):
                 if len(hot) and len(grams):
                     is_hot = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
                 # hot tokens need no count: they go where their set's hash says
-                bucket = np.where(is_hot, mix(own.view(np.uint64)), grams >> np.uint64(40)) % np.uint64(buckets)
+                bucket = np.where(is_hot, mix(own.view(np.uint64)), mix(grams)) % np.uint64(buckets)
                 order = np.lexsort((is_hot, bucket.astype(np.int32)))
                 bucket, grams, own, is_hot = bucket[order].astype(np.int32), (grams & _LOW40)[order], own[order], is_hot[order]
                 edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
@@ -153,7 +180,8 @@ def _shared(parts: int):
         df = np.repeat(np.diff(np.append(edge, len(tok))), np.diff(np.append(edge, len(tok))))
         tok, own, df = tok[df > 1], own[df > 1], df[df > 1]
         level = np.minimum(np.floor(2 * np.log2(np.maximum(df, 1))).astype(np.uint64), np.uint64(62))
-        tok = (level << np.uint64(58)) | (np.uint64(bucket) << np.uint64(40)) | tok
+        # what is left of the 64 bits after the class of df
+        tok = (level << np.uint64(58)) | (mix((np.uint64(bucket) << np.uint64(40)) ^ tok) >> np.uint64(6))
         tok = np.concatenate([tok, (np.uint64(63) << np.uint64(58)) | np.concatenate(value)])
         own = np.concatenate([own, *warm])
         part = (mix(own.view(np.uint64)) >> np.uint64(20)) % np.uint64(parts)
@@ -198,15 +226,18 @@ def _prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(sid))], names=["tok", "sid"])
 
 
-def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, coarse, toks) of the texts of sets that meet others, of a text's copies in one task once."""
-    seen: set[int] = set()
-    for batch in it:
-        want, coarse = batch.column(1).to_numpy(), batch.column(2)
-        for a, b, grams, bounds, sid in _sets(batch):
-            ok = np.array([i for i in np.flatnonzero(sid == want[a:b]).tolist() if not (sid[i] in seen or seen.add(sid[i]))], np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(sid[ok]), coarse.slice(a, b - a).take(pa.array(ok)), pa.array([grams[bounds[i] : bounds[i + 1]].tobytes() for i in ok.tolist()], pa.binary())], names=["sid", "coarse", "toks"])
+def _whole(ids: Ids):
+    """(sid, places, toks) of the texts of sets that meet others, of a text's copies in one task once."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in it:
+            want, places = batch.column(1).to_numpy(), batch.column(2)
+            for a, b, grams, bounds, sid in _sets(batch, ids):
+                ok = np.array([i for i in np.flatnonzero(sid == want[a:b]).tolist() if not (sid[i] in seen or seen.add(sid[i]))], np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(sid[ok]), places.slice(a, b - a).take(pa.array(ok)), pa.array([grams[bounds[i] : bounds[i + 1]].tobytes() for i in ok.tolist()], pa.binary())], names=["sid", "places", "toks"])
+
+    return run
 
 
 class Node:
@@ -323,48 +354,96 @@ def _join_every(t: pa.Table) -> pa.Table:
     return _group_links(t, True)
 
 
-def _linked(docs: DataFrame, doc_id: str, text: str, block: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+def _linked(docs: DataFrame, doc_id: str, text: str, block: int, every: bool, bits: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """Rows (doc, tid, sid, n), classes of equal sets (sid, n, tid, rep), links (a, b) between them, and tables that are only read for the links."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tid"), F.col(text).alias("text"))
-    first = cut(map_arrow(docs, _document_rows, "doc long, tid long, sid long, n int, hot long, df long"), "sets")
-    rows = first.where(F.col("hot").isNull()).select("doc", "tid", "sid", "n")
+    first = cut(map_arrow(docs, _document_rows(Ids(bits)), "doc long, tid long, sid long, other long, n int, hot long, df long"), "sets")
+    rows = first.where(F.col("hot").isNull()).select("doc", "tid", "sid", "other", "n")
     n_docs, tokens = rows.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
+    # hashes of two sets or more: of ten thousand million sets, two or three
+    clash = rows.groupBy("sid").agg(F.min("other").alias("a"), F.max("other").alias("b")).where(F.col("a") < F.col("b")).select("sid")
+    ids = Ids(bits, tuple(r.sid for r in clash.collect()))
+    rows = rows.withColumn("sid", F.when(F.col("sid").isin(ids.clash.tolist()), F.col("other")).otherwise(F.col("sid"))).drop("other")
     hot = first.where(F.col("hot").isNotNull()).groupBy("hot").agg(F.sum("df").alias("df")).where(F.col("df") >= max(64, n_docs // HOT_SHARE))
     hot = np.sort(np.array([r.hot for r in hot.select("hot").collect()], np.int64).view(np.uint64))  # at most HOT_SHARE * mean set size
-    buckets = min(max(default_parallelism(spark), -(-(tokens or 0) // BUCKET)), 1 << 18)
+    buckets = max(default_parallelism(spark), -(-(tokens or 0) // BUCKET))
 
-    packed = map_arrow(docs.select("text"), _packed(buckets, hot), "bucket int, cold int, hot int, blob binary")
+    packed = map_arrow(docs.select("text"), _packed(buckets, hot, ids), "bucket int, cold int, hot int, blob binary")
     shared = packed.groupBy("bucket").applyInArrow(lean_group(_shared(buckets)), "part long, blob binary").groupBy("part").applyInArrow(lean_group(_gather), "sid long, toks binary")
     shared = cut(shared, "shared")  # so that no task runs two Python operators
-    classes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.first("n").alias("n"), F.min("tid").alias("tid"), F.min("doc").alias("rep")), "classes")
+    classes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.first("n").alias("n"), F.min(F.struct("tid", "doc")).alias("at"), F.min("doc").alias("rep")), "classes")
     alike = shared.join(classes.select(F.col("sid").alias("id"), "n"), F.col("sid") == F.col("id")).select("sid", "n", "toks")
     prefix = cut(map_arrow(alike, _prefixes, "tok long, sid long"), "prefix")
     pivot = prefix.groupBy("tok").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).where(F.col("pivot") < F.col("last")).select("tok", "pivot")
     edges = prefix.join(pivot, "tok").where(F.col("sid") > F.col("pivot")).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
     coarse = components(edges).select(F.col("id").alias("met"), F.col("component").alias("coarse"))
-    coarse = cut(coarse.join(classes, F.col("met") == F.col("sid")).select("sid", F.col("tid").alias("rep_tid"), "n", "coarse"), "coarse")
+    coarse = cut(coarse.join(classes, F.col("met") == F.col("sid")).select("sid", F.col("at.tid").alias("rep_tid"), F.col("at.doc").alias("rep_doc"), "n", "coarse"), "coarse")
     n_met = coarse.count()
 
-    met = maybe_broadcast(coarse.select("rep_tid", F.col("sid").alias("want"), "coarse"), n_met, 48)
-    sets = map_arrow(docs.join(met, F.col("tid") == F.col("rep_tid")).select("text", "want", "coarse"), _whole, "sid long, coarse long, toks binary")
-    # a text's copies bring its set again; _join_groups takes each once
-    many = coarse.groupBy(F.col("coarse").alias("c")).count().where(F.col("count") > block).select("c", F.ceil(F.col("count") / block).cast("int").alias("nb"))
-    tasks = max(default_parallelism(spark), n_met // 1000 + 1)
-    sets = sets.join(many, F.col("coarse") == F.col("c"), "left")
-    part = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
-    pairs = F.when(F.col("nb").isNull(), F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(x, part).alias("i"), F.greatest(x, part).alias("j"))))
-    sets = sets.withColumn("ij", F.explode(pairs)).select(
-        "sid", "toks", "coarse", F.when(F.col("nb").isNull(), F.pmod(F.xxhash64("coarse"), F.lit(tasks))).otherwise(F.col("coarse")).alias("g"), "ij.i", "ij.j")
+    places, extra = _places(coarse, prefix, block, n_met)
+    # one row brings each set: a text and an id that have it; only rows with the same of both bring it again, and _group_links takes it once
+    total = places.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
+    met = maybe_broadcast(places.withColumnRenamed("sid", "want"), 48 * n_met + 40 * total, 1)
+    sets = docs.join(met, (F.col("tid") == F.col("rep_tid")) & F.col("doc").eqNullSafe(F.col("rep_doc"))).select("text", "want", "places")
+    sets = map_arrow(sets, _whole(ids), f"sid long, places {_PLACES}, toks binary").select("sid", "toks", F.inline("places"))
     links = sets.groupBy("g", "i", "j").applyInArrow(lean_group(_join_every if every else _join_groups), "a long, b long")
-    return rows, classes, links, [shared, prefix, coarse]
+    return rows, classes, links, [shared, prefix, coarse, *extra]
+
 
+_PLACES = "array<struct<coarse:bigint,g:bigint,i:int,j:int>>"
 
-def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+
+def _places(coarse: DataFrame, prefix: DataFrame, block: int, n_met: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(sid, rep_tid, rep_doc, places): the tasks in which each set meets others, and tables that are read for it.
+
+    A coarse group of up to block sets meets in one task.  A larger one is split in one of two ways, by whichever copies sets less often: in all pairs of
+    blocks of its sets, or by the shingles of their prefixes, where only sets that share one, with sizes that allow a link, meet.  Of shingles
+    that the same sets have one is used; a shingle of more than block sets is split in pairs of blocks as well.
+    """
+    tasks = max(default_parallelism(coarse.sparkSession), n_met // 1000 + 1)
+    many = cut(coarse.groupBy(F.col("coarse").alias("c")).agg(F.count("*").alias("all")).where(F.col("all") > block), "many")
+    n_many = many.count()
+    met = coarse.join(maybe_broadcast(many, n_many, 16), F.col("coarse") == F.col("c"), "left").drop("c")
+    struct = lambda g, i, j: F.struct(F.col("coarse").alias("coarse"), g.alias("g"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    def pairs(g: Column, of: Column) -> Column:
+        """The places of a set among the blocks of ``of`` sets."""
+        n = F.ceil(of / block)
+        own = F.pmod(F.xxhash64("sid"), n)
+        return F.when(of <= block, F.array(struct(g, F.lit(-1), F.lit(-1)))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: struct(g, F.least(x, own), F.greatest(x, own))))
+
+    copies = lambda n: n * F.ceil(n / block)
+    one = F.array(struct(F.pmod(F.xxhash64("coarse"), F.lit(tasks)), F.lit(-1), F.lit(-1)))
+    places = F.when(F.col("all").isNull(), one).otherwise(pairs(F.col("coarse"), F.col("all")))
+    if not n_many:
+        return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), [many]
+    # the larger of two linked sets has at most 5/4 of the size of the smaller
+    level = lambda n: F.floor(F.log2(n)).cast("int")
+    levels = F.array_distinct(F.array(level(F.col("n")), level(F.floor(F.col("n") * 5 / 4))))
+    big = met.where(F.col("all").isNotNull()).select(F.col("sid").alias("s"), "coarse", "n", "all")
+    toks = cut(prefix.join(big, F.col("sid") == F.col("s")).select("tok", "sid", "coarse", "all", F.explode(levels).alias("level")), "toks")
+    alike = toks.groupBy("coarse", "all", "tok", "level").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where(F.col("n") > 1)
+    used = cut(alike.groupBy("coarse", "all", "n", "x", "y").agg(F.min(F.struct("tok", "level")).alias("t")).select("coarse", "all", "n", "t.tok", "t.level"), "used")
+    cheap = used.groupBy("coarse", "all").agg(F.sum(copies(F.col("n"))).alias("cost")).where(F.col("cost") < copies(F.col("all"))).select(F.col("coarse").alias("cheap"))
+    cheap = cut(cheap, "cheap")
+    n_cheap = cheap.count()
+    if not n_cheap:
+        return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), [many, toks, used, cheap]
+    cheap = maybe_broadcast(cheap, n_cheap, 8)
+    used = used.join(cheap, F.col("coarse") == F.col("cheap")).select(F.col("tok").alias("u"), F.col("level").alias("l"), F.col("coarse").alias("of"), "n")
+    here = toks.join(used, (F.col("tok") == F.col("u")) & (F.col("level") == F.col("l")) & (F.col("coarse") == F.col("of")))
+    here = here.select("sid", F.inline(pairs(F.xxhash64("coarse", "tok", "level"), F.col("n")))).groupBy(F.col("sid").alias("in")).agg(F.collect_list(F.struct("coarse", "g", "i", "j")).alias("own"))
+    met = met.join(cheap, F.col("coarse") == F.col("cheap"), "left").join(here, F.col("sid") == F.col("in"), "left")
+    none = F.array().cast(_PLACES)
+    places = cut(met.select("sid", "rep_tid", "rep_doc", F.when(F.col("cheap").isNotNull(), F.coalesce("own", none)).otherwise(places).alias("places")), "places")
+    return places, [many, toks, places]
+
+
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
     """(a, b): every link between documents with different sets, each set by the smallest id that has it; a and b in the order of their sets' hashes."""
-    _, classes, links, tables = _linked(docs, doc_id, text, block, True)
+    _, classes, links, tables = _linked(docs, doc_id, text, block, True, bits)
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     discard(*tables)
     of = lambda c: classes.select(F.col("sid").alias(f"sid_{c}"), F.col("rep").alias(f"doc_{c}"))
@@ -372,9 +451,9 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     return links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
     """(doc, n, component) of each row of docs."""
-    rows, classes, links, tables = _linked(docs, doc_id, text, block, False)
+    rows, classes, links, tables = _linked(docs, doc_id, text, block, False, bits)
     linked = cut(components(links).select("id", F.col("component").alias("root")), "linked")
 
     best = linked.join(classes, F.col("id") == F.col("sid")).groupBy("root").agg(F.min("rep").alias("best"))
