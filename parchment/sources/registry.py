@@ -1,7 +1,7 @@
 """Files to normalised content: one pass over the files, each read by the parser of its format.
 
-A parser is a function (content, uri) -> (columns of CONTENT, media by name).  Text recognition, PDF text and
-the export of online documents need engines of their own; they are given as providers:
+A parser is a function (content, uri) -> (columns of CONTENT, media by name).  Text recognition and
+the export of online documents need engines of their own; they are given as providers, and another engine for PDF text may be:
 
     pdf(content) -> (text, pages)      ocr(content) -> list of blocks, each a list of lines      export(uri) -> PDF bytes
 
@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 from parchment import schemas
 from parchment.functions import text as tx
 from parchment.sources import hangul, office
+from parchment.sources import pdf as pdf_text
 from parchment.sources.markup import Broken
 
 #: Pages of a file that are shown.
@@ -61,9 +62,7 @@ def display_name(name, uri):
 
 def _pdf(content: bytes, pdf, warning: str) -> dict:
     try:
-        if pdf is None:
-            raise Broken("no PDF provider")
-        text, pages = pdf(content)
+        text, pages = (pdf or pdf_text.extract)(content)
         return {"plain_text": text, "page_count": pages}
     except Exception as e:  # noqa: BLE001  whatever a provider raises is about this file
         return {"page_count": 0, "warning": f"{warning}{e}"}

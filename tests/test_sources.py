@@ -410,3 +410,33 @@ def test_pages_are_limited(spark):
     c = spark.createDataFrame([("a", 120), ("b", 3), ("c", 0)], "uri string, page_count int")
     got = registry.pages(c).groupBy("uri").agg(F.count("*").alias("n"), F.max("page").alias("last")).collect()
     assert {r.uri: (r.n, r.last) for r in got} == {"a": (50, 49), "b": (3, 2)}
+
+
+def test_pdf_text():
+    import random
+
+    from parchment.sources import pdf, writers
+
+    turns = [{"turn": i, "role": f"r{i}", "text": f"a (b) \\ {i}\nnext  line é"} for i in range(3)]
+    whole = writers.pdf_of(1, turns)
+    assert pdf.extract(whole) == ("\n".join(f"r{i}\na (b) \\ {i}\nnext  line é" for i in range(3)), 3)
+    # objects within a stream, inherited resources, codes with names of their own, strings of all kinds, a picture in the text, a form
+    first = b"4 0 5 80 "
+    inner = first + b"<< /Type /Font /Encoding << /Differences [65 /uni00C4 /space /b] >> >>".ljust(80) + b"<< /Type /Catalog /Pages 6 0 R >>"
+    body = rb"BT /F#31 9 Tf 1 0 0 1 10 700 Tm (A\101\050\)" + b"\\\r\nB) Tj 0 -12 Td <43> Tj ET BI /W 1 ID xyz(( EI BT 10 600 Td [(C) -250 (C) 20 (C)] TJ ET /X Do"
+    form = b"BT 10 500 Td (C) Tj ET"
+    parts = {3: b"<< /Type /ObjStm /N 2 /First 9 /Length 1 0 R >>\nstream\n" + inner + b"\nendstream", 6: b"<< /Type /Pages /Kids [7 0 R 99 0 R] /Resources << /Font << /F1 4 0 R >> /XObject << /X 9 0 R >> >> >>",
+             7: b"<< /Type /Page /Contents [8 0 R] >>", 8: b"<< /Length 9999 >>\nstream\r\n" + body + b"\nendstream", 9: b"<< /Subtype /Form >> % comment\nstream\n" + form + b"\nendstream"}
+    file = b"%PDF-1.7\n" + b"".join(str(n).encode() + b" 0 obj " + x + b" endobj\n" for n, x in parts.items())
+    assert pdf.extract(file) == ("ÄÄ()\nb\nb bb\nb", 1)
+    with pytest.raises(Broken, match="encrypted"):
+        pdf.extract(whole.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R"))
+    with pytest.raises(Broken):
+        pdf.extract(b"junk")
+    r = random.Random(1)
+    for _ in range(300):  # damage of any kind ends in some text or a warning
+        bad = bytearray(whole[: r.randrange(20, len(whole))] if r.random() < 0.5 else whole)
+        for _ in range(r.randrange(1, 30)):
+            bad[r.randrange(9, len(bad))] = r.randrange(256)
+        content, _ = registry.read_one("PDF", bytes(bad), "u", {})
+        assert "plain_text" in content or content["warning"].startswith(registry.NO_PDF_TEXT)
