@@ -386,6 +386,59 @@ def test_language_keeps_what_it_cannot_judge(spark):
     assert abs(score[5] - score[10]) < 0.02
 
 
+def plain_language(filters, text):
+    """(language, score) n-gram by n-gram; filters as learnt."""
+    m32 = (1 << 32) - 1
+    raw = text.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    n, hits = 0, [0] * len(filters.langs)
+    for size in langid.SIZES:
+        for i in range(len(raw) - size + 1):
+            g = raw[i : i + size]
+            if not any(97 <= c <= 122 or c >= 128 for c in g):
+                continue
+            n += 1
+            h = size * 0x9E3779B1 & m32
+            for c in g:
+                h = (h ^ c) * 0x01000193 & m32
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D & m32
+            h ^= h >> 12
+            a, b = h & (langid.SLOTS - 1), (h * 0x297A2D39 & m32) >> 12 & (langid.SLOTS - 1)
+            for k in range(len(hits)):
+                both = int(filters.masks[k // 64][a]) & int(filters.masks[k // 64][b])
+                hits[k] += both >> k % filters.bits & 1
+    if not any(map(str.isalpha, text)):
+        return "und", 0.0
+    shares = [min(max((x / max(n, 1) - p) / (1 - p), 0), 1) for x, p in zip(hits, filters.false.tolist(), strict=True)]
+    best = max(shares)
+    return filters.langs[shares.index(best)], best
+
+
+def test_language_against_plain(spark):
+    r = random.Random(10)
+    rows = [(lang, spoken(r, lang)) for lang in ["xx", "yy", "zz"] * 40]
+    filters = langid.learn(rows)
+    # no false negative: what is frequent enough in a language is in its filter
+    from collections import Counter
+
+    count = {x: Counter() for x in filters.langs}
+    for lang, t in rows:
+        for line in t.split("\n"):
+            raw = line.lower().encode()
+            count[lang].update(raw[i : i + 4] for i in range(len(raw) - 3))
+    often = [(x, g) for x, c in count.items() for g, n in c.items() if n >= 20 and not any(g in d for y, d in count.items() if y != x)]
+    assert len(often) > 50
+    for lang, g in often[:300]:
+        h = langid._codes(np.frombuffer(g, np.uint8), 4)
+        a, b = langid._slots(h)
+        assert int(filters.masks[0][a[0]] & filters.masks[0][b[0]]) >> filters.langs.index(lang) & 1
+    texts = ["", "a", "A1", "12 3", "É", "abc éü", "a" * 50, "日本 語", *[spoken(r, x) + " " + spoken(r, y) for x in filters.langs for y in filters.langs], None]
+    got = {x.doc_id: x for x in langid.identify(frame(spark, list(enumerate(texts))), filters).collect()}
+    for i, t in enumerate(texts):
+        lang, score = plain_language(filters, t or "")
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score), t
+
+
 def test_language_many(spark):
     langs = [f"l{i}" for i in range(70)]
     counts = [{n: np.unique(langid._codes(np.frombuffer(f"{x * 20}".encode(), np.uint8), n), return_counts=True) for n in langid.SIZES} for x in langs]
@@ -496,6 +549,78 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, labels.limit(0)) is None and {x.score for x in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def plain_logit(net, text):
+    """The network word by word and window by window."""
+    top = (1 << 64) - 1
+    raw = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    words_ = re.findall(rb"[0-9a-z\x80-\xff]+", raw)
+
+    def bucket(w):
+        x = sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(w)) & top ^ (len(w) << 48)
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & top
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & top
+        return (x ^ (x >> 31)) % toxicity.WORDS
+
+    def grams(w):
+        w = b"\1" + w + b"\1"
+        for n in toxicity.SIZES:
+            for i in range(len(w) - n + 1):
+                h = n
+                for c in w[i : i + n]:
+                    h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+                h ^= h >> 15
+                yield (h * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - toxicity.GRAM_BITS)
+
+    p, size = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    inputs = [np.concatenate([p["ew"][bucket(w)], np.max([p["ec"][g] for g in grams(w)], axis=0)]) for w in words_]
+    best = -np.inf
+    for a in range(0, max(1, len(inputs) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+        window = inputs[a : a + toxicity.WINDOW]
+        states = []
+        for d in "fb":
+            h, own = np.zeros(size), []
+            for x in window if d == "f" else window[::-1]:
+                g = x @ p[f"x{d}"] + p[f"b{d}"]
+                zr = sig(g[: 2 * size] + h @ p[f"u{d}"][:, : 2 * size])
+                z, r = zr[:size], zr[size:]
+                h = h + z * (np.tanh(g[2 * size :] + (r * h) @ p[f"u{d}"][:, 2 * size :]) - h)
+                own.append(h)
+            states.append(own if d == "f" else own[::-1])
+        s = np.array([np.concatenate(x) for x in zip(*states, strict=True)]).reshape(-1, 2 * size)
+        e = np.tanh(s @ p["wa"] + p["ba"]) @ p["va"]
+        w = np.exp(e - e.max()) if len(e) else e
+        pooled = (w / w.sum()) @ s if len(e) else np.zeros(2 * size)
+        best = max(best, pooled @ p["wo"] + p["bo"][0])
+    return best
+
+
+def test_toxicity_against_plain(spark):
+    r = random.Random(14)
+    net = toxicity.Network(3)
+    net.p["ew"] *= 20
+    net.p["ec"] *= 20
+    net.shift, net.scale = 0.1, 2.0
+    texts = ["", None, "one", "A b-c É", "... !", *[words(r, n, 90).title() for n in (5, 31, 32, 33, 47, 48, 49, 100, 300)]]
+    got = {x.doc_id: x.score for x in toxicity.score(frame(spark, list(enumerate(texts))), net).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(plain_logit(net, t) - 0.1) * 2)), abs=1e-4), t
+    assert toxicity.score(frame(spark, []), net).collect() == []
+
+
+def test_toxicity_learns_from_one_row_an_id(spark):
+    rows = [(1, "w " * 5)] * 40 + [(i, f"t{i} " * 6) for i in range(2, 60)] + [(None, "x")] * 30
+    labels = [(i, i % 2) for i in range(1, 60)] * 3 + [(None, 1)] * 9
+    docs, labels = frame(spark, rows), frame(spark, labels, "doc_id long, toxic int")
+    known = labels.select(F.col("doc_id").alias("id"), "toxic").distinct()
+    from llm.common import sample_of_each
+
+    picked = sample_of_each(docs.select(F.col("doc_id").alias("id"), "text").join(known, "id"), "toxic", 10).collect()
+    assert len(picked) == len({x.id for x in picked}) == 20 and {x.toxic for x in picked} == {0, 1}
+
+
 # ---- 9
 
 PAGE = """<!doctype html><html><head><title>T &amp; x</title><style>p{}</style><script>var a="</p>";</script></head><body class="menu">
@@ -715,3 +840,38 @@ def test_tables_can_be_swept(spark):
     assert t.count() == 3 and os.path.isdir(t.cut_path.removeprefix("file://"))
     common.sweep(spark)
     assert not os.path.isdir(t.cut_path.removeprefix("file://"))
+
+
+# ---- texts longer than what is handled at once
+
+
+def test_long_texts(spark):
+    """Every operator over rows of which some are longer than a chunk, against what must come out."""
+    r = random.Random(21)
+    plain = " ".join(f"w{r.randrange(10**7)}" for _ in range(180_000))  # 1.5 MB
+    assert len(plain) > kernels.CHUNK_BYTES
+    item = "ten words of a test that nobody should ever have seen"
+    near = plain[: len(plain) // 2] + "§some other words here§" + plain[len(plain) // 2 :]
+    rows = [(1, plain), (2, near), (3, "short text"), (4, f"{plain[:2000]} {item} a.b@example.org {plain[3000:]}"), (5, None), (6, ""), (7, plain)]
+    docs = frame(spark, [(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    hit = {x.doc: x for x in decontaminate.decontaminate(docs, frame(spark, [(9, item)], "item_id long, text string")).collect()}
+    assert hit[4].n_hit == 11 and hit[1].n_words == 180_000 and not any(hit[i].n_hit for i in (1, 2, 3, 5, 6, 7))
+    gone = {x.doc: x for x in suffix_dedup.remove_repeats(docs).collect()}
+    assert gone[1].n_removed == len(plain) == gone[7].n_removed and gone[2].n_removed == len(plain) and gone[3].n_removed == 0 and gone[2].n_spans == 2
+    prints = {x.doc_id: x for x in fingerprint.fingerprints(docs).collect()}
+    assert prints[1].fingerprint == prints[7].fingerprint and prints[1].near_next > 0.99 and prints[1].n_chars == len(plain)
+    ids = {x.doc_id: x for x in pieces.encode(docs).collect()}
+    assert all(x.round_trip for x in ids.values()) and ids[1].ids_sha256 == ids[7].ids_sha256 and ids[1].n_ids > 180_000
+    found = {x.doc_id: x for x in pii.find_pii(docs).collect()}
+    assert found[4].n_email == 1 and found[1].n_email == 0
+    filters = langid.learn([("en", plain[:50_000]), ("xx", "zq zq zqq " * 900)])
+    assert {x.doc_id: x.lang_pred for x in langid.identify(docs, filters).collect()} == {1: "en", 2: "en", 3: langid.identify(docs.where("doc_id = 3"), filters).first().lang_pred, 4: "en", 5: "und", 6: "und", 7: "en"}
+    net = toxicity.Network(2)
+    score = {x.doc_id: x.score for x in toxicity.score(docs, net).collect()}
+    assert score[1] == score[7] and score[5] == score[6]
+    data, offsets = kernels.buffers(pa.array([plain]))
+    assert score[1] == pytest.approx(float(net.scores(data, offsets)[0]), abs=1e-6)
+    comp = {x.doc: x.component for x in jaccard.jaccard_components(docs).collect()}
+    assert comp == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6, 7: 1}
+    page = {x.page_id: x.n_chars for x in html_text.extract(frame(spark, [(1, "http://a/", f"<nav>x</nav><article><p>{plain}</article>")], "page_id long, url string, html string")).collect()}
+    assert page == {1: len(plain)}
