@@ -40,7 +40,7 @@ from llm.kernels import _pow, buffers, mix, pieces, regroup
 
 SPAN, GRAM = 400, 64
 #: Occurrences of an anchor, or of a key, from which on it is split.
-HOT = 50_000
+HOT = 10_000
 #: Into how many ranges at each step.
 PARTS = 8
 #: Contexts that one task gathers, about.
@@ -323,10 +323,13 @@ def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, copies: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(tid, start, end) of stretches of bytes to remove from docs (tid, text); they may overlap.  copies: (tid, c, n), how often each text stands there and its size."""
+    """(tid, start, end) of stretches of bytes to remove from docs (tid, w, text); they may overlap.
+
+    copies: (tid, c, n, w), how often each text stands there, its size, and the mark w of one of its rows.
+    """
     spark = docs.sparkSession
     ship(spark)
-    first = cut(map_arrow(docs, _anchor_rows(span, gram), "h long, tid long, at long, end long"), "anchors")
+    first = cut(map_arrow(docs.select("tid", "text"), _anchor_rows(span, gram), "h long, tid long, at long, end long"), "anchors")
     anchors = first.where(F.col("end").isNull()).drop("end")
     place = F.xxhash64("tid", "at")
     twice = anchors.groupBy(F.col("h").alias("dup")).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("c")).where(F.col("a") < F.col("b")).select("dup", "c")
@@ -334,8 +337,9 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, span: int = SPAN, gram: i
     marked = cut(anchors.join(twice, F.col("h") == F.col("dup")).select("tid", "h", "at", "c"), "marked")
     n = marked.count()
     marks = marked.groupBy(F.col("tid").alias("t")).agg(F.collect_list(F.struct("h", "at")).alias("marks"))
-    # as marks grow with the texts, this join is shuffled at every size
-    near = docs.join(marks, F.col("tid") == F.col("t")).select("tid", "text", "marks")
+    # of a text's copies one row brings the contexts, so copies are dealt out by more than their text; as marks grow with the texts, this join is shuffled at every size
+    marks = marks.join(copies.select("tid", F.col("w").alias("one")), F.col("t") == F.col("tid")).drop("tid")
+    near = docs.join(marks, (F.col("tid") == F.col("t")) & (F.col("w") == F.col("one"))).select("tid", "text", "marks")
     ctx = map_arrow(near, _contexts(span, gram), "h long, tid long, at long, before int, ctx binary")
     much = marked.where(F.col("c") > hot).select(F.col("h").alias("hot_h")).distinct()
     n_hot = much.count()
@@ -358,13 +362,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs; bits: of a text's hash, fewer for tests."""
     text_ = F.coalesce(F.col(text), F.lit(""))
     tid = F.xxhash64(text_) if bits == 64 else F.xxhash64(text_).bitwiseAND(F.lit((1 << bits) - 1))
-    docs = docs.select(tid.alias("tid"), F.xxhash64(text_, F.lit(1)).alias("other"), text_.alias("text"), F.col(doc_id).alias("doc"))
-    copies = cut(docs.groupBy("tid", "other").agg(F.count("*").alias("c"), F.max(F.octet_length("text").cast("long")).alias("n")), "texts")
+    docs = docs.select(tid.alias("tid"), F.xxhash64(text_, F.lit(1)).alias("other"), text_.alias("text"), F.col(doc_id).alias("doc")).withColumn("w", F.xxhash64("doc"))
+    copies = cut(docs.groupBy("tid", "other").agg(F.count("*").alias("c"), F.max(F.octet_length("text").cast("long")).alias("n"), F.min("w").alias("w")), "texts")
     # hashes of two texts or more: of ten thousand million texts, two or three
     clash = [r.tid for r in copies.groupBy("tid").count().where(F.col("count") > 1).select("tid").collect()]
     own = lambda df: df.withColumn("tid", F.when(F.col("tid").isin(clash), F.col("other")).otherwise(F.col("tid")) if clash else F.col("tid")).drop("other")
     docs, copies = own(docs), own(copies)
-    found = repeated_spans(docs.select("tid", "text"), copies, span, gram, hot)
+    found = repeated_spans(docs.select("tid", "w", "text"), copies, span, gram, hot)
     found = cut(found.groupBy(F.col("tid").alias("t")).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     rows = docs.join(found, F.col("tid") == F.col("t"), "left").select("doc", "text", "spans")
     kind = docs.schema["doc"].dataType.simpleString()
