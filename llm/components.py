@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from llm.common import cut, discard
 
 
+#: Edges that are written to one file, about.
+ROWS = 250_000
+
+
 def _print(e: DataFrame) -> tuple:
     r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(r)
@@ -47,14 +51,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops, repeated and reversed edges change nothing; rows with a null end are ignored.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(edges["a"].isNotNull() & edges["b"].isNotNull())
-    loops = e.where(F.col("a") == F.col("b")).select(F.col("a").alias("id"))
-    e = cut(e.where(F.col("a") > F.col("b")).distinct(), "edges")
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    every = cut(e.distinct(), "edges")  # written once, as edges can be much work
+    loops = every.where(F.col("a") == F.col("b")).select(F.col("a").alias("id"))
+    e = every.where(F.col("a") > F.col("b"))
     before = _print(e)
     while before[0]:
-        new = cut(_small(_large(e)), "edges")
+        new = cut(_small(_large(e)).coalesce(max(8, before[0] // ROWS)), "edges")  # few files for few edges
         after = _print(new)
-        discard(e)
+        if "cut_path" in vars(e):
+            discard(e)
         e, done, before = new, after == before, after
         if done:
             break

@@ -41,6 +41,8 @@ BLOCK = 500
 #: Shingles of a bucket, about.
 BUCKET = 2_500_000
 HOT_SHARE = 1000
+#: Bytes of text of a task that are looked at together.
+TOGETHER = 16 << 20
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -81,7 +83,7 @@ def _document_rows(ids: Ids):
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in regroup(it):
+        for batch in regroup(it, TOGETHER):
             parts = []
             for _, _, data, offsets in pieces(batch.column(2)):
                 grams, bounds = shingles(data, offsets, K)
@@ -121,7 +123,7 @@ def _kept(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _packed(buckets: int, hot: np.ndarray, ids: Ids):
     """To (bucket, cold, hot, blob) rows: pairs of the searched tokens and their sets, in as many bytes at any size."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in regroup(it):
+        for batch in regroup(it, TOGETHER):
             kept: dict[int, list] = {}
             seen: set[int] = set()
             for _, _, grams, bounds, sid in _sets(batch, ids):
@@ -406,17 +408,17 @@ def _places(coarse: DataFrame, prefix: DataFrame, block: int, n_met: int) -> tup
     many = cut(coarse.groupBy(F.col("coarse").alias("c")).agg(F.count("*").alias("all")).where(F.col("all") > block), "many")
     n_many = many.count()
     met = coarse.join(maybe_broadcast(many, n_many, 16), F.col("coarse") == F.col("c"), "left").drop("c")
-    struct = lambda g, i, j: F.struct(F.col("coarse").alias("coarse"), g.alias("g"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    struct = lambda group, g, i, j: F.struct(group.alias("coarse"), g.alias("g"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    one = lambda group, n: F.array(struct(group, F.pmod(F.xxhash64(group), F.lit(n)), F.lit(-1), F.lit(-1)))  # noqa: E731  # small groups share tasks
 
-    def pairs(g: Column, of: Column) -> Column:
-        """The places of a set among the blocks of ``of`` sets."""
-        n = F.ceil(of / block)
-        own = F.pmod(F.xxhash64("sid"), n)
-        return F.when(of <= block, F.array(struct(g, F.lit(-1), F.lit(-1)))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: struct(g, F.least(x, own), F.greatest(x, own))))
+    def pairs(group: Column, of: Column, n: int) -> Column:
+        """The places of a set in a group of ``of`` sets: one of n tasks, or the pairs of its block."""
+        parts = F.ceil(of / block)
+        own = F.pmod(F.xxhash64("sid"), parts)
+        return F.when(of <= block, one(group, n)).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: struct(group, group, F.least(x, own), F.greatest(x, own))))
 
     copies = lambda n: n * F.ceil(n / block)
-    one = F.array(struct(F.pmod(F.xxhash64("coarse"), F.lit(tasks)), F.lit(-1), F.lit(-1)))
-    places = F.when(F.col("all").isNull(), one).otherwise(pairs(F.col("coarse"), F.col("all")))
+    places = F.when(F.col("all").isNull(), one(F.col("coarse"), tasks)).otherwise(pairs(F.col("coarse"), F.col("all"), tasks))
     if not n_many:
         return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), [many]
     # the larger of two linked sets has at most 5/4 of the size of the smaller
@@ -433,8 +435,9 @@ def _places(coarse: DataFrame, prefix: DataFrame, block: int, n_met: int) -> tup
         return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), [many, toks, used, cheap]
     cheap = maybe_broadcast(cheap, n_cheap, 8)
     used = used.join(cheap, F.col("coarse") == F.col("cheap")).select(F.col("tok").alias("u"), F.col("level").alias("l"), F.col("coarse").alias("of"), "n")
+    tasks += (used.agg(F.sum("n")).first()[0] or 0) // 1000
     here = toks.join(used, (F.col("tok") == F.col("u")) & (F.col("level") == F.col("l")) & (F.col("coarse") == F.col("of")))
-    here = here.select("sid", F.inline(pairs(F.xxhash64("coarse", "tok", "level"), F.col("n")))).groupBy(F.col("sid").alias("in")).agg(F.collect_list(F.struct("coarse", "g", "i", "j")).alias("own"))
+    here = here.select("sid", F.inline(pairs(F.xxhash64("coarse", "tok", "level"), F.col("n"), tasks))).groupBy(F.col("sid").alias("in")).agg(F.collect_list(F.struct("coarse", "g", "i", "j")).alias("own"))
     met = met.join(cheap, F.col("coarse") == F.col("cheap"), "left").join(here, F.col("sid") == F.col("in"), "left")
     none = F.array().cast(_PLACES)
     places = cut(met.select("sid", "rep_tid", "rep_doc", F.when(F.col("cheap").isNotNull(), F.coalesce("own", none)).otherwise(places).alias("places")), "places")
