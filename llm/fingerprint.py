@@ -10,8 +10,8 @@ A fingerprint is ``<hash of the whole text>.<kept hashes, 5 bytes each, sorted,
 is empty likeness is 0, where both are it is 1 for equal fingerprints and 0 for others; equal
 fingerprints always have 1.
 
-The next document: rows are ordered by doc_id (nulls first), then text; the last row's next is the
-first row.  Rows are dealt to parts by ranges of doc_id, and the first rows of each part go to
+The next document: rows are ordered by doc_id (nulls first), then by a hash of the text and the text; the last row's next is the
+first row.  Rows are dealt to parts by ranges of doc_id, an id that fills several by ranges of the hash too, and the first rows of each part go to
 the part before it as well, so each text is shuffled once.  Nulls are empty texts.  Other columns are ignored.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,15 +121,21 @@ def _run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(rows)
 
 
-def _part(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most key, looked up in two steps."""
+def _bounds(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Sorted first (id, hash) of all parts but the first; an id that is several quantiles has as many parts."""
+    return [(v, _FIRST + k * (1 << 64) // n) for v, n in sorted(Counter(quantiles).items()) for k in range(n)]
+
+
+def _part(id_: Column, hash_: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many of the sorted bounds are at most (id, hash), looked up in two steps."""
     if not bounds:
         return F.lit(0)
     fan = math.isqrt(len(bounds)) + 1
     groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
-    heads = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    rest = F.array(*[F.array(*[F.lit(b).cast("long") for b in g]) for g in groups])
-    count = lambda a: F.size(F.filter(a, lambda b: b <= key))
+    pair = lambda b: F.struct(F.lit(b[0]).cast("long").alias("id"), F.lit(b[1]).cast("long").alias("h"))
+    heads = F.array(*[pair(g[0]) for g in groups])
+    rest = F.array(*[F.array(*map(pair, g)) for g in groups])
+    count = lambda a: F.size(F.filter(a, lambda b: (b["id"] < id_) | (b["id"] == id_) & (b["h"] <= hash_)))
     c = count(heads)
     return F.when(c == 0, 0).otherwise((c - 1) * fan + count(F.get(rest, c - 1)))
 
@@ -138,16 +145,18 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)).alias("id"), F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = 3 * default_parallelism(spark)
-    bounds = sorted({int(x) for x in docs.select(F.col("id").cast("double")).approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    docs = docs.withColumn("part", _part(F.col("id"), bounds))
-    first = sorted((r.part, r.id) for r in docs.groupBy("part").agg(F.min("id").alias("id")).collect())  # one row a part
-    before = [(i, first[k - 1][0], 0 if k else 1) for k, (_, i) in enumerate(first)]
-    tails = spark.createDataFrame(before, "first_id long, to int, wraps int")
-    docs = docs.join(F.broadcast(tails), F.col("id") == F.col("first_id"), "left")
+    bounds = _bounds([int(x) for x in docs.select(F.col("id").cast("double")).approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)]) if parts > 1 else []
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    docs = docs.withColumn("part", _part(F.col("id"), F.col("hash"), bounds))
+    first = sorted((r.part, r.at.id, r.at.hash) for r in docs.groupBy("part").agg(F.min(F.struct("id", "hash")).alias("at")).collect())  # one row a part
+    before = [(i, h, first[k - 1][0], 0 if k else 1) for k, (_, i, h) in enumerate(first)]
+    tails = spark.createDataFrame(before, "first_id long, first_hash long, to int, wraps int")
+    docs = docs.join(F.broadcast(tails), (F.col("id") == F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left")
     to = F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("tail")))).otherwise(
         F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("tail")), F.struct(F.col("to").alias("part"), F.lit(1).alias("tail")))))
-    docs = docs.select(to.alias("x"), "id", "doc", "text").select("x.part", "x.tail", "id", "doc", "text")
-    docs = docs.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "tail", "id", "text")  # each part is a task's
+    docs = docs.select(to.alias("x"), "id", "doc", "text", "hash").select("x.part", "x.tail", "id", "doc", "text", "hash")
+    # each part is a task's
+    docs = docs.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "tail", "id", "hash", "text").drop("hash")
     return map_arrow(docs, _run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

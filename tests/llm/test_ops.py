@@ -142,10 +142,28 @@ def test_suffix_ranges():
 # ---- 3
 
 
+def text_hash(t):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(t.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_fingerprints_of_one_id(spark):
+    """An id that most rows have is dealt to several parts, and each row still has the next one."""
+    r = random.Random(31)
+    rows = [(7, words(r, r.randrange(1, 30))) for _ in range(300)] + [(i, words(r, 9)) for i in range(14)] + [(7, "same")] * 20
+    got = fingerprint.fingerprints(frame(spark, rows)).collect()
+    order = sorted(rows, key=lambda x: (x[0], text_hash(x[1]), x[1]))
+    want = sorted((i, hashlib.sha256((t[: len(t) - len(t) // 4] + order[(k + 1) % len(order)][1][: len(t) // 4]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((x.doc_id, x.edited_sha256) for x in got) == want
+    assert fingerprint._bounds([1, 7, 7, 7, 9]) == [(1, -(1 << 63)), (7, -(1 << 63)), (7, -(1 << 63) + (1 << 64) // 3), (7, -(1 << 63) + 2 * (1 << 64) // 3), (9, -(1 << 63))]
+
+
 def test_fingerprints(spark, texts):
     docs = [(i * 7 - 100, t) for i, t in texts] + [(3, "tie b"), (3, "tie a"), (3, "tie a"), (None, "null id")]
     got = fingerprint.fingerprints(frame(spark, [(*d, "p") for d in docs], "doc_id long, text string, part string")).collect()
-    order = sorted(((i is not None, i or 0, t or ""), (i, t or "")) for i, t in docs)
+    order = sorted(((i is not None, i or 0, text_hash(t or ""), t or ""), (i, t or "")) for i, t in docs)
     order = [x for _, x in order]
     want = sorted((str(i), len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + order[(k + 1) % len(order)][1][: len(t) // 4]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
@@ -758,6 +776,36 @@ def test_jaccard(spark, texts, block):
         assert jaccard.jaccard_components(frame(spark, [])).collect() == []
 
 
+def test_jaccard_of_large_groups(spark, monkeypatch):
+    """Groups that hang together by what all share: many near copies of one text, some that only lie near copies of others, some that share a passage and nothing else."""
+    r = random.Random(23)
+    passage = words(r, 30, 10**6).split()
+    base = words(r, 40, 10**6).split()
+    def edit(t, n):
+        t = list(t)
+        for _ in range(n):
+            t[r.randrange(len(t))] = f"e{r.randrange(10**6)}"
+        return t
+    rows = [(i, " ".join(edit(base, r.randrange(2)) + passage)) for i in range(40)]
+    chain = base
+    for i in range(100, 115):  # each is a near copy of the one before
+        chain = edit(chain, 1)
+        rows.append((i, " ".join(chain + passage)))
+    for i in range(200, 260):
+        rows.append((i, " ".join(words(r, r.randrange(3, 60), 10**6).split() + passage)))
+    rows += [(300 + i, " ".join(edit(rows[-1 - i][1].split(), 1))) for i in range(30)]
+    want = sorted(brute.jaccard_components(rows))
+    assert len({c for _, _, c in want}) > 30
+    got = jaccard.jaccard_components(frame(spark, rows), block=12)
+    assert sorted(map(tuple, got.collect())) == want
+    # by blocks alone: no group is cheaper by its shingles
+    monkeypatch.setattr(jaccard, "_same", lambda by, toks, *more, same=jaccard._same: same(by, toks, *more).withColumn("n", F.col("n") + (10**6 if by == ["coarse", "all"] else 0)))
+    again = []
+    monkeypatch.setattr(jaccard, "_rest", lambda *args, rest=jaccard._rest: again.append(rest(*args)) or again[-1])
+    got = jaccard.jaccard_components(frame(spark, rows), block=5)
+    assert sorted(map(tuple, got.collect())) == want and again and again[0] is not None
+
+
 def test_jaccard_sets_with_equal_hashes(spark, texts):
     """With five bits for a set's hash nearly all sets share theirs with another."""
     got = jaccard.jaccard_components(frame(spark, texts), bits=5)

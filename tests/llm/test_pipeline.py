@@ -1,8 +1,4 @@
-import zlib
-
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from llm import common, langid, pieces, pii, registry
