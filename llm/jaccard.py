@@ -13,7 +13,9 @@
    stored in a prefix tree.  A probe walks the tree once, sharing the overlap of common prefixes, and
    leaves a subtree when neither its own nor the subtree's remaining length can reach the
    threshold, or when all of the subtree is already in its component.  A group of more than
-   BLOCK sets is split by the shingles of the prefixes, or in pairs of blocks if that copies sets less often, so no task holds more than two blocks.
+   BLOCK sets is split by the shingles of the prefixes, or in blocks if that copies sets less often, so no task holds more than two blocks.  Up to
+   STAR blocks all pairs of them meet.  Of more each meets the first one; after that only sets outside the group's largest component meet others
+   again, so many near copies of one text, which all are linked to some in the first block, are compared a number of times that grows as they do.
 5. The links found span the same components as all links; they give the classes.
 
 Nulls and texts without words have the empty set and no links.  Repeated rows: each keeps a row.
@@ -38,6 +40,8 @@ K = 5
 #: Linked: NUM * intersection >= DEN * (size a + size b), that is intersection >= 0.8 * union.
 NUM, DEN = 9, 4
 BLOCK = 500
+#: Blocks of a group from which on not all pairs of them meet.
+STAR = 100
 #: Shingles of a bucket, about.
 BUCKET = 2_500_000
 HOT_SHARE = 1000
@@ -356,8 +360,8 @@ def _join_every(t: pa.Table) -> pa.Table:
     return _group_links(t, True)
 
 
-def _linked(docs: DataFrame, doc_id: str, text: str, block: int, every: bool, bits: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """Rows (doc, tid, sid, n), classes of equal sets (sid, n, tid, rep), links (a, b) between them, and tables that are only read for the links."""
+def _linked(docs: DataFrame, doc_id: str, text: str, block: int, every: bool, bits: int, star: int | None) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Rows (doc, tid, sid, n), classes of equal sets (sid, n, at, rep), every link (a, b) between them or else their components (id, root), and tables that are only read for that."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tid"), F.col(text).alias("text"))
@@ -384,69 +388,158 @@ def _linked(docs: DataFrame, doc_id: str, text: str, block: int, every: bool, bi
     coarse = cut(coarse.join(classes, F.col("met") == F.col("sid")).select("sid", F.col("at.tid").alias("rep_tid"), F.col("at.doc").alias("rep_doc"), "n", "coarse"), "coarse")
     n_met = coarse.count()
 
-    places, extra = _places(coarse, prefix, block, n_met)
+    places, toks, starred, extra = _places(coarse, prefix, block, n_met, star)
+    links = _meet(docs, places, ids, every)
+    tables = [shared, prefix, coarse, *extra]
+    if every:
+        return rows, classes, links, tables
+    linked = cut(components(links).select("id", F.col("component").alias("root")), "linked")
+    if starred is not None and not starred.isEmpty():
+        more = _rest(coarse, toks, starred, linked, block, n_met)
+        if more is not None:
+            links = _meet(docs, more[0], ids, every).unionByName(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
+            tables += [linked, *more]
+            linked = cut(components(links).select("id", F.col("component").alias("root")), "linked")
+    return rows, classes, linked, tables
+
+
+def _meet(docs: DataFrame, places: DataFrame, ids: Ids, every: bool) -> DataFrame:
+    """The links (a, b) found where sets meet: places (sid, rep_tid, rep_doc, places)."""
+    n, total = places.agg(F.count("*"), F.sum(F.size("places").cast("long"))).first()
     # one row brings each set: a text and an id that have it; only rows with the same of both bring it again, and _group_links takes it once
-    total = places.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
-    met = maybe_broadcast(places.withColumnRenamed("sid", "want"), 48 * n_met + 40 * total, 1)
+    met = maybe_broadcast(places.withColumnRenamed("sid", "want"), 48 * n + 40 * (total or 0), 1)
     sets = docs.join(met, (F.col("tid") == F.col("rep_tid")) & F.col("doc").eqNullSafe(F.col("rep_doc"))).select("text", "want", "places")
     sets = map_arrow(sets, _whole(ids), f"sid long, places {_PLACES}, toks binary").select("sid", "toks", F.inline("places"))
-    links = sets.groupBy("g", "i", "j").applyInArrow(lean_group(_join_every if every else _join_groups), "a long, b long")
-    return rows, classes, links, [shared, prefix, coarse, *extra]
+    return sets.groupBy("g", "i", "j").applyInArrow(lean_group(_join_every if every else _join_groups), "a long, b long")
 
 
 _PLACES = "array<struct<coarse:bigint,g:bigint,i:int,j:int>>"
 
 
-def _places(coarse: DataFrame, prefix: DataFrame, block: int, n_met: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(sid, rep_tid, rep_doc, places): the tasks in which each set meets others, and tables that are read for it.
+def _place(group: Column, g: Column, i: Column, j: Column) -> Column:
+    return F.struct(group.alias("coarse"), g.alias("g"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+
+def _one(group: Column, tasks: int) -> Column:
+    """The place of a set in a group that is not split; such groups share tasks."""
+    return F.array(_place(group, F.pmod(F.xxhash64(group), F.lit(tasks)), F.lit(-1), F.lit(-1)))
+
+
+def _upto(n: Column, f) -> Column:
+    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+
+
+def _same(by: list[str], toks: DataFrame, *more: Column) -> DataFrame:
+    """(by, tok, level, n, more) of shingles that two sets or more have, of those that the same sets have one."""
+    alike = toks.groupBy(*by, "tok", "level").agg(F.count("*").alias("n"), *more, F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where(F.col("n") > 1)
+    rest = [c for c in alike.columns if c not in ("tok", "level")]
+    return alike.groupBy(*rest).agg(F.min(F.struct("tok", "level")).alias("t")).select(*[c for c in rest if c not in "xy"], "t.tok", "t.level")
+
 
-    A coarse group of up to block sets meets in one task.  A larger one is split in one of two ways, by whichever copies sets less often: in all pairs of
-    blocks of its sets, or by the shingles of their prefixes, where only sets that share one, with sizes that allow a link, meet.  Of shingles
-    that the same sets have one is used; a shingle of more than block sets is split in pairs of blocks as well.
+def _with(toks: DataFrame, used: DataFrame) -> DataFrame:
+    """The rows of toks whose shingle is used, with n and what else used has."""
+    used = used.withColumnsRenamed({"coarse": "of", "tok": "u", "level": "l"})
+    return toks.join(used, (F.col("tok") == F.col("u")) & (F.col("level") == F.col("l")) & (F.col("coarse") == F.col("of"))).drop("of", "u", "l")
+
+
+def _places(coarse: DataFrame, prefix: DataFrame, block: int, n_met: int, star: int | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None, list[DataFrame]]:
+    """(sid, rep_tid, rep_doc, places): the tasks in which each set meets others; shingles of the sets of large groups; the large groups that are starred; tables read for it.
+
+    A coarse group of up to block sets meets in one task.  A larger one is split in one of two ways, by whichever copies sets less often.  By the
+    shingles of the prefixes: only sets that share one, with sizes that allow a link, meet; of shingles that the same sets have
+    one is used; one of more than block sets is split in pairs of blocks.  Or by blocks of its sets: in all pairs, or, if it has more than star blocks,
+    only in those with the first block, which leaves the rest to _rest().
     """
     tasks = max(default_parallelism(coarse.sparkSession), n_met // 1000 + 1)
     many = cut(coarse.groupBy(F.col("coarse").alias("c")).agg(F.count("*").alias("all")).where(F.col("all") > block), "many")
     n_many = many.count()
     met = coarse.join(maybe_broadcast(many, n_many, 16), F.col("coarse") == F.col("c"), "left").drop("c")
-    struct = lambda group, g, i, j: F.struct(group.alias("coarse"), g.alias("g"), i.cast("int").alias("i"), j.cast("int").alias("j"))
-    one = lambda group, n: F.array(struct(group, F.pmod(F.xxhash64(group), F.lit(n)), F.lit(-1), F.lit(-1)))  # noqa: E731  # small groups share tasks
 
-    def pairs(group: Column, of: Column, n: int) -> Column:
-        """The places of a set in a group of ``of`` sets: one of n tasks, or the pairs of its block."""
+    def pairs(group: Column, of: Column, n: int, star: int | None) -> Column:
+        """The places of a set in a group of ``of`` sets: one of n tasks, or those of its block."""
         parts = F.ceil(of / block)
         own = F.pmod(F.xxhash64("sid"), parts)
-        return F.when(of <= block, one(group, n)).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: struct(group, group, F.least(x, own), F.greatest(x, own))))
+        every = _upto(parts, lambda x: _place(group, group, F.least(x, own), F.greatest(x, own)))
+        first = F.when(own == 0, every).otherwise(F.array(_place(group, group, F.lit(0), own)))
+        return F.when(of <= block, _one(group, n)).otherwise(every if star is None else F.when(parts > star, first).otherwise(every))
 
     copies = lambda n: n * F.ceil(n / block)
-    places = F.when(F.col("all").isNull(), one(F.col("coarse"), tasks)).otherwise(pairs(F.col("coarse"), F.col("all"), tasks))
+    places = F.when(F.col("all").isNull(), _one(F.col("coarse"), tasks)).otherwise(pairs(F.col("coarse"), F.col("all"), tasks, star))
     if not n_many:
-        return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), [many]
+        return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), None, None, [many]
     # the larger of two linked sets has at most 5/4 of the size of the smaller
     level = lambda n: F.floor(F.log2(n)).cast("int")
     levels = F.array_distinct(F.array(level(F.col("n")), level(F.floor(F.col("n") * 5 / 4))))
     big = met.where(F.col("all").isNotNull()).select(F.col("sid").alias("s"), "coarse", "n", "all")
     toks = cut(prefix.join(big, F.col("sid") == F.col("s")).select("tok", "sid", "coarse", "all", F.explode(levels).alias("level")), "toks")
-    alike = toks.groupBy("coarse", "all", "tok", "level").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where(F.col("n") > 1)
-    used = cut(alike.groupBy("coarse", "all", "n", "x", "y").agg(F.min(F.struct("tok", "level")).alias("t")).select("coarse", "all", "n", "t.tok", "t.level"), "used")
-    cheap = used.groupBy("coarse", "all").agg(F.sum(copies(F.col("n"))).alias("cost")).where(F.col("cost") < copies(F.col("all"))).select(F.col("coarse").alias("cheap"))
+    used = cut(_same(["coarse", "all"], toks), "used")
+    made = [many, toks, used]
+    is_star = F.lit(False) if star is None else F.ceil(F.col("all") / block) > star
+    limit = F.when(is_star, 4 * F.col("all")).otherwise(copies(F.col("all")))
+    cheap = used.groupBy("coarse", "all").agg(F.sum(copies(F.col("n"))).alias("cost")).where(F.col("cost") < limit).select(F.col("coarse").alias("cheap"))
     cheap = cut(cheap, "cheap")
+    made.append(cheap)
     n_cheap = cheap.count()
+    starred = None if star is None else many.where(is_star).select("c")
     if not n_cheap:
-        return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), [many, toks, used, cheap]
+        return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), toks, starred, made
     cheap = maybe_broadcast(cheap, n_cheap, 8)
-    used = used.join(cheap, F.col("coarse") == F.col("cheap")).select(F.col("tok").alias("u"), F.col("level").alias("l"), F.col("coarse").alias("of"), "n")
+    if starred is not None:
+        starred = starred.join(cheap, F.col("c") == F.col("cheap"), "left_anti")
+    used = used.join(cheap, F.col("coarse") == F.col("cheap")).select("coarse", "n", "tok", "level")
     tasks += (used.agg(F.sum("n")).first()[0] or 0) // 1000
-    here = toks.join(used, (F.col("tok") == F.col("u")) & (F.col("level") == F.col("l")) & (F.col("coarse") == F.col("of")))
-    here = here.select("sid", F.inline(pairs(F.xxhash64("coarse", "tok", "level"), F.col("n"), tasks))).groupBy(F.col("sid").alias("in")).agg(F.collect_list(F.struct("coarse", "g", "i", "j")).alias("own"))
+    here = _with(toks, used).select("sid", F.inline(pairs(F.xxhash64("coarse", "tok", "level"), F.col("n"), tasks, None)))
+    here = here.groupBy(F.col("sid").alias("in")).agg(F.collect_list(F.struct("coarse", "g", "i", "j")).alias("own"))
     met = met.join(cheap, F.col("coarse") == F.col("cheap"), "left").join(here, F.col("sid") == F.col("in"), "left")
-    none = F.array().cast(_PLACES)
-    places = cut(met.select("sid", "rep_tid", "rep_doc", F.when(F.col("cheap").isNotNull(), F.coalesce("own", none)).otherwise(places).alias("places")), "places")
-    return places, [many, toks, places]
+    places = F.when(F.col("cheap").isNotNull(), F.coalesce("own", F.array().cast(_PLACES))).otherwise(places)
+    met = cut(met.select("sid", "rep_tid", "rep_doc", places.alias("places")), "places")
+    return met, toks, starred, [*made, met]
+
+
+def _rest(coarse: DataFrame, toks: DataFrame, starred: DataFrame, linked: DataFrame, block: int, n_met: int) -> tuple[DataFrame, ...] | None:
+    """Where the sets of starred groups still have to meet, and tables read for it; None if nowhere.
+
+    Of each group the largest component is left alone: only a set outside it can have a link that joins components.  Such loose sets meet all that
+    share a shingle of their prefix, or all of the group if that copies sets less often.
+    """
+    members = coarse.select("sid", "coarse").join(starred, F.col("coarse") == F.col("c")).join(linked, F.col("sid") == F.col("id"), "left")
+    members = cut(members.select("sid", "coarse", F.coalesce("root", "sid").alias("root")), "members")
+    size = members.groupBy(F.col("coarse").alias("g"), "root").agg(F.count("*").alias("n"))
+    most = size.groupBy("g").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    loose = members.join(most, F.col("coarse") == F.col("g")).where(F.col("root") != F.col("most")).select(F.col("sid").alias("loose"))
+    loose = cut(loose, "loose")
+    n_loose = loose.count()
+    if not n_loose:
+        discard(members, loose)
+        return None
+    loose_ = maybe_broadcast(loose, n_loose, 8)
+    parts, loose_parts = F.ceil(F.col("n") / block), F.ceil(F.col("loose_n") / block)
+    copies = F.when(F.col("n") <= block, F.col("n")).otherwise(F.col("n") * loose_parts + F.col("loose_n") * parts)
+    all_of = members.join(loose_, F.col("sid") == F.col("loose"), "left").select("sid", "coarse", "loose")
+    whole = cut(all_of.groupBy("coarse").agg(F.count("*").alias("n"), F.count("loose").alias("loose_n")).where(F.col("loose_n") > 0), "whole")
+    own = toks.join(starred, F.col("coarse") == F.col("c"), "left_semi").join(loose_, F.col("sid") == F.col("loose"), "left").select("tok", "sid", "coarse", "level", "loose")
+    used = cut(_same(["coarse"], own, F.count("loose").alias("loose_n")).where(F.col("loose_n") > 0), "used")
+    cost = used.groupBy(F.col("coarse").alias("k")).agg(F.sum(copies).alias("cost"))
+    by_tok = cut(whole.join(cost, F.col("coarse") == F.col("k"), "left").where(F.coalesce("cost", F.lit(0)) < copies).select("coarse"), "by_tok")
+    used = used.join(by_tok, "coarse", "left_semi")
+    whole_ = whole.join(by_tok, "coarse", "left_anti").select(F.col("coarse").alias("of"), "n", "loose_n")
+    tasks = max(default_parallelism(coarse.sparkSession), (used.agg(F.sum("n")).first()[0] or 0) // 1000 + 1)
+    meet = _with(own, used).select("sid", "coarse", "tok", "level", "loose", "n", "loose_n").unionByName(
+        all_of.join(whole_, F.col("coarse") == F.col("of")).select("sid", "coarse", F.lit(0).cast("long").alias("tok"), F.lit(-1).alias("level"), "loose", "n", "loose_n"))
+    group = F.xxhash64("coarse", "tok", "level")
+    mine, loose_mine = F.pmod(F.xxhash64("sid"), parts), F.pmod(F.xxhash64("sid", F.lit(1)), loose_parts)
+    # a loose set meets every block of all, any set every block of loose ones
+    all_ = _upto(loose_parts, lambda x: _place(group, group, x, mine))
+    as_loose = F.when(F.col("loose").isNotNull(), _upto(parts, lambda x: _place(group, group, loose_mine, x))).otherwise(F.array().cast(_PLACES))
+    places = F.when(F.col("n") <= block, _one(group, tasks)).otherwise(F.array_distinct(F.concat(all_, as_loose)))
+    here = meet.select("sid", F.inline(places)).groupBy(F.col("sid").alias("in")).agg(F.collect_list(F.struct("coarse", "g", "i", "j")).alias("places"))
+    places = cut(coarse.join(here, F.col("sid") == F.col("in")).select("sid", "rep_tid", "rep_doc", "places"), "places")
+    return places, members, loose, whole, by_tok
 
 
 def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
     """(a, b): every link between documents with different sets, each set by the smallest id that has it; a and b in the order of their sets' hashes."""
-    _, classes, links, tables = _linked(docs, doc_id, text, block, True, bits)
+    _, classes, links, tables = _linked(docs, doc_id, text, block, True, bits, None)
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     discard(*tables)
     of = lambda c: classes.select(F.col("sid").alias(f"sid_{c}"), F.col("rep").alias(f"doc_{c}"))
@@ -454,10 +547,9 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     return links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, bits: int = 64, star: int = STAR) -> DataFrame:
     """(doc, n, component) of each row of docs."""
-    rows, classes, links, tables = _linked(docs, doc_id, text, block, False, bits)
-    linked = cut(components(links).select("id", F.col("component").alias("root")), "linked")
+    rows, classes, linked, tables = _linked(docs, doc_id, text, block, False, bits, star)
 
     best = linked.join(classes, F.col("id") == F.col("sid")).groupBy("root").agg(F.min("rep").alias("best"))
     best = linked.join(best, "root").select(F.col("id").alias("best_id"), "best")

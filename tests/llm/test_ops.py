@@ -796,13 +796,13 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
     rows += [(300 + i, " ".join(edit(rows[-1 - i][1].split(), 1))) for i in range(30)]
     want = sorted(brute.jaccard_components(rows))
     assert len({c for _, _, c in want}) > 30
-    got = jaccard.jaccard_components(frame(spark, rows), block=12)
+    got = jaccard.jaccard_components(frame(spark, rows), block=12, star=1)
     assert sorted(map(tuple, got.collect())) == want
     # by blocks alone: no group is cheaper by its shingles
     monkeypatch.setattr(jaccard, "_same", lambda by, toks, *more, same=jaccard._same: same(by, toks, *more).withColumn("n", F.col("n") + (10**6 if by == ["coarse", "all"] else 0)))
     again = []
     monkeypatch.setattr(jaccard, "_rest", lambda *args, rest=jaccard._rest: again.append(rest(*args)) or again[-1])
-    got = jaccard.jaccard_components(frame(spark, rows), block=5)
+    got = jaccard.jaccard_components(frame(spark, rows), block=5, star=2)
     assert sorted(map(tuple, got.collect())) == want and again and again[0] is not None
 
 
