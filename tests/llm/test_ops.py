@@ -923,3 +923,32 @@ def test_long_texts(spark):
     assert comp == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6, 7: 1}
     page = {x.page_id: x.n_chars for x in html_text.extract(frame(spark, [(1, "http://a/", f"<nav>x</nav><article><p>{plain}</article>")], "page_id long, url string, html string")).collect()}
     assert page == {1: len(plain)}
+
+
+def test_tables_need_a_shared_folder():
+    from types import SimpleNamespace as Bag
+
+    from llm import common
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Bag(conf=Bag(get=lambda k, d=None: d), sparkContext=Bag(master=master)))
+    there = Bag(conf=Bag(get=lambda k, d=None: "hdfs:/shared"), sparkContext=Bag(master="yarn"))
+    assert common.shared_dir(there) == "hdfs:/shared"
+
+
+def test_names_that_no_column_has(spark):
+    from llm import common
+
+    d = spark.range(1).selectExpr("id as gone", "id as GONE_0", "id as other")
+    assert common.fresh(d, "gone") == "gone_1" and common.fresh(d, "new") == "new"
+
+
+def test_sample_is_bounded_and_the_same_each_time(spark):
+    from llm.common import sample_of_each
+
+    d = spark.range(20000).selectExpr("id", "cast(id % 3 as string) as kind", "concat('t', id) as text")
+    d = d.unionByName(d.where("id = 5").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n"))
+    d = d.unionByName(frame(spark, [(None, "0", "x"), (50000, None, "x"), (50001, "0", None), (50002, "rare", "x")], "id long, kind string, text string"))
+    one, two = ({(x.id, x.kind, x.text) for x in sample_of_each(d.repartition(n), "kind", 100).collect()} for n in (1, 7))
+    assert one == two and len(one) == 301 and (50002, "rare", "x") in one and all(sum(k == kind for _, k, _ in one) == 100 for kind in "012")
