@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,8 @@ from parchment.operators import files
 from parchment.plans.summary import summarize
 
 MAX_BODY = 200_000
+#: Versions of a table of documents from which on a stream makes one of them.
+VERSIONS = 64
 PRODUCER = "parchment"
 
 
@@ -60,8 +61,7 @@ def read_wiki(spark: SparkSession, path: str) -> DataFrame:
     schema, versions = "file_name string, markdown string", _versions(spark, path)
     if not versions:
         return spark.createDataFrame([], schema)
-    parts = [spark.read.schema(schema).parquet(f"{path}/version={v}").withColumn("version", F.lit(v)) for v in versions]
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = spark.read.option("basePath", path).schema(f"{schema}, version bigint").parquet(*[f"{path}/version={v}" for v in versions])
     if len(versions) == 1:
         return rows.drop("version")
     # of names alone, so that texts are shuffled once, by the join
@@ -69,10 +69,10 @@ def read_wiki(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(newest, ["file_name", "version"]).select("file_name", "markdown")
 
 
-def compact_wiki(spark: SparkSession, path: str) -> None:
-    """One version in place of all.  It is whole before an old one goes, so whenever this ends, read_wiki gives the same documents."""
+def compact_wiki(spark: SparkSession, path: str, most: int = 1) -> None:
+    """One version in place of all, if there are more than ``most``.  It is whole before an old one goes, so whenever this ends, read_wiki gives the same documents."""
     versions = _versions(spark, path)
-    if len(versions) > 1:
+    if len(versions) > most:
         write_wiki(read_wiki(spark, path), path, versions[-1] + 1)
         for v in versions:
             at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}")

@@ -1,6 +1,6 @@
 """Files that arrive in a folder become Markdown documents, as a stream.
 
-Each batch is parsed and written by file name, so a batch that is repeated after a failure changes nothing;
+Each batch is parsed and written as a version of the table of documents (operators.wiki), so a batch that is repeated after a failure changes nothing;
 the checkpoint keeps what was read.  With ``once`` the stream ends when it has read all there is, for scheduled runs.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parchment.functions.text import detect_format
-from parchment.operators.wiki import newest_by_file, wiki_documents, write_wiki
+from parchment.operators.wiki import VERSIONS, compact_wiki, newest_by_file, wiki_documents, write_wiki
 from parchment.sources.registry import parse, raw_of
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -32,6 +32,7 @@ def stream_wiki(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
 
     def batch(df: DataFrame, _: int) -> None:
         write_wiki(documents(raw_of(df), providers), out_dir)
+        compact_wiki(spark, out_dir, VERSIONS)
 
     w = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="1 hour")).start()
