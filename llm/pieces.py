@@ -45,6 +45,8 @@ LANE = 64
 LANES = 8192
 #: Characters of a text that are handled at once, about; a longer text is cut before a space.
 PART = 1 << 20
+#: Bytes of texts that are encoded together, about.
+TOGETHER = 1 << 19
 UNIT = 1 << 32
 _NONE = -(1 << 62)
 _MARK, _OWN, _CODES = 0x2581, 0x110000, 0x110001
@@ -411,7 +413,7 @@ def _parts(text: str) -> Iterator[str]:
 def _encode(coder: Coder):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for a, b, _, _ in pieces(batch.column(1)):
+            for a, b, _, _ in pieces(batch.column(1), TOGETHER):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
                 whole = [t or "" for t in texts]
                 every, bounds = coder.encode_all(whole)
