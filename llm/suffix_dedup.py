@@ -218,7 +218,10 @@ def _group_repeats(span: int, gram: int):
         cols, once = np.unique(cols, axis=1, return_index=True)  # a text can come from several tasks
         low, high, k1, k2, tid, at = cols
         before = t.column("before").to_numpy().astype(np.int64)[once]
-        m, after = _matrix(t.column("ctx").combine_chunks().take(pa.array(once)), before, span, gram)
+        ctx = t.column("ctx").combine_chunks().take(pa.array(once))
+        del t
+        m, after = _matrix(ctx, before, span, gram)
+        del ctx
         edge = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
         out = []
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(low)], strict=True):
@@ -268,10 +271,10 @@ def _keys(span: int, gram: int, parts: int):
     return run
 
 
-def _split(ctx: DataFrame, span: int, gram: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Groups of at most hot contexts (k1, k2, low, high, tid, at, before, ctx) of those (tid, at, before, ctx) of hot anchors, and (tid, start, end) of equal windows."""
+def _split(ctx: DataFrame, span: int, gram: int, hot: int) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Groups of at most hot contexts (k1, k2, low, high, tid, at, before, ctx) of those (tid, at, before, ctx) of hot anchors, (tid, start, end) of equal windows, and how many contexts the groups have."""
     live = ctx.select(F.lit(0).alias("low"), F.lit(span - gram).alias("high"), "tid", "at", "before", "ctx")
-    groups, equal = [], []
+    groups, equal, rows = [], [], 0
     slim = ctx.select(F.col("tid").alias("t"), F.col("at").alias("p"), "before", "ctx")
     widest = span - gram + 1
     while True:
@@ -285,12 +288,13 @@ def _split(ctx: DataFrame, span: int, gram: int, hot: int) -> tuple[list[DataFra
         single = F.col("low") == F.col("high")
         equal.append(keys.where(single).select("tid", (F.col("at") - F.col("low")).alias("start"), (F.col("at") - F.col("low") + span).alias("end")).distinct())
         if widest == 1:
-            return groups, equal
+            return groups, equal, rows
+        rows += count.where(~single & (F.col("c") <= hot)).agg(F.sum("c")).first()[0] or 0
         match = [F.col("tid") == F.col("t"), F.col("at") == F.col("p")]
         groups.append(keys.where(~single & (F.col("c") <= hot)).join(slim, match).select(*by, "tid", "at", "before", "ctx"))
         more = count.where(~single & (F.col("c") > hot))
         if more.isEmpty():
-            return groups, equal
+            return groups, equal, rows
         live = keys.where(~single & (F.col("c") > hot)).select("low", "high", "tid", "at").distinct().join(slim, match).select("low", "high", "tid", "at", "before", "ctx")
 
 
@@ -343,17 +347,18 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, span: int = SPAN, gram: i
     ctx = map_arrow(near, _contexts(span, gram), "h long, tid long, at long, before int, ctx binary")
     much = marked.where(F.col("c") > hot).select(F.col("h").alias("hot_h")).distinct()
     n_hot = much.count()
-    buckets = max(default_parallelism(spark), n // GATHER + 1)
     parts = [first.where(F.col("end").isNotNull()).select("tid", F.col("at").alias("start"), "end"),
              copies.where((F.col("c") > 1) & (F.col("n") >= span)).select("tid", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))]
     groups = []
     if n_hot:
         ctx = cut(ctx.join(maybe_broadcast(much, n_hot, 16), F.col("h") == F.col("hot_h"), "left"), "contexts")
-        groups, equal = _split(ctx.where(F.col("hot_h").isNotNull()).select("tid", "at", "before", "ctx"), span, gram, hot)
+        groups, equal, rows = _split(ctx.where(F.col("hot_h").isNotNull()).select("tid", "at", "before", "ctx"), span, gram, hot)
         parts += equal
+        n += rows
         ctx = ctx.where(F.col("hot_h").isNull()).drop("hot_h")
     groups.append(ctx.select(F.col("h").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("low"), F.lit(span - gram).alias("high"), "tid", "at", "before", "ctx"))
     groups = reduce(DataFrame.unionByName, groups)
+    buckets = max(default_parallelism(spark), n // GATHER + 1)
     parts.append(groups.withColumn("bucket", F.pmod("k1", F.lit(buckets))).groupBy("bucket").applyInArrow(lean_group(_group_repeats(span, gram)), "tid long, start long, end long"))
     return reduce(DataFrame.unionByName, parts)
 
