@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from llm.common import table
 
-SLICE = 1 << 16
+SLICE = 1 << 12
 #: Headers that a not-modified answer may renew.
 FRESH = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only track visitors.
