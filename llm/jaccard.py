@@ -8,7 +8,8 @@
    them, so few enough to send to all tasks) skip the count and rank as the most frequent.
 3. Global order: rare shingles first.  Two linked sets share a shingle in their prefixes in that order.  Sets whose
    own shingles fill the prefix have no partner; the others meet in coarse groups, the
-   components of "shares a prefix shingle", and their whole sets are read again.
+   components of "shares a prefix shingle and a level of size", and their whole sets are read again.  A level holds
+   sizes up to twice the least, and those a link away from them, so small sets, of which many hang together, tie no large ones to each other.
 4. In each coarse group the sets, now ordered from the group's most frequent shingle to the rarest, are
    stored in a prefix tree.  A probe walks the tree once, sharing the overlap of common prefixes, and
    leaves a subtree when neither its own nor the subtree's remaining length can reach the
@@ -218,18 +219,33 @@ def _gather(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(own[edge]), pa.array([tok[a:b].tobytes() for a, b in zip(edge, ends, strict=True)], pa.binary())], names=["sid", "toks"])
 
 
+def _levels_of(n: int) -> set[int]:
+    """As _levels()."""
+    return {n.bit_length() - 1, (n * 5 // 4).bit_length() - 1}
+
+
+def _levels(n: Column) -> Column:
+    """The levels of a size; as the larger of two linked sets has at most 5/4 of the size of the smaller, both have the level of the larger."""
+    level = lambda x: (F.length(F.bin(x)) - 1).cast("int")
+    n = n.cast("long")
+    return F.array_distinct(F.array(level(n), level(F.floor(n * 5 / 4))))
+
+
 def _prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tok, sid) for the shared tokens in each set's prefix, unless tokens of its own fill that."""
+    """(tok, sid, level) for the shared tokens in each set's prefix, unless tokens of its own fill that, and the set's levels."""
     for batch in it:
-        sid, toks = [], []
-        kept, shared = _kept(batch.column(1).to_numpy().astype(np.int64))
-        for s, k, m, raw in zip(batch.column(0).to_pylist(), kept.tolist(), shared.tolist(), batch.column(2).to_pylist(), strict=True):
+        sid, toks, levels = [], [], []
+        sizes = batch.column(1).to_numpy().astype(np.int64)
+        kept, shared = _kept(sizes)
+        for s, n, k, m, raw in zip(batch.column(0).to_pylist(), sizes.tolist(), kept.tolist(), shared.tolist(), batch.column(2).to_pylist(), strict=True):
             t = np.frombuffer(raw, np.int64)
             t = t[: max(0, k - m + 1 - (k - len(t)))]
-            toks.append(t)
-            sid.append(np.full(len(t), s, np.int64))
+            for level in _levels_of(n):
+                toks.append(t)
+                sid.append(np.full(len(t), s, np.int64))
+                levels.append(np.full(len(t), level, np.int32))
         if toks:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(sid))], names=["tok", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, sid, levels)], names=["tok", "sid", "level"])
 
 
 def _whole(ids: Ids):
@@ -381,11 +397,13 @@ def _linked(docs: DataFrame, doc_id: str, text: str, block: int, every: bool, bi
     shared = cut(shared, "shared")  # so that no task runs two Python operators
     classes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.first("n").alias("n"), F.min(F.struct("tid", "doc")).alias("at"), F.min("doc").alias("rep")), "classes")
     alike = shared.join(classes.select(F.col("sid").alias("id"), "n"), F.col("sid") == F.col("id")).select("sid", "n", "toks")
-    prefix = cut(map_arrow(alike, _prefixes, "tok long, sid long"), "prefix")
-    pivot = prefix.groupBy("tok").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).where(F.col("pivot") < F.col("last")).select("tok", "pivot")
-    edges = prefix.join(pivot, "tok").where(F.col("sid") > F.col("pivot")).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
+    prefix = cut(map_arrow(alike, _prefixes, "tok long, sid long, level int"), "prefix")
+    pivot = prefix.groupBy("tok", "level").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).where(F.col("pivot") < F.col("last")).select("tok", "level", "pivot")
+    edges = prefix.join(pivot, ["tok", "level"]).where(F.col("sid") > F.col("pivot")).select(F.xxhash64("sid", "level").alias("a"), F.xxhash64("pivot", "level").alias("b")).distinct()
     coarse = components(edges).select(F.col("id").alias("met"), F.col("component").alias("coarse"))
-    coarse = cut(coarse.join(classes, F.col("met") == F.col("sid")).select("sid", F.col("at.tid").alias("rep_tid"), F.col("at.doc").alias("rep_doc"), "n", "coarse"), "coarse")
+    # a row of each set and level
+    leveled = classes.select("sid", F.col("at.tid").alias("rep_tid"), F.col("at.doc").alias("rep_doc"), "n", F.explode(_levels(F.col("n"))).alias("level"))
+    coarse = cut(coarse.join(leveled, F.col("met") == F.xxhash64("sid", "level")).drop("met"), "coarse")
     n_met = coarse.count()
 
     places, toks, starred, extra = _places(coarse, prefix, block, n_met, star)
@@ -465,13 +483,11 @@ def _places(coarse: DataFrame, prefix: DataFrame, block: int, n_met: int, star:
 
     copies = lambda n: n * F.ceil(n / block)
     places = F.when(F.col("all").isNull(), _one(F.col("coarse"), tasks)).otherwise(pairs(F.col("coarse"), F.col("all"), tasks, star))
+    of_set = lambda met: met.groupBy("sid", "rep_tid", "rep_doc").agg(F.flatten(F.collect_list("places")).alias("places"))
     if not n_many:
-        return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), None, None, [many]
-    # the larger of two linked sets has at most 5/4 of the size of the smaller
-    level = lambda n: F.floor(F.log2(n)).cast("int")
-    levels = F.array_distinct(F.array(level(F.col("n")), level(F.floor(F.col("n") * 5 / 4))))
-    big = met.where(F.col("all").isNotNull()).select(F.col("sid").alias("s"), "coarse", "n", "all")
-    toks = cut(prefix.join(big, F.col("sid") == F.col("s")).select("tok", "sid", "coarse", "all", F.explode(levels).alias("level")), "toks")
+        return of_set(met.withColumn("places", places)), None, None, [many]
+    big = met.where(F.col("all").isNotNull()).select(F.col("sid").alias("s"), F.col("level").alias("l"), "coarse", "all")
+    toks = cut(prefix.join(big, (F.col("sid") == F.col("s")) & (F.col("level") == F.col("l"))).select("tok", "sid", "coarse", "all", "level"), "toks")
     used = cut(_same(["coarse", "all"], toks), "used")
     made = [many, toks, used]
     is_star = F.lit(False) if star is None else F.ceil(F.col("all") / block) > star
@@ -482,17 +498,17 @@ def _places(coarse: DataFrame, prefix: DataFrame, block: int, n_met: int, star:
     n_cheap = cheap.count()
     starred = None if star is None else many.where(is_star).select("c")
     if not n_cheap:
-        return met.select("sid", "rep_tid", "rep_doc", places.alias("places")), toks, starred, made
+        return of_set(met.withColumn("places", places)), toks, starred, made
     cheap = maybe_broadcast(cheap, n_cheap, 8)
     if starred is not None:
         starred = starred.join(cheap, F.col("c") == F.col("cheap"), "left_anti")
     used = used.join(cheap, F.col("coarse") == F.col("cheap")).select("coarse", "n", "tok", "level")
     tasks += (used.agg(F.sum("n")).first()[0] or 0) // 1000
-    here = _with(toks, used).select("sid", F.inline(pairs(F.xxhash64("coarse", "tok", "level"), F.col("n"), tasks, None)))
-    here = here.groupBy(F.col("sid").alias("in")).agg(F.collect_list(F.struct("coarse", "g", "i", "j")).alias("own"))
-    met = met.join(cheap, F.col("coarse") == F.col("cheap"), "left").join(here, F.col("sid") == F.col("in"), "left")
+    here = _with(toks, used).select("sid", F.col("coarse").alias("within"), F.inline(pairs(F.xxhash64("coarse", "tok", "level"), F.col("n"), tasks, None)))
+    here = here.groupBy(F.col("sid").alias("in"), "within").agg(F.collect_list(F.struct("coarse", "g", "i", "j")).alias("own"))
+    met = met.join(cheap, F.col("coarse") == F.col("cheap"), "left").join(here, (F.col("sid") == F.col("in")) & (F.col("coarse") == F.col("within")), "left")
     places = F.when(F.col("cheap").isNotNull(), F.coalesce("own", F.array().cast(_PLACES))).otherwise(places)
-    met = cut(met.select("sid", "rep_tid", "rep_doc", places.alias("places")), "places")
+    met = cut(of_set(met.withColumn("places", places)), "places")
     return met, toks, starred, [*made, met]
 
 
@@ -506,18 +522,19 @@ def _rest(coarse: DataFrame, toks: DataFrame, starred: DataFrame, linked: DataFr
     members = cut(members.select("sid", "coarse", F.coalesce("root", "sid").alias("root")), "members")
     size = members.groupBy(F.col("coarse").alias("g"), "root").agg(F.count("*").alias("n"))
     most = size.groupBy("g").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    loose = members.join(most, F.col("coarse") == F.col("g")).where(F.col("root") != F.col("most")).select(F.col("sid").alias("loose"))
+    loose = members.join(most, F.col("coarse") == F.col("g")).where(F.col("root") != F.col("most")).select(F.col("sid").alias("loose"), "g")
     loose = cut(loose, "loose")
     n_loose = loose.count()
     if not n_loose:
         discard(members, loose)
         return None
-    loose_ = maybe_broadcast(loose, n_loose, 8)
+    loose_ = maybe_broadcast(loose, n_loose, 16)
+    is_loose = (F.col("sid") == F.col("loose")) & (F.col("coarse") == F.col("g"))
     parts, loose_parts = F.ceil(F.col("n") / block), F.ceil(F.col("loose_n") / block)
     copies = F.when(F.col("n") <= block, F.col("n")).otherwise(F.col("n") * loose_parts + F.col("loose_n") * parts)
-    all_of = members.join(loose_, F.col("sid") == F.col("loose"), "left").select("sid", "coarse", "loose")
+    all_of = members.join(loose_, is_loose, "left").select("sid", "coarse", "loose")
     whole = cut(all_of.groupBy("coarse").agg(F.count("*").alias("n"), F.count("loose").alias("loose_n")).where(F.col("loose_n") > 0), "whole")
-    own = toks.join(starred, F.col("coarse") == F.col("c"), "left_semi").join(loose_, F.col("sid") == F.col("loose"), "left").select("tok", "sid", "coarse", "level", "loose")
+    own = toks.join(starred, F.col("coarse") == F.col("c"), "left_semi").join(loose_, is_loose, "left").select("tok", "sid", "coarse", "level", "loose")
     used = cut(_same(["coarse"], own, F.count("loose").alias("loose_n")).where(F.col("loose_n") > 0), "used")
     cost = used.groupBy(F.col("coarse").alias("k")).agg(F.sum(copies).alias("cost"))
     by_tok = cut(whole.join(cost, F.col("coarse") == F.col("k"), "left").where(F.coalesce("cost", F.lit(0)) < copies).select("coarse"), "by_tok")
@@ -533,7 +550,7 @@ def _rest(coarse: DataFrame, toks: DataFrame, starred: DataFrame, linked: DataFr
     as_loose = F.when(F.col("loose").isNotNull(), _upto(parts, lambda x: _place(group, group, loose_mine, x))).otherwise(F.array().cast(_PLACES))
     places = F.when(F.col("n") <= block, _one(group, tasks)).otherwise(F.array_distinct(F.concat(all_, as_loose)))
     here = meet.select("sid", F.inline(places)).groupBy(F.col("sid").alias("in")).agg(F.collect_list(F.struct("coarse", "g", "i", "j")).alias("places"))
-    places = cut(coarse.join(here, F.col("sid") == F.col("in")).select("sid", "rep_tid", "rep_doc", "places"), "places")
+    places = cut(coarse.select("sid", "rep_tid", "rep_doc").distinct().join(here, F.col("sid") == F.col("in")).drop("in"), "places")
     return places, members, loose, whole, by_tok
 
 

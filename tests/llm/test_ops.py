@@ -806,6 +806,26 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want and again and again[0] is not None
 
 
+def test_jaccard_small_sets_dont_tie_large_ones(spark, monkeypatch):
+    """A chain of small sets that also share shingles with large ones: a large set isn't copied for each shingle of its prefix."""
+    r = random.Random(3)
+    passage = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(60)]
+    rows = [(k, f"{passage[k]} {passage[(k + 1) % 60]}") for k in range(60)]
+    for kind in range(4):
+        base = [f"f{kind}w{i}" for i in range(500)]
+        for copy in range(6):
+            t = list(base)
+            for i in r.sample(range(500), 6):
+                t[i] = f"e{r.random()}"
+            rows.append((100 + 10 * kind + copy, " ".join([*t, *passage[kind * 15 : kind * 15 + 2 * (copy == 0)]])))
+    most = []
+    meet = jaccard._meet
+    monkeypatch.setattr(jaccard, "_meet", lambda docs, places, *args: most.append({r.rep_doc: len(r.places) for r in places.collect()}) or meet(docs, places, *args))
+    got = jaccard.jaccard_components(frame(spark, rows), block=8)
+    assert sorted(map(tuple, got.collect())) == sorted(brute.jaccard_components(rows))
+    assert max(n for doc, n in most[0].items() if doc >= 100) <= 2
+
+
 def test_jaccard_sets_with_equal_hashes(spark, texts):
     """With five bits for a set's hash nearly all sets share theirs with another."""
     got = jaccard.jaccard_components(frame(spark, texts), bits=5)
