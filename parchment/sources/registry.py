@@ -107,14 +107,25 @@ def read_one(fmt: str, content: bytes | None, uri: str, providers: dict) -> tupl
 _OUT = schemas.CONTENT + ", markup array<string>, bytes binary"
 
 
+#: Rows of a batch at most, and bytes of files and their text from which on it goes out.
+BATCH_ROWS, BATCH_BYTES = 500, 1 << 20
+
+
 def _reader(providers: dict, schema: pa.Schema):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for i in range(batch.num_rows):  # files can be large: one at a time
+            rows, size = [], 0
+            for i in range(batch.num_rows):  # files can be large: one is read at a time
                 uri, fmt, content = (batch.column(k)[i].as_py() for k in range(3))
                 row = dict.fromkeys(schema.names) | {"uri": uri, "format": fmt, "is_markdown": fmt == "MARKDOWN"}
                 row |= {"bytes": content} if fmt in TEXTS else read_one(fmt, content, uri, providers)[0]
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                rows.append(row)
+                size += len(content or b"") + len(row["plain_text"] or "")
+                if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 

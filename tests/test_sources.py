@@ -3,8 +3,11 @@ import struct
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from parchment.operators.model import complete
 from parchment.sources import hangul, office, registry
@@ -440,3 +443,16 @@ def test_pdf_text():
             bad[r.randrange(9, len(bad))] = r.randrange(256)
         content, _ = registry.read_one("PDF", bytes(bad), "u", {})
         assert "plain_text" in content or content["warning"].startswith(registry.NO_PDF_TEXT)
+
+
+def test_small_files_share_batches(spark):
+    """Small files go out together, a large one ends its batch, and none is lost or out of order."""
+    schema = to_arrow_schema(StructType.fromDDL(registry._OUT))
+    contents = [XLSX] * 1200 + [b"x" * (registry.BATCH_BYTES + 1)] * 2 + [XLSX] * 3 + [None]
+    kinds = ["XLSX"] * 1200 + ["TXT"] * 2 + ["XLSX"] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(kinds))]), pa.array(kinds), pa.array(contents, pa.binary())], names=["uri", "format", "content"])
+    out = list(registry._reader({}, schema)(iter([batch])))
+    assert [x for b in out for x in b.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert len(out) < 60 and max(b.num_rows for b in out) <= registry.BATCH_ROWS
+    want = pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | {"uri": "0", "format": "XLSX", "is_markdown": False} | office.xlsx(XLSX, "0")[0]], schema=schema)
+    assert out[0].slice(0, 1).equals(want)
