@@ -15,7 +15,7 @@
    leaves a subtree when neither its own nor the subtree's remaining length can reach the
    threshold, or when all of the subtree is already in its component.  A group of more than
    BLOCK sets is split by the shingles of the prefixes, or in blocks if that copies sets less often, so no task holds more than two blocks.  Up to
-   STAR blocks all pairs of them meet.  Of more each meets the first one; after that only sets outside the group's largest component meet others
+   STAR blocks all pairs of them meet, so no set is copied more often.  Of more each meets the first one; after that only sets outside the group's largest component meet others
    again, so many near copies of one text, which all are linked to some in the first block, are compared a number of times that grows as they do.
 5. The links found span the same components as all links; they give the classes.
 
@@ -42,7 +42,7 @@ K = 5
 NUM, DEN = 9, 4
 BLOCK = 500
 #: Blocks of a group from which on not all pairs of them meet.
-STAR = 100
+STAR = 4
 #: Shingles of a bucket, about.
 BUCKET = 2_500_000
 HOT_SHARE = 1000
@@ -425,12 +425,33 @@ def _meet(docs: DataFrame, places: DataFrame, ids: Ids, every: bool) -> DataFram
     """The links (a, b) found where sets meet: places (sid, rep_tid, rep_doc, places)."""
     n, total = places.agg(F.count("*"), F.sum(F.size("places").cast("long"))).first()
     # one row brings each set: a text and an id that have it; only rows with the same of both bring it again, and _group_links takes it once
-    met = maybe_broadcast(places.withColumnRenamed("sid", "want"), 48 * n + 40 * (total or 0), 1)
+    places = places.withColumnRenamed("sid", "want")
+    met = maybe_broadcast(places, 48 * n + 40 * (total or 0), 1)
+    if met is places:  # the join is shuffled, so only texts that may be wanted go there
+        docs = _wanted(docs, places, n)
     sets = docs.join(met, (F.col("tid") == F.col("rep_tid")) & F.col("doc").eqNullSafe(F.col("rep_doc"))).select("text", "want", "places")
     sets = map_arrow(sets, _whole(ids), f"sid long, places {_PLACES}, toks binary").select("sid", "toks", F.inline("places"))
     return sets.groupBy("g", "i", "j").applyInArrow(lean_group(_join_every if every else _join_groups), "a long, b long")
 
 
+def _wanted(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """The rows of docs whose text one of n places has, and about a thirtieth of the others: a bitmap of hashes goes to all tasks, 4 to 8 bytes a place."""
+    bits = max(1 << 16, 1 << (32 * n - 1).bit_length())
+    # a row for each byte of the bitmap that has a bit
+    byte, bit = (F.expr(f"pmod(rep_tid, {bits}L) {x}") for x in ("div 8", "% 8"))
+    found = places.groupBy(byte.alias("byte")).agg(F.bit_or(F.pow(F.lit(2), bit).cast("int")).alias("mask")).toArrow()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    bitmap[found.column("byte").to_numpy()] = found.column("mask").to_numpy().astype(np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            at = batch.column(1).to_numpy() & (bits - 1)
+            yield batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 _PLACES = "array<struct<coarse:bigint,g:bigint,i:int,j:int>>"
 
 

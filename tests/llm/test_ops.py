@@ -826,6 +826,26 @@ def test_jaccard_small_sets_dont_tie_large_ones(spark, monkeypatch):
     assert max(n for doc, n in most[0].items() if doc >= 100) <= 2
 
 
+def test_jaccard_many_near_copies_are_copied_as_often_as_few(spark, monkeypatch):
+    """Sets of a group of many blocks meet the first one, and texts that no place wants aren't shuffled to where sets meet."""
+    r = random.Random(29)
+    rows = [(i, " ".join(words(r, 30, 10**6).split())) for i in range(200, 260)]
+    base = words(r, 80, 10**6).split()
+    for i in range(60):
+        t = list(base)
+        t[r.randrange(80)] = f"e{i}"
+        rows.append((i, " ".join(t)))
+    found, read = [], []
+    meet, wanted = jaccard._meet, jaccard._wanted
+    monkeypatch.setattr(jaccard, "_meet", lambda docs, places, *args: found.append([len(r.places) for r in places.collect()]) or meet(docs, places, *args))
+    monkeypatch.setattr(jaccard, "_wanted", lambda *args: read.append(wanted(*args)) or read[-1])
+    monkeypatch.setattr("llm.common.BROADCAST_BYTES", 0)
+    got = jaccard.jaccard_components(frame(spark, rows), block=5)
+    assert sorted(map(tuple, got.collect())) == sorted(brute.jaccard_components(rows))
+    assert sum(found[0]) <= 4 * len(found[0])
+    assert 60 <= read[0].count() < 70
+
+
 def test_jaccard_sets_with_equal_hashes(spark, texts):
     """With five bits for a set's hash nearly all sets share theirs with another."""
     got = jaccard.jaccard_components(frame(spark, texts), bits=5)
